@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, quality, sharding, simhash
+from . import language, mixing, quality, rules, sharding, simhash
 from . import shared as S
 
 
@@ -42,6 +42,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "block", "place", "release", "deadline", "slot", "taken")
 
 
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; its source is its host."""
+    return rules.apply_rules(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the languages that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -54,7 +60,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_rules": op6_rules,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT r, i, list_slice(w, i, i + 7) AS g FROM w, unnest(range(1, len(w) - 6)) AS u(i)),
+dup AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, sum(least(8, i - before)) AS n FROM (SELECT r, i, lag(i, 1, -8) OVER (PARTITION BY r ORDER BY i) AS before FROM dup) GROUP BY r),
+l AS (SELECT r, source, unnest(string_split(t, chr(10))) AS l FROM d),
+lw AS (SELECT * FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dl AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lw GROUP BY r),
+ln AS (SELECT r, source, trim(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
+       ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM lw),
+hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+freq AS (SELECT c.source, c.x FROM (SELECT source, x, count(DISTINCT r) AS n FROM ln GROUP BY source, x) c
+         JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n > 10 AND c.n > h.docs * 0.02),
+lost AS (SELECT r, sum(length(ln.x)) AS n FROM ln JOIN freq ON ln.x = freq.x AND ln.source IS NOT DISTINCT FROM freq.source GROUP BY r),
+total AS (SELECT r, sum(length(x)) AS n FROM ln GROUP BY r),
+m AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+        coalesce(lost.n, 0) > coalesce(total.n, 0) * 0.5 AS depleted
+      FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dl USING (r) LEFT JOIN lost USING (r) LEFT JOIN total USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT depleted AS kept FROM m
+""",
+}
