@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, quality, rules, sharding, simhash
+from . import html_text, language, licences, mixing, quality, rules, sharding, simhash
 from . import shared as S
 
 
@@ -48,6 +48,17 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document, the licence it is, and the licences its lines name."""
+    found = licences.scan(_table(spark, sf_dir, "documents"), licences.known_licences(spark))
+    return found.select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the languages that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -61,10 +72,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_rules": op6_rules,
+    "op8_licences": op8_licences,
+    "op9_html": op9_html,
     "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_licences": licences.oracle(),
     "op6_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
