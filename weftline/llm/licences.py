@@ -68,7 +68,7 @@ def scan(docs: DataFrame, known: DataFrame, text: str = "text", keep: tuple[str,
 def oracle() -> str:
     """The same scan in DuckDB's SQL."""
     def canon(x: str) -> str:
-        x = f"regexp_replace(translate(coalesce({x}, ''), '{_UPPER}', '{_LOWER}'), '{COPYRIGHT_LINE.replace(chr(39), chr(39) * 2)}', '', 'gm')".replace("\\n", "\\n")
+        x = f"regexp_replace(translate(coalesce({x}, ''), '{_UPPER}', '{_LOWER}'), '(?m){COPYRIGHT_LINE}', '', 'g')"
         for a, b in EQUIVALENT:
             x = f"replace({x}, '{a}', '{b}')"
         return f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, licences, mixing, quality, rules, sharding, simhash
+from . import decontaminate, html_text, language, licences, mixing, quality, rules, sharding, simhash
 from . import shared as S
 
 
@@ -30,6 +30,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage in every document."""
+    return decontaminate.find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kdtree": op1_kdtree,
     "op2_quality": op2_quality,
+    "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_rules": op6_rules,
