@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 #: Steps that one repetition samples, and the longest window by which an item is looked up.
-SAMPLES, MAX_WINDOW = 3, 64
+SAMPLES, MAX_WINDOW = 4, 64
 _STARTS = 1 << 16
 _TABLE_BITS = 18
 
@@ -78,7 +78,7 @@ def _steps(window: int) -> int:
     return max(1, window * 3 // 2)
 
 
-def prepare(texts: list[str | None], similarity: float = 0.8, recall: float = 0.99, agree: float = 0.8, seed: int = 11) -> Passages:
+def prepare(texts: list[str | None], similarity: float = 0.8, recall: float = 0.999, agree: float = 0.8, seed: int = 11) -> Passages:
     """Look-up tables of the items. ``recall`` is reached where sampled steps agree with the chance ``agree``.
 
     An item is looked up by windows of the largest power of two of words that it has (64 at most), laid end to
@@ -167,6 +167,8 @@ def matches(model: Passages, texts: pa.Array) -> list[tuple[int, int, int, int,
             seen[key] = at + slack  # the stretch below covers passages that begin up to there
             begin, end = max(low, at - slack), min(high, at + n + 3 * slack)
             part = words[begin:end]
+            if n - int((item[:, None] == part).any(axis=1).sum()) > slack:  # each word that is nowhere costs an edit
+                continue
             told = (i, part.tobytes())
             if told not in known:
                 known[told] = best_match(item, part)
@@ -188,7 +190,7 @@ def _blocks(benchmark: DataFrame, text: str, item_id: str, block_bytes: int) ->
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_text: str = "text", item_id: str = "item_id",
-                  similarity: float = 0.8, recall: float = 0.99, block_bytes: int = 1 << 24) -> DataFrame:
+                  similarity: float = 0.8, recall: float = 0.999, block_bytes: int = 1 << 24) -> DataFrame:
     """A row for each row of ``docs`` and item that it holds: ``keep`` columns, ``item_id``, ``distance``, ``first_word``, ``n_words``.
 
     Words are runs of letters and digits, lower-cased. A document holds an item if a stretch of it is within
@@ -221,7 +223,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id",
-                        similarity: float = 0.8, recall: float = 0.99, block_bytes: int = 1 << 24) -> DataFrame:
+                        similarity: float = 0.8, recall: float = 0.999, block_bytes: int = 1 << 24) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item (see ``find_passages``)."""
     spark = docs.sparkSession
     S.arrow_batches(spark)
