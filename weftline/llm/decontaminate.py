@@ -202,7 +202,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
     S.arrow_batches(spark)
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     id_type = benchmark.select(F.col(item_id).alias("item_id")).schema["item_id"].dataType
-    schema = rows.drop("__text").schema.add("item_id", id_type).add("distance", "int").add("first_word", "long").add("n_words", "int")
+    schema = rows.drop("__text").schema.add("item_id", id_type).add("distance", "integer").add("first_word", "long").add("n_words", "integer")
     out = None
     for ids, texts in _blocks(benchmark, item_text, item_id, block_bytes):
         shared = spark.sparkContext.broadcast((ids, prepare(texts, similarity, recall)))

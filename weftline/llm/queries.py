@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, licences, mixing, quality, rules, sharding, simhash
+from . import decontaminate, html_text, language, licences, line_join, mixing, quality, rules, sharding, simhash
 from . import shared as S
 
 
@@ -53,6 +53,11 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every line of every document."""
+    return line_join.line_classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document, the licence it is, and the licences its lines name."""
     found = licences.scan(_table(spark, sf_dir, "documents"), licences.known_licences(spark))
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_rules": op6_rules,
+    "op7_lines": op7_lines,
     "op8_licences": op8_licences,
     "op9_html": op9_html,
     "op10_language": op10_language,
