@@ -227,16 +227,39 @@ def link_fingerprints(prints: DataFrame, radius: int = 3, bits: int = 64) -> Dat
     return rows.repartition("shard").mapInPandas(_forest_links(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``fp`` and ``component_id``, the smallest id reachable through links.
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``keep`` columns, ``fp`` and ``component_id``, the smallest id reachable through links.
 
     Equal fingerprints are linked too. Null and empty texts have fingerprint 0. A component in which every
     id is null has a null ``component_id``; repeated rows stay, in one component.
     """
-    prints = S.materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words))
+    source = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__words"))
+    prints = S.materialize(fingerprints(source, "__words", ("doc_id", *keep), words))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = S.materialize(connected_components(S.materialize(link_fingerprints(prints, radius))))
     whole = parts.join(least, parts.node == least.fp).groupBy("root").agg(F.min("least").alias("component"))
-    linked = parts.join(whole, "root").select(F.col("node").alias("fp"), "component")
-    ids = least.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    linked = parts.join(whole, "root").select(F.col("node").alias("fp"), "component", "root")
+    # Written, so that the rows of a fingerprint that very many copies share can be dealt out to several tasks.
+    ids = S.materialize(least.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("class")))
+    return prints.join(ids, "fp").select("doc_id", *keep, "fp", "component_id", "class")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay when one document of each near-duplicate group does.
+
+    The smallest id stays (a null id only if there is no other; of one id with several texts, one text); of equal
+    rows one stays. Texts are not shuffled unless the rows to remove are too many for Spark to broadcast.
+    """
+    keyed = docs.withColumns({"__id": F.col(doc_id), "__hash": F.xxhash64(text)})
+    rows = near_duplicates(keyed, text, doc_id, words, radius, ("__id", "__hash"))
+    keys = S.materialize(rows.groupBy("class", "__id", "__hash").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))
+    best = keys.groupBy("class").agg(F.min(order).alias("best"))
+    marked = keys.join(S.materialize(best), "class").withColumn("stays", F.col("__id").eqNullSafe(F.col("best.id")) & (F.col("__hash") == F.col("best.hash")))
+    gone = S.materialize(marked.where("not stays or n > 1").select(F.col("__id").alias("id"), F.col("__hash").alias("hash"), "stays"))
+    same = keyed["__id"].eqNullSafe(gone["id"]) & (keyed["__hash"] == gone["hash"])
+    left = keyed.join(gone, same, "left_anti")
+    repeated = gone.where("stays")
+    if not repeated.isEmpty():  # equal rows: one of each
+        left = left.unionByName(keyed.join(repeated, keyed["__id"].eqNullSafe(repeated["id"]) & (keyed["__hash"] == repeated["hash"]), "left_semi").dropDuplicates(["__id", "__hash"]))
+    return left.drop("__id", "__hash")
