@@ -49,9 +49,9 @@ def _with_keys(rows: DataFrame, dims: list[Column], group: Column, row_id: Colum
 def _assign(rows: DataFrame, keys: list[str], levels: list[list[tuple]]) -> DataFrame:
     """Add ``__node``: the first leaf below the node that each row has reached."""
     spark = rows.sparkSession
-    rows = rows.withColumn("__node", F.lit(0))
+    rows = rows.withColumn("__node", F.when(F.col(keys[0]).isNull(), 1).otherwise(0))  # all begin in node 0
     for splits in levels:
-        table = spark.createDataFrame(splits, "__node int, __dim int, __split long, __left int")
+        table = S.local_rows(spark, splits, "__node int, __dim int, __split long, __left int")
         key = F.coalesce(*[F.when(F.col("__dim") == i, F.col(k)) for i, k in enumerate(keys)])
         rows = (rows.join(F.broadcast(table), "__node", "left")  # at most one row for each shard
                 .withColumn("__node", F.when(key >= F.col("__split"), F.col("__node") + F.col("__left")).otherwise(F.col("__node")))
@@ -63,13 +63,13 @@ def _quantiles(rows: DataFrame, keys: list[str], goals: dict[int, dict]) -> list
     """``(node, dimension, split, leaves to the left)``: the key from which each node's right side begins."""
     spark, found, open_ = rows.sparkSession, [], dict(goals)
     while open_:
-        table = spark.createDataFrame([(n, g["dim"], g["lo"], g["hi"], -(-(g["hi"] - g["lo"]) // _BUCKETS)) for n, g in open_.items()],
+        table = S.local_rows(spark, [(n, g["dim"], g["lo"], g["hi"], -(-(g["hi"] - g["lo"]) // _BUCKETS)) for n, g in open_.items()],
                                       "__node int, dim int, lo long, hi long, step long")
         key = F.coalesce(*[F.when(F.col("dim") == i, F.col(k)) for i, k in enumerate(keys)])
         counts = (rows.join(F.broadcast(table), "__node").withColumn("key", key).where((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi")))
                   .groupBy("__node", F.expr("(key - lo) div step").alias("bucket")).agg(F.sum("__size").alias("bytes")))
         upto = Window.partitionBy("__node").orderBy("bucket")  # at most _BUCKETS rows of a node
-        goal = spark.createDataFrame([(n, float(g["goal"] - g["before"])) for n, g in open_.items()], "__node int, goal double")
+        goal = S.local_rows(spark, [(n, float(g["goal"] - g["before"])) for n, g in open_.items()], "__node int, goal double")
         runs = counts.withColumn("after", F.sum("bytes").over(upto)).join(F.broadcast(goal), "__node")
         hits = (runs.where(F.col("after") >= F.col("goal")).groupBy("__node").agg(F.min(F.struct("bucket", "bytes", "after")).alias("hit"))).collect()
         for row in hits:

@@ -40,6 +40,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of numbers as a relation of the plan itself, without Python on the executors."""
+    names, types = zip(*(x.split() for x in schema.split(",")))
+    typed = lambda v, t: f"{v!r}D" if t == "double" else f"{v}L" if t == "long" else str(v)
+    values = ", ".join("(" + ", ".join(typed(v, t) for v, t in zip(row, types)) + ")" for row in rows)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(f'`{n}`' for n in names)})")
+
+
 def arrow_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for documents of any length."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
