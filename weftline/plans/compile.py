@@ -28,7 +28,7 @@ def needed(graph: FormulaGraph, outputs: tuple[str, ...], given: set[str]) -> Fo
             continue
         seen.add(x)
         out.data_nodes[x] = graph.data_nodes[x]
-        if x in given and graph.data_nodes[x].merge is None:
+        if x in given:
             continue
         for f in graph.formulas.values():
             if x in f.outputs:
@@ -69,7 +69,12 @@ def _groups(graph: FormulaGraph) -> list[list[str]]:
 
 
 class _Rows:
-    """A DataFrame that grows columns, each layer in a projection of its own, and the names they have in it."""
+    """A DataFrame that grows columns, each layer in a projection of its own, and the names they have in it.
+
+    The layers are fences: Catalyst would move filters on results below them and infer constraints through them, and
+    write out each formula again for each use, without end on cycles. A condition on ``rand`` that always holds stops
+    both. Filters on given columns belong before ``compute``, where they reach the scan.
+    """
 
     def __init__(self, df: DataFrame):
         self.df, self.n = df, 0
@@ -77,7 +82,8 @@ class _Rows:
     def add(self, columns: dict[str, Column]) -> dict[str, str]:
         names = {k: f"__n{self.n + i}" for i, k in enumerate(columns)}
         self.n += len(columns)
-        self.df = self.df.withColumns({names[k]: c for k, c in columns.items()})
+        if columns:
+            self.df = self.df.select("*", *[F.when(F.rand(0) + 1 > 0, c).alias(names[k]) for k, c in columns.items()])
         return names
 
 
@@ -163,7 +169,8 @@ def _filtered(node: Data, found: Column | None) -> Column | None:
 
 
 def compute(graph: FormulaGraph, df: DataFrame, outputs: tuple[str, ...] | None = None, distances: dict[str, float] | None = None,
-            wildcard: bool | int = False, lineage: bool = False, cutoff: bool = True, nested: bool = False) -> DataFrame:
+            wildcard: bool | int = False, lineage: bool = False, cutoff: bool = True, nested: bool = False,
+            complete: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with a column for each data column of the graph (in each row: as far as it can be had there, else NULL).
 
     Columns of ``df`` that the graph doesn't know stay as they are; a NULL in one that it knows means that it isn't
@@ -171,7 +178,8 @@ def compute(graph: FormulaGraph, df: DataFrame, outputs: tuple[str, ...] | None
     ``outputs`` leaves out what isn't needed for them; with ``cutoff`` what lies beyond the farthest of them is NULL
     then. With ``wildcard`` a column that is given and asked for feeds the formulas, but its result is computed anew;
     with ``wildcard=2`` one that no formula estimates stays as given. ``nested`` shows columns of nested models, too.
-    ``lineage`` adds ``workflow``: the columns had, nearest first, with distance and formula.
+    ``complete`` names columns that every row gives, so that formulas for them are left out; columns that can't be NULL
+    are known to be. ``lineage`` adds ``workflow``: the columns had, nearest first, with distance and formula.
     """
     distances = distances or {}
     given = [c for c in df.columns if c in graph.data_nodes]
@@ -181,7 +189,7 @@ def compute(graph: FormulaGraph, df: DataFrame, outputs: tuple[str, ...] | None
         given = [c for c in df.columns if c in graph.data_nodes]
         distances = {f"{x}*" if x in wild else x: d for x, d in distances.items()}
     if outputs is not None:
-        graph = needed(graph, outputs, set(given))
+        graph = needed(graph, outputs, {c for c in given if c in complete or (not df.schema[c].nullable and c not in outputs)})
     rows, at, labels = _Rows(df), {}, {}
     starts = {}
     for x, node in graph.data_nodes.items():
@@ -205,7 +213,8 @@ def compute(graph: FormulaGraph, df: DataFrame, outputs: tuple[str, ...] | None
         cyclic = len(group) > 1 or any(set(graph.formulas[f].inputs) & set(group) for f in inner)
         state: dict[str, Column | None] = {}
         for _ in range(len(group) if cyclic else 1):
-            fresh = {f: c for f in sorted(inner) if (c := _formula(graph, graph.formulas[f], {**at, **state}, labels, used)) is not None and (cyclic or f not in results)}
+            open_ = [f for f in sorted(inner) if f not in results or set(graph.formulas[f].inputs) & set(group)]
+            fresh = {f: c for f in open_ if (c := _formula(graph, graph.formulas[f], {**at, **state}, labels, used)) is not None}
             fresh = {f: F.col(n) for f, n in rows.add(fresh).items()}
             results |= fresh
             made = lambda x: {f: results[f] for f in inner if f in results and x in graph.formulas[f].outputs}

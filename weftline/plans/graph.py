@@ -208,13 +208,13 @@ class FormulaGraph:
 
     def edges(self) -> list[tuple[str, str, float]]:
         """``(source, target, length)`` of all edges, defaults from ``START``."""
-        out = [(START, d.name, d.distance) for d in self.data_nodes.values() if d.default is not None]
+        out = [(START, d.name, float(d.distance)) for d in self.data_nodes.values() if d.default is not None]
         for f in self.formulas.values():
-            out += [(x, f.name, f.input_length(x)) for x in f.inputs or (START,)]
-            out += [(f.name, x, f.output_length(self.data_nodes.get(x, Data(x)))) for x in f.outputs]
+            out += [(x, f.name, float(f.input_length(x))) for x in f.inputs or (START,)]
+            out += [(f.name, x, float(f.output_length(self.data_nodes.get(x, Data(x))))) for x in f.outputs]
         return out
 
     def node_rows(self) -> list[tuple]:
-        return [(d.name, "data", d.weight, d.merge is not None, d.description) for d in self.data_nodes.values()] + [
-            (f.name, "formula", f.weight, True, f.description) for f in self.formulas.values()]
+        return [(d.name, "data", float(d.weight), d.merge is not None, d.description) for d in self.data_nodes.values()] + [
+            (f.name, "formula", float(f.weight), True, f.description) for f in self.formulas.values()]
 

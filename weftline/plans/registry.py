@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from weftline.plans import q_dispatch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(q_dispatch.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(q_dispatch.ORACLE_SQL)
