@@ -106,8 +106,10 @@ def fit(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang", do
 def predict(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """The language and its corrected share for each text; ``und`` and 0 where there is no letter."""
     n, many = len(texts), len(model.languages)
+    if not many:
+        return ["und"] * n, np.zeros(n)
     lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-    found, total = np.zeros((n, max(many, 1))), np.zeros(n)
+    found, total = np.zeros((n, many)), np.zeros(n)
     for a, b, gram, row in _grams(texts):
         mask = model.slots[_slots_of(gram, 0)]
         for k in range(1, HASHES):
@@ -116,8 +118,6 @@ def predict(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarra
         for j in range(mask.shape[1]):  # how often each byte of masks occurs in each row, then its bits
             times = np.bincount(row * 256 + mask[:, j], minlength=(b - a) * 256).reshape(-1, 256)
             found[a:b, j * 8 : j * 8 + 8] = (times @ _BITS)[:, : many - j * 8]
-    if not many:
-        return ["und"] * n, np.zeros(n)
     share = np.clip((found - total[:, None] * model.fp) / (1 - model.fp) / np.maximum(total, 1)[:, None], 0, 1)
     best = np.where(share.max(axis=1) > 0, share.argmax(axis=1), model.default)
     lang = [model.languages[i] if ok else "und" for i, ok in zip(best, lettered)]

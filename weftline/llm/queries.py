@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
-    placed = sharding.shard_documents(sharding.size_table(_table(spark, sf_dir, "documents")), shards=40)
+    placed = sharding.shard_documents(sharding.size_table(_table(spark, sf_dir, "documents")), shards=40, sized=True)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -135,21 +135,26 @@ def _numbered(rows: DataFrame, key: str) -> DataFrame:
             .withColumn("slot", (F.col("__first") + F.col("__rank") - 1).cast("long")).drop("__run", "__rank", "__first"))
 
 
-def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, extra_bytes: int = 16) -> DataFrame:
-    """Documents (of any columns besides ``doc_id``, ``lang``, ``source``) by size, language and source.
+def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, extra_bytes: int = 16, sized: bool = False) -> DataFrame:
+    """All rows and columns of ``docs`` with ``shard`` and ``slot``, by size, language and source.
 
-    A row's size is ``size`` where there is such a column, else the UTF-8 bytes of ``text`` and ``extra_bytes``.
-    Adds ``size``, ``text_crc32``, ``shard`` and ``slot``; a null text has no bytes.
+    A row's size is the UTF-8 bytes of ``text`` and ``extra_bytes``; a null text has no bytes. With ``sized``, ``docs``
+    comes from ``size_table`` instead. Columns that are called ``shard`` or ``slot`` already are replaced.
     """
-    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    rows = docs if "size" in docs.columns else docs.withColumns({
-        "size": bytes_ + extra_bytes, "text_crc32": F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))})
-    dims = [F.log2(F.col("size")), text_place(F.col("lang")), text_place(F.col("source"))]
-    return kd_shards(rows, dims, F.col("size"), F.col("text_crc32"), F.col("doc_id"), shards, target_bytes)
+    size, group = (F.col("size"), F.col("text_crc32")) if sized else (_size(extra_bytes), _crc())
+    dims = [F.log2(size), text_place(F.col("lang")), text_place(F.col("source"))]
+    return kd_shards(docs.drop("shard", "slot"), dims, size, group, F.col("doc_id"), shards, target_bytes)
+
+
+def _size(extra_bytes: int) -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + extra_bytes
+
+
+def _crc() -> Column:
+    return F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
 
 
 def size_table(docs: DataFrame, extra_bytes: int = 16) -> DataFrame:
     """The columns that sharding needs, written once, so that texts are read once."""
     return S.materialize(docs.select(
-        "doc_id", "lang", "source", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + extra_bytes).alias("size"),
-        F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32")))
+        "doc_id", "lang", "source", _size(extra_bytes).alias("size"), _crc().alias("text_crc32")))
