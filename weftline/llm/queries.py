@@ -91,6 +91,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op8_licences": licences.oracle(),
+    "op5_mixing": r"""
+WITH RECURSIVE c AS (SELECT coalesce('s' || source, 'n') AS key, count(*)::DOUBLE AS n FROM documents GROUP BY source),
+w0 AS (SELECT *, row_number() OVER (ORDER BY n DESC, key) - 1 AS m, count(*) OVER () AS many FROM c),
+w1 AS (SELECT *, sum(n) OVER (ORDER BY m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, greatest(0.25::DOUBLE, 1.0::DOUBLE / many) AS c FROM w0),
+w2 AS (SELECT *, CASE WHEN 1.0::DOUBLE - c * m > 1e-9 THEN c * rest / (1.0::DOUBLE - c * m) END AS cap FROM w1),
+a AS (SELECT m, coalesce(cap, n) AS cap, rest FROM w2 WHERE n <= cap OR m = many - 1 ORDER BY m LIMIT 1),
+e AS (SELECT key, w2.n, many, greatest(4096 - many, 0) * least(w2.n, a.cap) / (a.rest + a.m * a.cap) AS exact FROM w2, a),
+k0 AS (SELECT *, floor(exact) + 1 AS k, row_number() OVER (ORDER BY exact - floor(exact) DESC, key) AS r FROM e),
+k AS (SELECT key, n::BIGINT AS n, (k + CASE WHEN r <= 4096 - sum(k) OVER () THEN 1 ELSE 0 END)::BIGINT AS k FROM k0),
+s AS (SELECT list(key ORDER BY key) AS keys, list(k ORDER BY key) AS ks FROM k),
+edf AS (
+  SELECT -1::BIGINT AS t, list_transform(keys, lambda x: 0::BIGINT) AS nxt, 0::BIGINT AS pick FROM s
+  UNION ALL
+  SELECT t + 1, list_transform(nxt, lambda x, i: x + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
+    SELECT t, nxt, list_min(list_filter(list_transform(nxt, lambda x, i: CASE WHEN (x * 4096) // ks[i] <= t + 1
+      THEN {'due': ((x + 1) * 4096 + ks[i] - 1) // ks[i], 'i': i::BIGINT} END), lambda y: y IS NOT NULL)).i AS p FROM edf, s WHERE t < 4095)),
+turns AS (SELECT keys[pick] AS key, nxt[pick] - 1 AS turn, t AS place_of FROM edf, s WHERE t >= 0),
+fin AS (SELECT min((((n + 15) // 16 + 1) * 4096 + k - 1) // k) AS fin FROM k),
+d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS key,
+        row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rank FROM documents)
+SELECT doc_id, source, rank // 16 AS block, CAST(rank % 16 AS INTEGER) AS place, ((rank // 16) * 4096) // k AS release,
+  ((rank // 16 + 1) * 4096 + k - 1) // k AS deadline, ((rank // 16) // k) * 4096 + place_of AS slot, ((rank // 16) // k) * 4096 + place_of < fin AS taken
+FROM d JOIN k USING (key) JOIN turns ON turns.key = d.key AND turns.turn = (rank // 16) % k CROSS JOIN fin
+""",
     "op6_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
