@@ -136,13 +136,14 @@ def _numbered(rows: DataFrame, key: str) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, extra_bytes: int = 16, sized: bool = False) -> DataFrame:
-    """All rows and columns of ``docs`` with ``shard`` and ``slot``, by size, language and source.
+    """All rows and columns of ``docs`` with ``shard`` and ``slot``, by language, source and id.
 
-    A row's size is the UTF-8 bytes of ``text`` and ``extra_bytes``; a null text has no bytes. With ``sized``, ``docs``
+    Size is no dimension, as it would gather the largest texts in a few shards, whose sizes would then differ by a
+    large text. A row's size is the UTF-8 bytes of ``text`` and ``extra_bytes``; a null text has no bytes. With ``sized``, ``docs``
     comes from ``size_table`` instead. Columns that are called ``shard`` or ``slot`` already are replaced.
     """
     size, group = (F.col("size"), F.col("text_crc32")) if sized else (_size(extra_bytes), _crc())
-    dims = [F.log2(size), text_place(F.col("lang")), text_place(F.col("source"))]
+    dims = [text_place(F.col("lang")), text_place(F.col("source")), F.col("doc_id")]
     return kd_shards(docs.drop("shard", "slot"), dims, size, group, F.col("doc_id"), shards, target_bytes)
 
 
