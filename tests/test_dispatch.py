@@ -101,6 +101,22 @@ def test_construction_rules():
     assert set(g.extend(other).formulas) == {"f", "f<0>", "f<1>"} and set(g.formulas) == {"f", "f<0>"}
 
 
+def test_plan_without_data():
+    assert fixture().plan(["a", "b"]) == [(0, "a", "START"), (0, "b", "START"), (2, "c", "log(b - a)"), (4, "d", "min"), (6, "e", "2 / (d + 1)")]
+    assert [x for _, x, _ in fixture().plan(["a"])] == ["a", "d", "e", "b", "c"]
+    assert fixture().find("log") == "log(b - a)" and fixture().find("a") == "a"
+
+
+def test_planning_many_formulas_is_fast():
+    import time
+
+    g = FormulaGraph()
+    for i in range(700):
+        g.formula(lambda x: x, [f"c{i}"], f"c{i + 1}", name=f"f{i}")
+    began = time.perf_counter()
+    assert len(g.plan(["c0"])) == 701 and time.perf_counter() - began < 5
+
+
 def test_specification_round_trip(spark, tmp_path):
     spec = {"name": "s", "data": [{"name": "b", "default": 2.0}],
             "formulas": [{"build": "$1 + $2", "inputs": ["a", "b"], "outputs": "c"}, {"build": ["$1 * 2", "$1 - 1"], "inputs": ["c"], "outputs": ["d", "e"], "domain": "$1 > 0", "name": "two"}]}

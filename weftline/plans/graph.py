@@ -7,6 +7,7 @@ written as a specification, read back, taken apart, united with others or nested
 from __future__ import annotations
 
 import copy
+import heapq
 import inspect
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
@@ -206,6 +207,45 @@ class FormulaGraph:
 
         return compute(self, df, _names(outputs) or None, **how)
 
+    def plan(self, given: Iterable[str], distances: dict[str, float] | None = None) -> list[tuple[float, str, str]]:
+        """``(distance, column, formula)`` in the order of visits if all domains hold and nothing fails; no data needed."""
+        distances, settled, called = distances or {}, {}, set()
+        given = dict.fromkeys(given)
+        offers = [(distances.get(x, 0.0), x, START) for x in given if x in self.data_nodes]
+        offers += [(d.distance + distances.get(x, 0.0), x, START) for x, d in self.data_nodes.items() if d.default is not None and x not in given]
+        heapq.heapify(offers)
+        visits = []
+
+        def call() -> None:
+            for f in self.formulas.values():
+                if f.name not in called and all(x in settled for x in f.inputs):
+                    called.add(f.name)
+                    at = max(((settled[x], x) for x in f.inputs), default=None)
+                    d = at[0] + f.input_length(at[1]) if at else f.weight
+                    for x in f.outputs:
+                        if x in self.data_nodes and x not in settled:
+                            heapq.heappush(offers, (d + f.output_length(self.data_nodes[x]), x, f.name))
+
+        call()
+        while offers:
+            d, x, f = heapq.heappop(offers)
+            if x not in settled:
+                settled[x] = d
+                visits.append((d, x, f))
+                call()
+        return visits
+
+    def find(self, text: str) -> str:
+        """The column or formula of that name, else the first by name that contains the text."""
+        names = [*self.data_nodes, *self.formulas]
+        return text if text in names else next(iter(sorted(n for n in names if text in n)))
+
+    def describe(self, name: str) -> str:
+        """A column's or formula's description; without one, that of a formula next to it that has one."""
+        node = self.data_nodes.get(name) or self.formulas[name]
+        near = [f for f in self.formulas.values() if name in f.inputs] + [f for f in self.formulas.values() if name in f.outputs]
+        return node.description or next((f.description for f in near if f.description), "")
+
     def edges(self) -> list[tuple[str, str, float]]:
         """``(source, target, length)`` of all edges, defaults from ``START``."""
         out = [(START, d.name, float(d.distance)) for d in self.data_nodes.values() if d.default is not None]
