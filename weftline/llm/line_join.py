@@ -20,6 +20,8 @@ from .components import connected_components
 _SPACE_CHARS = " \t\x0b\x0c\r"
 #: Letters whose counts (5 bits each) rule pairs out: frequent ones of European languages.
 _LETTERS = "etaoinsrhdlu"
+#: Places at which lines that share a key with several classes are compared by their letters so far.
+_CUTS = (16, 32, 64, 96, 128, 192, 256, 384, 512, 1024)
 
 
 def _segments(length: str, edits: int) -> list[tuple[str, str]]:
@@ -52,17 +54,22 @@ def _probe_keys(edits: int) -> list[str]:
     return out
 
 
-def _letter_counts() -> str:
-    return " | ".join(f"shiftleft(cast((n - char_length(replace(line, '{c}', ''))) & 31 as bigint), {5 * i})" for i, c in enumerate(_LETTERS))
+def _letter_counts(text: str = "line") -> str:
+    return " | ".join(f"shiftleft(cast((octet_length({text}) - octet_length(replace({text}, '{c}', ''))) & 31 as bigint), {5 * i})" for i, c in enumerate(_LETTERS))
 
 
-def _may_link(a: str, b: str, edits: int) -> Column:
-    """Each edit changes two letter counts by one at most."""
+def _prefix_counts() -> Column:
+    """The letter counts of the line's first characters, up to several places."""
+    return F.array(*[F.expr(_letter_counts(f"substring(line, 1, {p})")) for p in _CUTS])
+
+
+def _may_link(a: str, b: str, edits: int) -> str:
+    """Each edit changes two letter counts by one at most; so it does within prefixes of one length, an indel's shift included."""
     parts = []
     for i in range(len(_LETTERS)):
         d = f"((shiftright({a}, {5 * i}) - shiftright({b}, {5 * i})) & 31)"
         parts.append(f"least({d}, 32 - {d})")
-    return F.expr(f"({' + '.join(parts)}) <= {2 * edits}")
+    return f"({' + '.join(parts)}) <= {2 * edits}"
 
 
 def banded_distance(a: str, b: str, edits: int) -> Column:
@@ -101,12 +108,17 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("n", F.char_length("line")).withColumn("line_id", F.xxhash64("line"))
 
 
+def _texts(ids: DataFrame, lines: DataFrame, max_broadcast: int) -> DataFrame:
+    """``line_id, line`` of the given ids."""
+    ids = S.materialize(ids.distinct())
+    wanted = F.broadcast(ids) if ids.count() <= max_broadcast else ids  # else the lines are dealt out by id
+    return S.materialize(lines.select("line_id", "line").join(wanted, "line_id").groupBy("line_id").agg(F.min("line").alias("line")))
+
+
 def _links(pairs: DataFrame, lines: DataFrame, edits: int, max_broadcast: int) -> DataFrame:
     """The pairs ``a, b`` whose lines are within ``edits``."""
     pairs = S.materialize(pairs.distinct())
-    ids = S.materialize(pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= max_broadcast else ids  # else the lines are dealt out by id
-    texts = S.materialize(lines.select("line_id", "line").join(wanted, "line_id").groupBy("line_id").agg(F.min("line").alias("line")))
+    texts = _texts(pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))), lines, max_broadcast)
     both = (pairs.join(texts.withColumnRenamed("line", "x"), pairs.a == texts.line_id).drop("line_id")
             .join(texts.withColumnRenamed("line", "y"), F.col("b") == texts.line_id).drop("line_id"))
     return S.materialize(both.where(banded_distance("x", "y", edits) <= edits).select("a", "b"))
@@ -123,29 +135,32 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ed
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("__row", F.monotonically_increasing_id())
     lines = _lines(source, "text")
-    places = S.materialize(lines.select("doc_id", "__row", "line_no", "line_id"))
-    long = lines.where(F.col("n") >= min_chars).withColumn("counts", F.expr(_letter_counts()))
-
-    def keyed(expressions: list[str], index: bool) -> DataFrame:
-        return long.select("line_id", "counts", F.explode(F.array(*map(F.expr, expressions))).alias("key"), F.lit(index).alias("indexed"))
-
-    pivots = S.materialize(keyed(_index_keys(edits), True).groupBy("key").agg(F.min(F.struct("line_id", "counts")).alias("p"))
-                           .select("key", F.col("p.line_id").alias("pivot"), F.col("p.counts").alias("pivot_counts")))
-    probes = long.select("line_id", "counts", F.explode(F.array(*[F.expr(f"struct({k} as key, true as indexed)") for k in _index_keys(edits)],
-                                                                *[F.expr(f"struct({k} as key, false as indexed)") for k in _probe_keys(edits)])).alias("k"))
-    met = S.materialize(probes.select("line_id", "counts", "k.key", "k.indexed").join(pivots, "key").where(F.col("line_id") != F.col("pivot"))
-                        .groupBy("key", "line_id").agg(F.max("indexed").alias("indexed"), F.max("counts").alias("counts"), F.max("pivot").alias("pivot"), F.max("pivot_counts").alias("pivot_counts")))
+    places = S.materialize(lines.select("doc_id", "__row", "line_no", "line_id", F.expr(_letter_counts()).alias("counts")))
+    long = lines.where(F.col("n") >= min_chars)
+
+    pivots = S.materialize(long.select("line_id", F.explode(F.array(*map(F.expr, _index_keys(edits)))).alias("key")).groupBy("key").agg(F.min("line_id").alias("pivot")))
+    probes = long.select("line_id", F.explode(F.array(*[F.expr(f"struct({k} as key, true as indexed)") for k in _index_keys(edits)],
+                                                      *[F.expr(f"struct({k} as key, false as indexed)") for k in _probe_keys(edits)])).alias("k"))
+    met = S.materialize(probes.select("line_id", "k.key", "k.indexed").join(pivots, "key").where(F.col("line_id") != F.col("pivot"))
+                        .groupBy("key", "line_id").agg(F.max("indexed").alias("indexed"), F.max("pivot").alias("pivot")))
+    ids = S.materialize(met.select("line_id").unionByName(met.select(F.col("pivot").alias("line_id"))).distinct())
+    wanted = F.broadcast(ids) if ids.count() <= max_broadcast else ids
+    counts = S.materialize(places.select("line_id", "counts").join(wanted, "line_id").distinct())
+    met = S.materialize(met.join(counts, "line_id").join(counts.select(F.col("line_id").alias("pivot"), F.col("counts").alias("pivot_counts")), "pivot"))
     ordered = [F.least("line_id", "pivot").alias("a"), F.greatest("line_id", "pivot").alias("b")]
-    links = _links(met.where(_may_link("counts", "pivot_counts", edits)).select(*ordered), lines, edits, max_broadcast)
+    links = _links(met.where(F.expr(_may_link("counts", "pivot_counts", edits))).select(*ordered), lines, edits, max_broadcast)
     found = S.materialize(connected_components(links))
 
-    members = met.select("key", "line_id", "counts", "indexed").unionByName(
-        met.select("key", F.col("pivot").alias("line_id"), F.col("pivot_counts").alias("counts"), F.lit(True).alias("indexed")).distinct())
+    # Pivots count among a key's classes; their own pairs are done.
+    members = met.select("key", "line_id", "counts", "indexed", F.lit(False).alias("first")).unionByName(
+        met.select("key", F.col("pivot").alias("line_id"), F.col("pivot_counts").alias("counts"), F.lit(True).alias("indexed"), F.lit(True).alias("first")).distinct())
     members = S.materialize(members.join(found.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("class", F.coalesce("root", "line_id")).drop("root"))
     sizes = members.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("top"))
-    open_ = S.materialize(members.join(sizes.where("classes > 1").select("key", F.col("top.class").alias("top")), "key"))
-    minor = open_.where(F.col("class") != F.col("top")).select("key", F.col("line_id").alias("x"), F.col("counts").alias("xc"), F.col("class").alias("xk"), F.col("indexed").alias("xi"))
-    more = minor.join(open_, "key").where((F.col("xk") != F.col("class")) & (F.col("xi") | F.col("indexed")) & _may_link("counts", "xc", edits))
+    open_ = S.materialize(members.join(sizes.where("classes > 1").select("key", F.col("top.class").alias("top")), "key").where("not first").drop("first"))
+    open_ = S.materialize(open_.join(_texts(open_.select("line_id"), lines, max_broadcast).select("line_id", _prefix_counts().alias("cuts")), "line_id"))
+    minor = open_.where(F.col("class") != F.col("top")).select("key", F.col("line_id").alias("x"), F.col("counts").alias("xc"), F.col("cuts").alias("xp"), F.col("class").alias("xk"), F.col("indexed").alias("xi"))
+    near = F.expr(f"{_may_link('counts', 'xc', edits)} and forall(zip_with(cuts, xp, (p, q) -> {_may_link('p', 'q', edits)}), ok -> ok)")
+    more = minor.join(open_, "key").where((F.col("xk") != F.col("class")) & (F.col("xi") | F.col("indexed")) & near)
     links = links.unionByName(_links(more.select(F.least("x", "line_id").alias("a"), F.greatest("x", "line_id").alias("b")), lines, edits, max_broadcast))
     found = S.materialize(connected_components(links)).withColumnRenamed("node", "line_id")
 
