@@ -135,7 +135,7 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ed
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("__row", F.monotonically_increasing_id())
     lines = _lines(source, "text")
-    places = S.materialize(lines.select("doc_id", "__row", "line_no", "line_id", F.expr(_letter_counts()).alias("counts")))
+    places = S.materialize(lines.select("doc_id", "__row", "line_no", "line_id"))
     long = lines.where(F.col("n") >= min_chars)
 
     pivots = S.materialize(long.select("line_id", F.explode(F.array(*map(F.expr, _index_keys(edits)))).alias("key")).groupBy("key").agg(F.min("line_id").alias("pivot")))
@@ -143,9 +143,8 @@ def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ed
                                                       *[F.expr(f"struct({k} as key, false as indexed)") for k in _probe_keys(edits)])).alias("k"))
     met = S.materialize(probes.select("line_id", "k.key", "k.indexed").join(pivots, "key").where(F.col("line_id") != F.col("pivot"))
                         .groupBy("key", "line_id").agg(F.max("indexed").alias("indexed"), F.max("pivot").alias("pivot")))
-    ids = S.materialize(met.select("line_id").unionByName(met.select(F.col("pivot").alias("line_id"))).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= max_broadcast else ids
-    counts = S.materialize(places.select("line_id", "counts").join(wanted, "line_id").distinct())
+    ids = met.select("line_id").unionByName(met.select(F.col("pivot").alias("line_id")))
+    counts = S.materialize(_texts(ids, lines, max_broadcast).select("line_id", F.expr(_letter_counts()).alias("counts")))
     met = S.materialize(met.join(counts, "line_id").join(counts.select(F.col("line_id").alias("pivot"), F.col("counts").alias("pivot_counts")), "pivot"))
     ordered = [F.least("line_id", "pivot").alias("a"), F.greatest("line_id", "pivot").alias("b")]
     links = _links(met.where(F.expr(_may_link("counts", "pivot_counts", edits))).select(*ordered), lines, edits, max_broadcast)
