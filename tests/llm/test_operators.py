@@ -128,6 +128,14 @@ def test_decontamination_edges(spark, awkward, empty, duck):
     assert exact <= found
 
 
+def test_decontamination_without_the_first_words():
+    rng = random.Random(9)
+    items = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(400)]
+    texts = [f"other words {k} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(20)) if k % 2 == 0 else " ".join(items[k].split()[8:]) for k in range(400)]
+    found = {(r, i): (d, first, n) for r, i, d, first, n in decontaminate.matches(decontaminate.prepare(items), pa.array(texts))}
+    assert found == {(k, k): (8, 0, 32) for k in range(1, 400, 2)}
+
+
 def _fingerprint(text):
     words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:

@@ -111,8 +111,12 @@ def prepare(texts: list[str | None], similarity: float = 0.8, recall: float = 0.
     return Passages(words, similarity, plans, keys, anchors)
 
 
-def _candidates(model: Passages, words: np.ndarray) -> np.ndarray:
-    """Sorted unique rows ``(item, place where the item would begin)`` of all windows whose keys meet an item's."""
+def _candidates(model: Passages, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sorted unique ``(item, row, place where the item would begin)`` of all windows whose keys meet an item's.
+
+    ``rows`` has the place of each row's first word. The row is that of the window itself: the item's first words may be
+    missing at a row's start, so the item is taken to begin at the row's first word at the earliest.
+    """
     found = []
     for low in range(0, len(words), _STARTS):
         starts = np.arange(low, min(low + _STARTS, len(words)))
@@ -124,8 +128,10 @@ def _candidates(model: Passages, words: np.ndarray) -> np.ndarray:
                 n = last - first
                 at, first, n = at[n > 0], first[n > 0], n[n > 0]
                 which = anchor[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                found.append(np.stack([item[which], np.repeat(starts[at], n) - offset[which]], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                begin = np.repeat(starts[at], n)
+                row = np.searchsorted(rows, begin, side="right") - 1
+                found.append(np.stack([item[which], row, np.maximum(begin - offset[which], rows[row])], axis=1))
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
 def best_match(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -151,10 +157,8 @@ def matches(model: Passages, texts: pa.Array) -> list[tuple[int, int, int, int,
     for a, _, words, first in _words(texts):
         best: dict[tuple[int, int], tuple] = {}
         known: dict[tuple, tuple] = {}
-        found = _candidates(model, words)
-        rows = np.searchsorted(first, np.maximum(found[:, 1], 0), side="right") - 1
         seen: dict[tuple[int, int], int] = {}
-        for (i, at), row in zip(found.tolist(), rows.tolist()):
+        for i, row, at in _candidates(model, words, first).tolist():
             item = model.words[i]
             n, slack = len(item), int((1 - model.similarity) * len(item) + 1e-9)
             low, high = int(first[row]), int(first[row + 1]) - 1
