@@ -205,6 +205,38 @@ def test_mixing(spark, awkward, empty):
     assert mixing.mix(awkward).count() == 10 and mixing.mix(empty).count() == 0
 
 
+def _documents(spark, many, source):
+    return spark.range(many).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", f"{source} AS source", "1L AS n_chars")
+
+
+@pytest.mark.parametrize("many, source, kept", [
+    (200_001, "if(id = 200000, null, concat('s', id % 5))", 200_001),  # a single row without a source
+    (200_000, "concat('s', id % 5000)", 200_000),  # more sources than parts
+    (302, "if(id >= 300, 'rare', concat('s', id % 3))", 302),  # too few sources for the ceiling
+    (50_006, "if(id < 40000, 'hot', if(id < 50000, concat('s', id % 10), 'rare'))", 10_006 + 3_335),
+])
+def test_mixture_is_not_ended_by_rare_sources(spark, many, source, kept):
+    import corpus_pipeline
+
+    docs = _documents(spark, many, source)
+    got = corpus_pipeline.mixed(spark, docs, SF).groupBy("source").count().toPandas()
+    assert got["count"].sum() == kept
+    full = docs.groupBy("source").count().toPandas()  # all but the largest source are whole
+    assert sorted(got["count"])[:-1] == sorted(full["count"])[:-1] and (kept == many or got["count"].max() * 4 <= kept)
+
+
+def test_shares_of_a_mixture(spark, awkward, empty):
+    docs = _documents(spark, 2003, "if(id < 1500, 'hot', if(id < 2000, concat('s', id % 7), 'rare'))")
+    got = mixing.mix_shares(docs).toPandas()
+    assert len(got) == 2003 and got.doc_id.is_unique and (got[got.source != "hot"].taken).all() and got.taken.sum() == 503 + 503 // 3
+    taken = got[got.taken]
+    assert ((taken.release <= taken.slot) & (taken.slot < taken.deadline)).all() and taken.deadline.max() == len(taken)
+    for _, rows in taken.groupby("source"):
+        assert sorted(16 * rows.block + rows.place) == list(range(len(rows)))
+        assert all(abs((rows.slot < t).sum() - t * len(rows) / len(taken)) <= 16 for t in range(len(taken) + 1))
+    assert mixing.mix_shares(awkward).count() == 10 and mixing.mix_shares(empty).count() == 0
+
+
 def test_rules(spark, awkward, empty):
     out = {(r.doc_id, r.n_words): r for r in rules.apply_rules(awkward).collect()}
     long = out[5, 30001]

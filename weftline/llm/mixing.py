@@ -4,10 +4,16 @@ A source with weight ``k / parts`` may start its block ``j`` in slot ``floor(j *
 must have had it by slot ``ceil((j + 1) * parts / k)`` (its deadline). Earliest-deadline-first over these
 windows meets every deadline, so at each point of the mixture every source is less than one block away from
 its share. The windows repeat after ``parts`` slots; one period is scheduled, and rows find their slot in it.
+
+``mix`` ends where the first source has run out. ``mix_shares`` takes the shares from the rows themselves, so that
+all sources run out at its end.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +70,27 @@ def schedule(weights: DataFrame) -> DataFrame:
     return runs.select(F.expr("s[g.i].key").alias("key"), "g.turn", "g.at")
 
 
+def _ranges(docs: DataFrame, source: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their source's key and hash; the counts of each source's 4096 ranges of the hash; where ranges start.
+
+    A source is ranked in ranges, so that the largest one is spread as widely as the others.
+    """
+    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    rows = docs.withColumns({"__key": source_key(F.col(source)), "__h": digest}).withColumn("__range", F.substring("__h", 1, 3))
+    ranges = S.materialize(rows.groupBy(F.col("__key").alias("key"), F.col("__range").alias("range")).agg(F.count("*").alias("n")))
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranges.select(F.col("key").alias("__key"), F.col("range").alias("__range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"),
+                          F.sum("n").over(Window.partitionBy("key")).alias("__n"))
+    return rows, ranges, first
+
+
+def _ranked(rows: DataFrame, first: DataFrame, doc_id: str) -> DataFrame:
+    """Rows with their rank in their source, from 0, by hash and id."""
+    order = Window.partitionBy("__key", "__range").orderBy("__h", doc_id)
+    return (rows.withColumn("__rn", F.row_number().over(order)).join(first, ["__key", "__range"])
+            .withColumn("__rank", F.col("__first") + F.col("__rn") - 1).drop("__first", "__rn"))
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source", doc_id: str = "doc_id",
         block_rows: int = 16, ceiling: float = 0.25, parts: int = 4096) -> DataFrame:
     """All rows and columns of ``docs`` with their place in the mixture.
@@ -77,12 +104,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     of the row counts. A null source is a source of its own, a null id sorts first, repeated rows count as
     rows, an empty table stays empty.
     """
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumns({"__key": source_key(F.col(source)), "__h": digest}).withColumn("__range", F.substring("__h", 1, 3))
-    # A source is ranked in 4096 ranges of the hash, so that the largest one is spread as widely as the others.
-    ranges = S.materialize(rows.groupBy(F.col("__key").alias("key"), F.col("__range").alias("range")).agg(F.count("*").alias("n")))
-    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    first = ranges.select(F.col("key").alias("__key"), F.col("range").alias("__range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    rows, ranges, first = _ranges(docs, source, doc_id)
     counts = ranges.groupBy("key").agg(F.sum("n").alias("n"))
     if weights is None:
         weights = capped_weights(counts, ceiling, parts)
@@ -92,14 +114,61 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     end = weights.agg(F.min(F.expr(f"({blocks} * {period} + k - 1) div k")).alias("end")).first()["end"]
     parts_of = weights.select(F.col("key").alias("__key"), F.col("k").alias("__k"))
     turns = schedule(weights).select(F.col("key").alias("__key"), F.col("turn").alias("__turn"), F.col("at").alias("__at"))
-    order = Window.partitionBy("__key", "__range").orderBy("__h", doc_id)
-    ranked = (rows.withColumn("__rn", F.row_number().over(order)).join(first, ["__key", "__range"])
+    ranked = (_ranked(rows, first.drop("__n"), doc_id)
               .join(F.broadcast(parts_of), "__key")  # a row for each source
-              .withColumn("__rank", F.col("__first") + F.col("__rn") - 1)
               .withColumn("block", F.expr(f"__rank div {block_rows}")).withColumn("place", (F.col("__rank") % block_rows).cast("int"))
               .withColumn("__turn", F.col("block") % F.col("__k"))
               .join(F.broadcast(turns), ["__key", "__turn"]))  # a row for each part
     out = ranked.withColumns({
         "release": F.expr(f"(block * {period}) div __k"), "deadline": F.expr(f"((block + 1) * {period} + __k - 1) div __k"),
         "slot": F.expr(f"(block div __k) * {period} + __at")})
-    return out.withColumn("taken", F.col("slot") < F.lit(end)).drop("__key", "__h", "__range", "__first", "__rn", "__rank", "__k", "__turn", "__at")
+    return out.withColumn("taken", F.col("slot") < F.lit(end)).drop("__key", "__h", "__range", "__rank", "__k", "__turn", "__at")
+
+
+def share_limit(counts: DataFrame, ceiling: float = 0.25, real: float = 1 / 16) -> tuple[int, int]:
+    """``(limit, total)``: the rows of a source that a mixture of all sources can hold, and that mixture's rows.
+
+    The mixture is the largest one in which no source is above ``ceiling``, or above an equal share of the largest
+    sources where the others are too few for it: where all others together have less than ``real`` of the rows of the
+    least of those. So no rare source holds the others down. As few sources as fit under the ceiling can be
+    above it, and the driver sees only those.
+    """
+    total, share = counts.agg(F.sum("n")).first()[0] or 0, Fraction(str(ceiling))
+    largest = [r["n"] for r in counts.orderBy(F.desc("n")).limit(math.ceil(1 / share)).collect()]
+    rest = total
+    for m, n in enumerate(largest, 1):
+        rest -= n
+        if rest < real * n:
+            share = max(share, Fraction(1, m))
+            break
+    rest, limit = total, Fraction(0)
+    for m, n in enumerate(largest):
+        limit = share * rest / (1 - share * m)  # if the m largest sources are above it
+        if n <= limit:
+            break
+        rest -= n
+    limit = math.floor(limit)
+    return limit, int(counts.agg(F.sum(F.least("n", F.lit(limit)))).first()[0] or 0)
+
+
+def mix_shares(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", block_rows: int = 16,
+               ceiling: float = 0.25, real: float = 1 / 16) -> DataFrame:
+    """All rows and columns of ``docs`` with their place in a mixture that holds each source whole or up to its limit.
+
+    A row is ``taken`` unless its source is above ``share_limit`` and has given that many rows before, by a hash of the
+    id; so only what is above the ceiling is left out, however rare or many the other sources are. ``block`` and
+    ``place`` are as in ``mix``; ``release``, ``deadline`` and ``slot`` are counted in rows of the mixture. A source with
+    ``q`` of its ``total`` rows has its block between ``floor(first row * total / q)`` and ``ceil(end row * total / q)``,
+    in a slot drawn by hash, so at each point every source is at most one block away from its share. Blocks of
+    several sources may have one slot: sort by slot, source and place. Rows not taken have no release, deadline and slot.
+    """
+    rows, ranges, first = _ranges(docs, source, doc_id)
+    limit, total = share_limit(ranges.groupBy("key").agg(F.sum("n").alias("n")), ceiling, real)
+    ranked = _ranked(rows, first, doc_id).withColumns({
+        "block": F.expr(f"__rank div {block_rows}"), "place": (F.col("__rank") % block_rows).cast("int"),
+        "__q": F.least("__n", F.lit(limit).cast("long")), "taken": F.col("__rank") < limit})
+    out = ranked.withColumns({
+        "release": F.expr(f"if(taken, (cast(block * {block_rows} as decimal(19, 0)) * {total}) div __q, null)"),
+        "deadline": F.expr(f"if(taken, (cast(least((block + 1) * {block_rows}, __q) as decimal(19, 0)) * {total} + __q - 1) div __q, null)")})
+    out = out.withColumn("slot", F.expr("release + pmod(xxhash64(__key, block), deadline - release)"))
+    return out.select(*docs.columns, "block", "place", "release", "deadline", "slot", "taken")
