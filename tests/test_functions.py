@@ -33,6 +33,19 @@ def test_nested(spark):
     assert value(spark, C.prune_nulls(F.lit('{"a":null,"b":1}'), "a int, b int")) == '{"b":1}'
 
 
+def test_nulls_are_pruned_at_every_level(spark):
+    pruned = lambda text, schema: value(spark, C.prune_nulls(F.lit(text), schema))
+    assert pruned('{"a":[1,null,3],"b":{"c":null,"d":[null,{"e":null,"f":2}]},"g":[[null,1],null]}',
+                  "a array<int>, b struct<c: int, d: array<struct<e: int, f: int>>>, g array<array<int>>") == '{"a":[1,3],"b":{"d":[{"f":2}]},"g":[[1]]}'
+    assert pruned('{"b":null,"m":{"x":null,"y":[null]}}', "b struct<c: int>, m map<string, array<int>>") == '{"m":{"y":[]}}'
+    assert pruned("[1,null]", "array<int>") == "[1]" and value(spark, C.prune_nulls(F.lit(None).cast("string"), "a int")) is None
+
+
+def test_files_without_content_are_kept(spark):
+    rows = spark.createDataFrame([(1, None), (2, "x"), (3, None)], "id int, data string")
+    assert {r.id: (r.first_file, r.copies) for r in docquery.deduplicate_files(rows, "data", "id").collect()} == {1: (1, 2), 2: (2, 1), 3: (1, 2)}
+
+
 def test_distances(spark):
     a, b = distance.pair(1, 2), distance.pair(0, 100)
     assert value(spark, a > b) and value(spark, distance.add(a, 3)).asDict() == {"inf": 1, "num": 5} and value(spark, distance.mul(a, 2)).asDict() == {"inf": 2, "num": 4}

@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bypass(*columns: Column) -> Column:
@@ -117,8 +118,18 @@ def _merge(left, right):
 
 
 def prune_nulls(value: Column, schema: str) -> Column:
-    """JSON text without null fields and null array elements, read with ``schema`` (fields that it lacks are left out)."""
-    return F.to_json(F.from_json(value, schema), {"ignoreNullFields": "true"})
+    """JSON text without null fields and null array elements at any level, read with ``schema`` (fields that it lacks are left out)."""
+    return F.to_json(_without_nulls(F.from_json(value, schema), T.DataType.fromDDL(schema)), {"ignoreNullFields": "true"})
+
+
+def _without_nulls(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.ArrayType):
+        return F.transform(F.array_compact(value), lambda x: _without_nulls(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(F.map_filter(value, lambda _, v: v.isNotNull()), lambda _, v: _without_nulls(v, kind.valueType))
+    if isinstance(kind, T.StructType) and kind.fields:
+        return F.when(value.isNotNull(), F.struct(*[_without_nulls(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
 
 
 def merge_known(left: Column, right: Column, fields: dict[str, dict | str]) -> Column:

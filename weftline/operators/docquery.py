@@ -253,10 +253,10 @@ def content_hash(*columns: Column, bits: int = 256) -> Column:
 
 
 def deduplicate_files(files: DataFrame, content: str, order: str, bits: int = 512) -> DataFrame:
-    """Each file with the first file of the same content (by ``order``); hot contents are reduced before the join."""
+    """Each file with the first file of the same content (by ``order``); hot contents are reduced before the join. Null contents are equal."""
     hashed = files.withColumn("hash", F.sha2(F.col(content).cast("binary"), bits))
-    first = hashed.groupBy("hash").agg(F.min(order).alias("first_file"), F.count("*").alias("copies"))
-    return hashed.join(first, "hash")
+    first = hashed.groupBy(F.col("hash").alias("__same")).agg(F.min(order).alias("first_file"), F.count("*").alias("copies"))
+    return hashed.join(first, F.col("hash").eqNullSafe(F.col("__same"))).select("hash", *files.columns, "first_file", "copies")
 
 
 def latest(rows: DataFrame, keys: list[str], time: str, before: Column | None = None) -> DataFrame:

@@ -92,8 +92,9 @@ def doc_projection(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, '{\"k\":' || (props->>'k') || ',\"list\":[1,3]}' AS pruned FROM events")
 def doc_prune_nulls(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("event_id", F.from_json("props", "k int").alias("p"))
-    rows = rows.select("event_id", F.struct(F.col("p.k").alias("k"), F.lit(None).cast("string").alias("gone"), F.array_compact(F.array(F.lit(1), F.lit(None).cast("int"), F.lit(3))).alias("list")).alias("d"))
-    return rows.select("event_id", F.to_json("d").alias("pruned"))
+    given = F.struct(F.col("p.k").alias("k"), F.lit(None).cast("string").alias("gone"), F.array(F.lit(1), F.lit(None).cast("int"), F.lit(3)).alias("list"))
+    text = F.to_json(given, {"ignoreNullFields": "false"})
+    return rows.select("event_id", C.prune_nulls(text, "k int, gone string, list array<int>").alias("pruned"))
 
 
 @query("""SELECT event_id, coalesce(CAST(m->>'k' AS INTEGER), -1) AS k, CAST(m->>'extra' AS INTEGER) AS extra, coalesce(m->>'$.deep.b', '') AS b
