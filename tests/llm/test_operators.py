@@ -248,6 +248,18 @@ def test_rules(spark, awkward, empty):
     assert got == {i: (i < 15 and i % 2 == 1) or (i >= 15 and i % 2 == 1) for i in range(40)}
 
 
+def test_frequent_lines_are_removed(spark, awkward, empty):
+    def text(i, common):
+        return "\n".join([f"own line {chr(97 + i % 26) * (1 + i // 26)}", *common, "", "the end " + chr(97 + i % 26) * (2 + i // 26)])
+
+    docs = [(i, text(i, ["  Posted in 20%02d " % (i % 90)] if i < 30 else []), "hot") for i in range(2000)] + [(2000, "posted in 2001", None), (2001, None, "hot")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in rules.remove_frequent_lines(docs, enough=20).collect()}  # 1.5 % of its host
+    assert got == {i: text(i, []) for i in range(2000)} | {2000: "posted in 2001", 2001: None}
+    assert {r.removed_chars for r in rules.apply_rules(docs, enough=20).where("doc_id < 30").collect()} == {14}
+    assert sorted(map(str, rules.remove_frequent_lines(awkward).collect())) == sorted(map(str, awkward.collect())) and rules.remove_frequent_lines(empty).count() == 0
+
+
 def _distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a):

@@ -50,26 +50,35 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
+def _normal(text: Column) -> Column:
+    return F.translate(text, _UPPER + "123456789", _LOWER + "000000000")
+
+
 def line_list(text: Column, host: Column) -> Column:
     """``(h, c)`` of each line with a word: a hash of its host and normalised form, and its code points.
 
     Normalised: A-Z lower-cased, digits alike, outer whitespace gone.
     """
-    t = F.translate(F.coalesce(text, F.lit("")), _UPPER + "123456789", _LOWER + "000000000")
+    t = _normal(F.coalesce(text, F.lit("")))
     lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(_SPACE_CHARS))), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(F.xxhash64(host, x).alias("h"), F.char_length(x).alias("c")))
 
 
-def frequent_lines(rows: DataFrame, min_docs: int, min_share: float) -> DataFrame:
-    """``h`` of the lines in more than ``min_docs`` documents and more than ``min_share`` of the documents of their host."""
+def frequent_lines(rows: DataFrame, min_docs: int, min_share: float, enough: int | None = None) -> DataFrame:
+    """``h`` of the lines in more than ``min_docs`` documents and more than ``min_share`` of the documents of their host.
+
+    More than ``enough`` documents suffice, however large the host is.
+    """
     seen = rows.select("host", F.explode(F.expr("array_distinct(transform(lines, x -> x.h))")).alias("h"))
     counts = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("host").alias("host")).where(F.col("n") > min_docs)
     hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    return counts.join(hosts, counts.host.eqNullSafe(hosts.host)).where(F.col("n") > F.col("docs") * min_share).select("h")
+    often = F.col("n") > F.col("docs") * min_share
+    often = often if enough is None else often | (F.col("n") > enough)
+    return counts.join(hosts, counts.host.eqNullSafe(hosts.host)).where(often).select("h")
 
 
 def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",),
-                min_docs: int = 10, min_share: float = 0.02, max_removed: float = 0.5) -> DataFrame:
+                min_docs: int = 10, min_share: float = 0.02, max_removed: float = 0.5, enough: int | None = None) -> DataFrame:
     """``keep`` columns, the measures, ``base_failed``, ``removed_chars``, ``line_chars`` and ``kept``; a row for each row.
 
     A line counts once for each document (row) that has it. ``kept`` is false for a document that fails the base
@@ -78,7 +87,7 @@ def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", keep:
     """
     rows = measures(docs.select(*keep, F.col(host).cast("string").alias("host"), F.col(text).alias("__text")), "__text")
     rows = S.materialize(rows.withColumn("lines", line_list(F.col("__text"), F.col("host"))).drop("__text").withColumn("__row", F.monotonically_increasing_id()))
-    common = S.materialize(frequent_lines(rows, min_docs, min_share))
+    common = S.materialize(frequent_lines(rows, min_docs, min_share, enough))
     each = rows.select("__row", F.explode("lines").alias("l")).select("__row", F.col("l.h").alias("h"), F.col("l.c").alias("c"))
     lost = each.join(common, "h").groupBy("__row").agg(F.sum("c").alias("removed_chars"))
     out = rows.join(lost, "__row", "left").withColumns({
@@ -87,3 +96,22 @@ def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", keep:
         "base_failed": base_failed(F.col("n_words"), F.col("n_repeat_words"))})
     depleted = F.col("removed_chars") > F.col("line_chars") * max_removed
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__row", "host", "lines")
+
+
+def remove_frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = 10, min_share: float = 0.02,
+                          enough: int | None = 1000) -> DataFrame:
+    """All rows and columns of ``docs``, their texts without the frequent lines; null texts stay null.
+
+    Lines are told apart as in ``apply_rules``, blank ones stay. Only line hashes are shuffled for the search; each
+    text is put together within its row.
+    """
+    rows = S.materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    name = F.col(host).cast("string")
+    lines = rows.select("__row", name.alias("host"), line_list(F.col(text), name).alias("lines"))
+    common = S.materialize(frequent_lines(lines, min_docs, min_share, enough))
+    each = lines.select("__row", F.explode(F.expr("array_distinct(transform(lines, x -> x.h))")).alias("h"))
+    gone = each.join(common, "h").groupBy("__row").agg(F.collect_set("h").alias("__gone"))
+    known = lambda x: F.array_contains(F.col("__gone"), F.xxhash64(name, F.btrim(_normal(x), F.lit(_SPACE_CHARS))))
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~known(x)), "\n")
+    out = rows.join(gone, "__row", "left").withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left))
+    return out.select(*docs.columns)
