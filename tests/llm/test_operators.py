@@ -306,17 +306,39 @@ def test_lines(spark, awkward, empty):
         while top[x] != x:
             x = top[x]
         return x
+    links = dict.fromkeys(lines, 0)
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if min(len(a), len(b)) >= 10 and abs(len(a) - len(b)) <= 2 and _distance(a, b) <= 2:
+            edits = min(2, min(len(a), len(b)) // 5)
+            if edits and abs(len(a) - len(b)) <= edits and _distance(a, b) <= edits:
                 top[root(a)] = root(b)
+                links[a], links[b] = links[a] + 1, links[b] + 1
     want, got = {}, {}
     for x in lines:
         want.setdefault(root(x), []).extend(places[x])
     for r in out:
         got.setdefault(r.class_id, []).append((r.doc_id, r.line_no))
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and sum(r.kept for r in out) == len(want)
+    assert {(r.doc_id, r.line_no): r.n_links for r in out if r.doc_id < 50} == {at: links[x] for x in lines for at in places[x] if at[0] < 50}
     assert line_join.line_classes(awkward).count() == 7 and line_join.line_classes(empty).count() == 0
+    kept = {r.doc_id: r.text for r in line_join.remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    stay = {(r.doc_id, r.line_no) for r in out if r.kept}
+    assert {i: [x for x in t.split("\n") if x.strip()] for i, t in kept.items() if i < 50} == {i: [x for k, x in enumerate(t.split("\n")) if (i, k) in stay] for i, t in docs if i < 50}
+    assert sorted(map(str, line_join.remove_repeated_lines(empty).collect())) == []
+
+
+def test_many_lines_under_one_key(spark, monkeypatch):
+    """Groups above the limit are taken apart, with the same links: a shared opening, and numbers in one frame."""
+    monkeypatch.setattr(line_join, "_GROUP", 8)
+    rng = random.Random(6)
+    lines = {"an opening that all of these lines share: " + "".join(rng.choice("abcdefgh ") for _ in range(20)) + "." for _ in range(60)}
+    lines |= {_typo(rng, x, 2).strip() for x in list(lines)[:20]} | {f"line number {k:03d} of the table" for k in range(0, 900, 23)} | {str(k) for k in range(12345, 12400)}
+    lines = sorted(lines)
+    rows = line_join._lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").withColumn("__row", F.col("doc_id")), "text").cache()
+    names = {r.line_id: r.line for r in rows.collect()}
+    got = sorted(tuple(sorted((names[r.a], names[r.b]))) for r in line_join.line_links(rows).collect())
+    want = [(a, b) for a in lines for b in lines if a < b and abs(len(a) - len(b)) <= 2 and _distance(a, b) <= min(2, min(len(a), len(b)) // 5)]
+    assert got == sorted(want)
 
 
 def test_licences(spark, awkward, empty):

@@ -1,16 +1,21 @@
 """Near-duplicate lines by a segment-partition edit join (op7), with DataFrame operations alone.
 
-Lines within ``edits`` edits of each other agree on at least one of ``edits + 1`` segments. Each line is indexed
-by its segments, and probes the index with those substrings that can be such a segment for each length in
-reach. What meets under a key is filtered by letter counts and verified by a banded bit-parallel edit distance.
-
-Groups of lines under one key are not paired with each other: each line is first compared with the key's pivot,
-its first line. Only where a key's lines then still belong to several classes, those outside its largest class
-are compared with the others. So no link between classes is lost, and a large group costs about its size.
+Lengths fall into buckets, and within a bucket every line is cut at the same places into one segment more than edits
+are allowed: the first ones counted from the line's start, the others from its end. Let ``k`` be the first segment up to
+whose end two linked lines have ``k`` edits at most. Then there are exactly ``k`` edits before it and none in it, so
+it stands in both lines at places that differ by ``k`` at most from the nearer end. Each line is indexed by its
+segments and probes the index by them, shifted by so much. A line near its bucket's lower end does so for the bucket
+below, too.
+
+What meets under a key is verified: by letter counts, then by a banded bit-parallel edit distance. A key with very
+many lines isn't paired at all: what is left of its lines without the segment is within the same edits, so those
+rests are joined in the same way under that key, until groups are small.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,51 +25,78 @@ from .components import connected_components
 _SPACE_CHARS = " \t\x0b\x0c\r"
 #: Letters whose counts (5 bits each) rule pairs out: frequent ones of European languages.
 _LETTERS = "etaoinsrhdlu"
-#: Places at which lines that share a key with several classes are compared by their letters so far.
-_CUTS = (16, 32, 64, 96, 128, 192, 256, 384, 512, 1024)
+#: Lines under one key that are paired with each other; a key with more is taken apart first.
+_GROUP = 64
 
 
-def _segments(length: str, edits: int) -> list[tuple[str, str]]:
-    """SQL for ``(first place from 1, length)`` of each of ``edits + 1`` even segments; the last ones are the longer."""
-    many = edits + 1
-    base, rest = f"({length} div {many})", f"({length} % {many})"
+def _bucket(n: str) -> str:
+    """The least length of the bucket of length ``n``: its four leading bits."""
+    return f"({n} - {n} % shiftleft(1, greatest(0, length(bin({n})) - 4)))"
+
+
+def _segments(edits: int) -> list[tuple[int, int, list[int]]]:
+    """``(segment, of how many, its shifts)``: 0 for the index, the others to probe it."""
     out = []
-    for k in range(many):
-        longer_before = f"greatest(0, {k} - ({many} - {rest}))"
-        out.append((f"(1 + {base} * {k} + {longer_before})", f"({base} + if({k} >= {many} - {rest}, 1, 0))"))
+    for k in range(edits + 1):
+        w = min(k, edits - k)
+        out.append((k, edits + 1, [0, *range(1, w + 1), *(range(-1, -w - 1, -1) if w > 1 else ())]))
     return out
 
 
-def _key(segment: int, length: str, first: str, size: str) -> str:
-    return f"xxhash64({segment}, {length}, substring(line, cast({first} as int), cast({size} as int)))"
-
+def _place(k: int, edits: int, shift: int) -> tuple[str, str]:
+    """SQL for ``(place from 1, length)`` of segment ``k`` of a line with ``n`` characters in the bucket from ``b``."""
+    many = edits + 1
+    size = f"(b div {many})" if k < edits else f"(b - {edits} * (b div {many}))"
+    if 2 * k <= edits:
+        return f"(1 + {k} * (b div {many}) + {shift})", size
+    behind = f"(b - {edits} * (b div {many}) + {edits - 1 - k} * (b div {many}))" if k < edits else "0"
+    return f"(n - {size} - {behind} + 1 + {shift})", size
 
-def _index_keys(edits: int) -> list[str]:
-    return [_key(k, "n", first, size) for k, (first, size) in enumerate(_segments("n", edits))]
 
+def _keys(edits: int) -> list[tuple[bool, int, str, str, str]]:
+    """``(indexed, edits, key, first, size)`` of all keys of a line whose bucket allows up to ``edits`` edits, by column.
 
-def _probe_keys(edits: int) -> list[str]:
-    """Keys of all substrings that may be a segment of a line ``less`` shorter (multi-match-aware: none is superfluous)."""
+    Index keys come in the first ``edits + 1`` columns; a bucket with fewer edits leaves some columns NULL.
+    """
     out = []
-    for less in range(edits + 1):
-        length = f"(n - {less})"
-        for k, (first, size) in enumerate(_segments(length, edits)):
-            low, high = max(-k, less - (edits - k)), min(k, less + (edits - k))
-            out += [_key(k, length, f"({first} + {shift})", size) for shift in range(low, high + 1) if (less, shift) != (0, 0)]
-    return out
+    for e in range(1, edits + 1):
+        index, probe = [], []
+        for k, _, shifts in _segments(e):
+            for s in shifts:
+                first, size = _place(k, e, s)
+                key = f"xxhash64(salt, {k}, b, substring(line, cast({first} as int), cast({size} as int)))"
+                # A shifted segment must lie within the line.
+                key = key if s == 0 else f"if({first} >= 1 and {first} + {size} - 1 <= n, {key}, null)"
+                (index if s == 0 else probe).append((s == 0, e, key, first, size))
+        out.append((index, probe))
+    many = max(len(probe) for _, probe in out)
+    columns = []
+    for at in range(edits + 1 + many):
+        cases = [(i if at <= edits else p)[at if at <= edits else at - edits - 1] for i, p in out if len(i if at <= edits else p) > (at if at <= edits else at - edits - 1)]
+        pick = lambda which: "case e " + " ".join(f"when {c[1]} then {c[which]}" for c in cases) + " end"
+        columns.append((at <= edits, 0, pick(2), pick(3), pick(4)))
+    return columns
+
+
+def _allowed(length: str, edits: int, similarity: float) -> str:
+    """Edits that a line of that length may differ by."""
+    return f"least({edits}, cast(floor({length} * {round(1 - similarity, 9)}D + 1e-9D) as int))"
+
+
+def _in_buckets(lines: DataFrame, edits: int, allowed) -> DataFrame:
+    """Rows ``salt, line_id, line, n`` with ``b`` and ``e``: a row for each bucket that a line is compared in."""
+    below = [f"if({_bucket(f'(n - {j})')} < {_bucket(f'(n - {j - 1})')} and {allowed(_bucket(f'(n - {j})'))} >= {j}, {_bucket(f'(n - {j})')}, null)" for j in range(1, edits + 1)]
+    below = [f"if(n > {j}, {x}, null)" for j, x in enumerate(below, 1)]
+    rows = lines.withColumn("b", F.explode(F.expr(f"array({', '.join([_bucket('n'), *below])})"))).where("b is not null")
+    return rows.withColumn("e", F.expr(allowed("b"))).where("e > 0 and b > e")
 
 
 def _letter_counts(text: str = "line") -> str:
     return " | ".join(f"shiftleft(cast((octet_length({text}) - octet_length(replace({text}, '{c}', ''))) & 31 as bigint), {5 * i})" for i, c in enumerate(_LETTERS))
 
 
-def _prefix_counts() -> Column:
-    """The letter counts of the line's first characters, up to several places."""
-    return F.array(*[F.expr(_letter_counts(f"substring(line, 1, {p})")) for p in _CUTS])
-
-
 def _may_link(a: str, b: str, edits: int) -> str:
-    """Each edit changes two letter counts by one at most; so it does within prefixes of one length, an indel's shift included."""
+    """Each edit changes two letter counts by one at most."""
     parts = []
     for i in range(len(_LETTERS)):
         d = f"((shiftright({a}, {5 * i}) - shiftright({b}, {5 * i})) & 31)"
@@ -108,66 +140,144 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("n", F.char_length("line")).withColumn("line_id", F.xxhash64("line"))
 
 
+def _if_small(rows: DataFrame, max_broadcast: int) -> DataFrame:
+    """A written table, broadcast if its rows are counted and few."""
+    return F.broadcast(rows) if rows.count() <= max_broadcast else rows
+
+
 def _texts(ids: DataFrame, lines: DataFrame, max_broadcast: int) -> DataFrame:
-    """``line_id, line`` of the given ids."""
-    ids = S.materialize(ids.distinct())
-    wanted = F.broadcast(ids) if ids.count() <= max_broadcast else ids  # else the lines are dealt out by id
-    return S.materialize(lines.select("line_id", "line").join(wanted, "line_id").groupBy("line_id").agg(F.min("line").alias("line")))
+    """``line_id, line, n`` of the given ids."""
+    wanted = _if_small(S.materialize(ids.distinct()), max_broadcast)  # else the lines are dealt out by id
+    return lines.select("line_id", "line", "n").join(wanted, "line_id").groupBy("line_id").agg(F.min("line").alias("line"), F.min("n").alias("n"))
+
+
+def _keyed(rows: DataFrame, edits: int, keep: list[str]) -> DataFrame:
+    """``keep`` columns and the keys of each row in a bucket, as columns ``k0, k1, ...``."""
+    return rows.select(*keep, "line_id", "n", "b", "e", *[F.expr(c[2]).alias(f"k{i}") for i, c in enumerate(_keys(edits))])
 
 
-def _links(pairs: DataFrame, lines: DataFrame, edits: int, max_broadcast: int) -> DataFrame:
-    """The pairs ``a, b`` whose lines are within ``edits``."""
-    pairs = S.materialize(pairs.distinct())
-    texts = _texts(pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id"))), lines, max_broadcast)
-    both = (pairs.join(texts.withColumnRenamed("line", "x"), pairs.a == texts.line_id).drop("line_id")
-            .join(texts.withColumnRenamed("line", "y"), F.col("b") == texts.line_id).drop("line_id"))
-    return S.materialize(both.where(banded_distance("x", "y", edits) <= edits).select("a", "b"))
+def _opened(keyed: DataFrame, edits: int, keep: list[str] = []) -> DataFrame:
+    """A row for each key: ``key``, ``at`` (its column) and the row's facts."""
+    many = len(_keys(edits))
+    keys = F.array(*[F.col(f"k{i}") for i in range(many)])
+    return keyed.select(*keep, "line_id", "n", "b", "e", F.posexplode(keys).alias("at", "key")).where("key is not null")
 
 
-def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = 2, min_chars: int = 10, max_broadcast: int = 2_000_000) -> DataFrame:
-    """A row for each line with a visible character: ``doc_id``, ``line_no``, ``line_id``, ``class_id``, ``first_doc``, ``first_line``, ``kept``.
+def _met(keyed: DataFrame, edits: int, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, rows of too large groups with their key)`` of the rows that share a key.
+
+    Groups are counted with a combining aggregate first: most keys have one line, and of two lines the smallest and the
+    largest id are the pair. So only rows of larger groups are looked up again.
+    """
+    rows = _opened(keyed, edits)
+    groups = rows.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"), F.count("*").alias("m"), F.min("at").alias("least"))
+    groups = S.materialize(groups.where(f"lo < hi and least <= {edits}"))
+    pairs = groups.where("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    more = _if_small(groups.where("m > 2").select("key", "m"), max_broadcast)
+    keep = [c for c in keyed.columns if c == "line"]
+    members = S.materialize(_opened(keyed, edits, keep).join(more, "key"))
+    small = members.where(f"m <= {_GROUP}")
+    x, y = (small.select("key", F.col("line_id").alias(i), F.col("n").alias(f"{i}n"), (F.col("at") <= edits).alias(f"{i}i")) for i in "ab")
+    near = (F.col("a") < F.col("b")) & (F.abs(F.col("an") - F.col("bn")) <= edits) & (F.col("ai") | F.col("bi"))
+    return pairs.unionByName(x.join(y, "key").where(near).select("a", "b")), members.where(f"m > {_GROUP}")
+
+
+def _rests(rows: DataFrame, edits: int) -> DataFrame:
+    """Rows of large groups, under the key as ``salt``, with what is left of their lines without the key's segment."""
+    case = lambda which: "case at " + " ".join(f"when {i} then {c[which]}" for i, c in enumerate(_keys(edits))) + " end"
+    rows = rows.withColumns({"first": F.expr(case(3)), "size": F.expr(case(4))})
+    rest = F.expr("concat(substring(line, 1, cast(first - 1 as int)), substring(line, cast(first + size as int), n))")
+    return rows.select(F.col("key").alias("salt"), "line_id", rest.alias("line"), F.col("e").alias("of")).withColumn("n", F.char_length("line"))
+
+
+def _tiny_pairs(rests: DataFrame, edits: int) -> DataFrame:
+    """Pairs of one group whose rests are too short for segments: nearly all of them link.
+
+    A group's rows are dealt out to blocks by hash, and pairs of blocks are tasks of their own.
+    """
+    tiny = rests.where(f"n <= {2 * edits}").select("salt", "line_id", "n").distinct()
+    sizes = tiny.groupBy("salt").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (4 * _GROUP))).alias("blocks"))
+    rows = tiny.join(sizes, "salt").withColumn("own", F.expr("pmod(xxhash64(line_id), blocks)"))
+    left = rows.select("salt", F.col("line_id").alias("a"), F.col("own").alias("x"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("y"))
+    right = rows.select("salt", F.col("line_id").alias("b"), F.col("own").alias("y"), F.explode(F.expr("sequence(0L, own)")).alias("x"))
+    return left.join(right, ["salt", "x", "y"]).where("(x < y and a <> b) or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _candidates(lines: DataFrame, edits: int, similarity: float, max_broadcast: int) -> list[DataFrame]:
+    """Tables of pairs ``a, b`` of line ids, with ``a < b``, that hold all links."""
+    many = len(_keys(edits))
+    long = lines.select(F.lit(0).cast("long").alias("salt"), "line_id", "line", "n").where(f"{_allowed('n', edits, similarity)} > 0")
+    keyed = _keyed(_in_buckets(long, edits, lambda x: _allowed(x, edits, similarity)), edits, [])
+    # Copies of a line are counted as one from here on; numbers alone are shuffled.
+    keyed = S.materialize(keyed.groupBy("line_id", "b").agg(F.max("n").alias("n"), F.max("e").alias("e"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(many)]))
+    found, large = _met(keyed, edits, max_broadcast)
+    out = [found]
+    if not large.isEmpty():
+        texts = _texts(large.select("line_id"), lines, max_broadcast).drop("n")
+        large = S.materialize(large.join(texts, "line_id"))
+    while not large.isEmpty():
+        rests = S.materialize(_rests(large, edits).distinct())
+        out.append(_tiny_pairs(rests, edits))
+        # Within a group the edits are those of its bucket, however short the rests are.
+        rows = [_in_buckets(rests.where(f"of = {e}"), e, lambda x, e=e: f"{e}") for e in range(1, edits + 1)]
+        keyed = S.materialize(_keyed(reduce(DataFrame.unionByName, rows), edits, ["line"]))
+        found, large = _met(keyed, edits, max_broadcast)
+        out.append(found)
+    return out
+
+
+def line_links(lines: DataFrame, edits: int = 2, similarity: float = 0.8, max_broadcast: int = 2_000_000) -> DataFrame:
+    """All links ``a, b`` (line ids, ``a < b``) between different lines of a table ``line_id, line, n``.
+
+    Two lines link if they differ by ``edits`` edits at most and by ``1 - similarity`` of the shorter one's characters.
+    """
+    pairs = S.materialize(reduce(DataFrame.unionByName, _candidates(lines, edits, similarity, max_broadcast)).distinct())
+    ids = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id")))
+    texts = S.materialize(_texts(ids, lines, max_broadcast).withColumn("counts", F.expr(_letter_counts())))
+    side = lambda id_, name: texts.select(F.col("line_id").alias(id_), F.col("line").alias(name), F.col("counts").alias(f"{name}c"), F.col("n").alias(f"{name}n"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(F.expr(_may_link("xc", "yc", edits)))
+    return S.materialize(both.where(banded_distance("x", "y", edits) <= F.expr(_allowed("least(xn, yn)", edits, similarity))).select("a", "b"))
+
+
+def line_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = 2, similarity: float = 0.8, max_broadcast: int = 2_000_000,
+                 row_id: str | None = None) -> DataFrame:
+    """A row for each line with a visible character: ``doc_id``, ``line_no``, ``line_id``, ``class_id``, ``n_links``, ``first_doc``, ``first_line``, ``kept``.
 
     ``line_id`` is a 64-bit hash of the line without outer whitespace, ``class_id`` the smallest ``line_id`` that is
-    reachable by links. Two lines link if they are equal, or have ``min_chars`` characters at least and differ by
-    ``edits`` edits at most. ``first_doc`` and ``first_line`` tell the class's first line, by smallest id and place;
-    ``kept`` is true for that one. Null and empty texts have no lines; a null id comes first; repeated rows are
-    documents of their own, of which one is kept.
+    reachable by links (see ``line_links``; equal lines are one), ``n_links`` the number of different lines that link to it.
+    ``first_doc`` and ``first_line`` tell the class's first line, by smallest id and place; ``kept`` is true for that
+    one. Null and empty texts have no lines; a null id comes first; repeated rows are documents of their own, of which
+    one is kept. A line of any length takes part, with as many edits as its length allows. ``row_id`` names a column of
+    unique row numbers to keep as ``__row``.
     """
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("__row", F.monotonically_increasing_id())
-    lines = _lines(source, "text")
-    places = S.materialize(lines.select("doc_id", "__row", "line_no", "line_id"))
-    long = lines.where(F.col("n") >= min_chars)
-
-    pivots = S.materialize(long.select("line_id", F.explode(F.array(*map(F.expr, _index_keys(edits)))).alias("key")).groupBy("key").agg(F.min("line_id").alias("pivot")))
-    probes = long.select("line_id", F.explode(F.array(*[F.expr(f"struct({k} as key, true as indexed)") for k in _index_keys(edits)],
-                                                      *[F.expr(f"struct({k} as key, false as indexed)") for k in _probe_keys(edits)])).alias("k"))
-    met = S.materialize(probes.select("line_id", "k.key", "k.indexed").join(pivots, "key").where(F.col("line_id") != F.col("pivot"))
-                        .groupBy("key", "line_id").agg(F.max("indexed").alias("indexed"), F.max("pivot").alias("pivot")))
-    ids = met.select("line_id").unionByName(met.select(F.col("pivot").alias("line_id")))
-    counts = S.materialize(_texts(ids, lines, max_broadcast).select("line_id", F.expr(_letter_counts()).alias("counts")))
-    met = S.materialize(met.join(counts, "line_id").join(counts.select(F.col("line_id").alias("pivot"), F.col("counts").alias("pivot_counts")), "pivot"))
-    ordered = [F.least("line_id", "pivot").alias("a"), F.greatest("line_id", "pivot").alias("b")]
-    links = _links(met.where(F.expr(_may_link("counts", "pivot_counts", edits))).select(*ordered), lines, edits, max_broadcast)
-    found = S.materialize(connected_components(links))
-
-    # Pivots count among a key's classes; their own pairs are done.
-    members = met.select("key", "line_id", "counts", "indexed", F.lit(False).alias("first")).unionByName(
-        met.select("key", F.col("pivot").alias("line_id"), F.col("pivot_counts").alias("counts"), F.lit(True).alias("indexed"), F.lit(True).alias("first")).distinct())
-    members = S.materialize(members.join(found.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("class", F.coalesce("root", "line_id")).drop("root"))
-    sizes = members.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("top"))
-    open_ = S.materialize(members.join(sizes.where("classes > 1").select("key", F.col("top.class").alias("top")), "key").where("not first").drop("first"))
-    open_ = S.materialize(open_.join(_texts(open_.select("line_id"), lines, max_broadcast).select("line_id", _prefix_counts().alias("cuts")), "line_id"))
-    minor = open_.where(F.col("class") != F.col("top")).select("key", F.col("line_id").alias("x"), F.col("counts").alias("xc"), F.col("cuts").alias("xp"), F.col("class").alias("xk"), F.col("indexed").alias("xi"))
-    near = F.expr(f"{_may_link('counts', 'xc', edits)} and forall(zip_with(cuts, xp, (p, q) -> {_may_link('p', 'q', edits)}), ok -> ok)")
-    more = minor.join(open_, "key").where((F.col("xk") != F.col("class")) & (F.col("xi") | F.col("indexed")) & near)
-    links = links.unionByName(_links(more.select(F.least("x", "line_id").alias("a"), F.greatest("x", "line_id").alias("b")), lines, edits, max_broadcast))
+    number = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), number.alias("__row"))
+    lines = S.materialize(_lines(source, "text"))
+    links = line_links(lines, edits, similarity, max_broadcast)
     found = S.materialize(connected_components(links)).withColumnRenamed("node", "line_id")
+    degree = links.select(F.explode(F.array("a", "b")).alias("line_id")).groupBy("line_id").agg(F.count("*").alias("n_links"))
 
-    # Copies of a line are counted as one from here on; a hot line is no hot key of the joins.
+    places = lines.select("doc_id", "__row", "line_no", "line_id")
     first = places.groupBy("line_id").agg(F.min(F.struct(F.col("doc_id"), F.col("__row"), F.col("line_no"))).alias("at"))
-    first = first.join(found, "line_id", "left").withColumn("class_id", F.coalesce("root", "line_id"))
+    first = first.join(found.join(degree, "line_id"), "line_id", "left").withColumns({"class_id": F.coalesce("root", "line_id"), "n_links": F.coalesce("n_links", F.lit(0).cast("long"))})
     heads = first.groupBy("class_id").agg(F.min("at").alias("head"))
-    table = S.materialize(first.select("line_id", "class_id").join(heads, "class_id"))
+    table = S.materialize(first.select("line_id", "class_id", "n_links").join(heads, "class_id"))
     out = places.join(table, "line_id")
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("__row") == F.col("head.__row")) & (F.col("line_no") == F.col("head.line_no"))
-    return out.select("doc_id", "line_no", "line_id", "class_id", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line"), kept.alias("kept"))
+    return out.select("doc_id", *(["__row"] if row_id else []), "line_no", "line_id", "class_id", "n_links", F.col("head.doc_id").alias("first_doc"), F.col("head.line_no").alias("first_line"), kept.alias("kept"))
+
+
+def remove_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", edits: int = 2, similarity: float = 0.8) -> DataFrame:
+    """All rows and columns of ``docs``; of each class of near-duplicate lines only the first one stays in the texts.
+
+    Lines are told apart as in ``line_classes``; blank ones stay, a null text stays null. Each text is put together
+    within its row.
+    """
+    rows = S.materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    gone = line_classes(rows, text, doc_id, edits, similarity, row_id="__row").where("not kept")
+    gone = gone.groupBy("__row").agg(F.collect_list("line_no").alias("__gone"))  # lines of one document
+    parts = F.split(F.col(text), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    out = rows.join(gone, "__row", "left").withColumn(text, F.when(F.col("__gone").isNull() | F.col(text).isNull(), F.col(text)).otherwise(rest))
+    return out.select(*docs.columns)
