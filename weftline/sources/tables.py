@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +26,63 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
+    """The application's own folder in the one that driver and executors share, ``spark.checkpoint.dir``; removed when Spark ends.
+
+    Where that is unset, a temporary folder is made if all runs in one process (``local``); on a cluster it is an error.
+    """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
         base = context.getCheckpointDir()
-    return base
+    path = f"{base}/weftline-{context.applicationId}"
+    if path not in _folders:
+        _folders.add(path)
+        _path(spark, path)[1].deleteOnExit(_path(spark, path)[0])
+    return path
+
+
+_folders: set[str] = set()
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` in the shared folder and read it back, to cut its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/weftline-{uuid.uuid4().hex}"
+    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    Unlike a local checkpoint this survives the loss of executors, and it keeps column pruning.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            found, files = _path(df.sparkSession, path)
+            files.delete(found, True)
+
+
+@contextlib.contextmanager
+def intermediates() -> Iterator[None]:
+    """Delete what is written within, when it ends; results must have been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            found, files = _path(spark, path)
+            files.delete(found, True)
