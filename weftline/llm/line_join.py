@@ -26,7 +26,7 @@ _SPACE_CHARS = " \t\x0b\x0c\r"
 #: Letters whose counts (5 bits each) rule pairs out: frequent ones of European languages.
 _LETTERS = "etaoinsrhdlu"
 #: Lines under one key that are paired with each other; a key with more is taken apart first.
-_GROUP = 64
+_GROUP = 12
 
 
 def _bucket(n: str) -> str:

@@ -2,58 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.tables import discard, intermediates, materialize, shared_dir  # noqa: F401  (for the operators)
+
 #: Bytes of text that one vectorised step works on; a longer document is one step of its own.
 CHUNK_BYTES = 1 << 21
-#: Rows of an Arrow batch between the JVM and Python (documents may be long).
-BATCH_ROWS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return base
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    Unlike a local checkpoint this survives the loss of executors, and it keeps column pruning.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table of numbers as a relation of the plan itself, without Python on the executors."""
-    names, types = zip(*(x.split() for x in schema.split(",")))
-    typed = lambda v, t: f"{v!r}D" if t == "double" else f"{v}L" if t == "long" else str(v)
-    values = ", ".join("(" + ", ".join(typed(v, t) for v, t in zip(row, types)) + ")" for row in rows)
-    if not rows:
-        return spark.createDataFrame([], schema)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(f'`{n}`' for n in names)})")
+#: Bytes of an Arrow batch between the JVM and Python; a longer document is a batch of its own.
+BATCH_BYTES = 1 << 24
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for documents of any length."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the session's Arrow batches by bytes, so that documents of any length fit; a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,6 +57,18 @@ def text_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         row = end
 
 
+def text_pieces(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Like ``text_chunks``, but a longer row comes in pieces, each cut behind a whitespace byte if it has one."""
+    for a, b, data, offsets in text_chunks(col, limit):
+        at = 0
+        while len(data) - at > limit and b - a == 1:
+            blank = np.flatnonzero(~NOT_SPACE[data[at : at + limit]])
+            end = at + (int(blank[-1]) + 1 if len(blank) else limit)
+            yield a, b, data[at:end], np.array([0, end - at])
+            at = end
+        yield a, b, data[at:], offsets - at if at == 0 else np.array([0, len(data) - at])
+
+
 # An odd multiplier for the rolling hash and its inverse modulo 2**64.
 _MUL = 0x9E3779B97F4A7C15
 _INV = pow(_MUL, -1, 1 << 64)
