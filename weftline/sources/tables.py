@@ -53,18 +53,19 @@ def _path(spark: SparkSession, path: str) -> tuple:
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Unlike a local checkpoint this survives the loss of executors, and it keeps column pruning.
+    Unlike a local checkpoint this survives the loss of executors, and it keeps column pruning. With ``keep`` it outlives
+    the innermost scope of ``intermediates``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
-    if _scopes:
-        _scopes[-1].append((spark, path))
+    if _scopes[keep:]:
+        _scopes[-1 - keep].append((spark, path))
     return out
 
 
