@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_steps
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if not state["n"] or state == last:
             break
-        last, now = state, materialize(_star(_star(now, True), False))
+        last, before, now = state, now, materialize(_star(_star(now, True), False))
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {max_steps} steps")
     rooted = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

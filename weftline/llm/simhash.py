@@ -1,13 +1,14 @@
 """SimHash near-duplicates through BK-trees of fingerprints (op4).
 
-Fingerprints that differ in at most ``radius`` bits agree on at least one of ``radius + 1`` blocks of
-bits. So each shard holds the fingerprints with one value of one block, and builds a BK-tree of them:
+Fingerprints that differ in at most ``radius`` bits agree on at least ``k`` of ``radius + k`` blocks of
+bits. So each shard holds the fingerprints with equal values of ``k`` blocks, and builds a BK-tree of them:
 children hang below their parent by integer Hamming distance, and a search follows only edges within
 the radius. Shard trees grow with the data, so they are dealt out with their shard, never broadcast.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _STEP = 1 << 16
 #: Most (query, node) pairs that one step of a search works on.
 _PAIRS = 1 << 21
+#: Fingerprints that a shard has on average at most.
+_SHARD = 64
 
 
 def fingerprint(text: str | bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -217,13 +220,30 @@ def _forest_links(radius: int):
     return run
 
 
+def _blocks(n: int, radius: int, bits: int) -> tuple[int, int]:
+    """``(blocks, agreeing)``: cut into ``radius + agreeing`` blocks, so many of them agree within the radius.
+
+    The fewest for which a shard has about ``_SHARD`` of ``n`` spread fingerprints at most: shards don't grow with the data.
+    """
+    agreeing = 1
+    while n > _SHARD << bits * agreeing // (radius + agreeing) and bits // (radius + agreeing) > 1:
+        agreeing += 1
+    return radius + agreeing, agreeing
+
+
 def link_fingerprints(prints: DataFrame, radius: int = 3, bits: int = 64) -> DataFrame:
-    """Edges ``(a, b)`` between distinct fingerprints ``fp`` that connect all that links within the radius connect."""
-    width = -(-bits // (radius + 1))
-    shards = F.array(*[
-        F.struct((F.lit(i << width) + F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1))).alias("shard"))
-        for i in range(radius + 1)])
-    rows = prints.select("fp").distinct().select("fp", F.explode(shards).alias("s")).select(F.col("s.shard").alias("shard"), "fp")
+    """Edges ``(a, b)`` between distinct fingerprints ``fp`` that connect all that links within the radius connect.
+
+    A shard holds the fingerprints with equal bits in a choice of blocks, one for each choice of as many as must agree.
+    """
+    distinct = S.materialize(prints.select("fp").distinct())
+    many, agreeing = _blocks(distinct.count(), radius, bits)
+    cuts = [bits * i // many for i in range(many + 1)]
+    shards = []
+    for at, some in enumerate(itertools.combinations(range(many), agreeing)):
+        mask = sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in some)
+        shards.append(F.xxhash64(F.lit(at), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    rows = distinct.select("fp", F.explode(F.array(*shards)).alias("shard")).select("shard", "fp")
     return rows.repartition("shard").mapInPandas(_forest_links(radius), "a long, b long")
 
 
@@ -231,8 +251,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """One row per row of ``docs``: ``doc_id``, ``keep`` columns, ``fp`` and ``component_id``, the smallest id reachable through links.
 
     Equal fingerprints are linked too. Null and empty texts have fingerprint 0. A component in which every
-    id is null has a null ``component_id``; repeated rows stay, in one component.
+    id is null has a null ``component_id``; repeated rows stay, in one component. Columns of ``keep`` that are called like
+    the result's own are left out.
     """
+    keep = tuple(c for c in keep if c not in ("doc_id", "fp", "component_id", "class"))
     source = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__words"))
     prints = S.materialize(fingerprints(source, "__words", ("doc_id", *keep), words))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
