@@ -50,6 +50,36 @@ def test_against_sql(spark, duck, name):
     assert columns == sorted(got.columns) and rows(got) == rows(want)
 
 
+def _median_shards(rows, shards, dims):
+    """Brute force: the nodes of ``(node, k, rows)`` split one by one at the weighted quantile of the widest dimension."""
+    done, todo = {}, [(0, shards, rows)]
+    while todo:
+        node, k, part = todo.pop()
+        if k == 1:
+            done |= {r["__row"]: node for r in part}
+            continue
+        at = max(range(dims), key=lambda i: (max(r[f"p{i}"] for r in part) - min(r[f"p{i}"] for r in part), -i))
+        part = sorted(part, key=lambda r: (r[f"p{at}"], r["tie"]))
+        goal, sums = sum(r["size"] for r in part) * (k // 2) / k, np.cumsum([0] + [r["size"] for r in part])
+        cut = int(np.argmin(np.abs(sums - goal)))
+        todo += [(node, k // 2, part[:cut]), (node + k // 2, k - k // 2, part[cut:])]
+    return done
+
+
+def test_sharding_against_sorted_medians(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "_TOLERANCE", 0.0)
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, f"text {i}", rng.choice(["en", "de", None]), f"https://host{rng.randrange(9)}", rng.randrange(10, 90)) for i in range(400)], "doc_id long, text string, lang string, source string, size long")
+    rows = sharding.S.materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    dims = [sharding.hashed_place(F.col("lang")), sharding.hashed_place(F.col("source")), sharding.number_place(docs, F.col("doc_id"))]
+    keyed = [r.asDict() for r in sharding._keyed(rows, dims, F.col("size"), F.col("text"), F.col("doc_id")).collect()]
+    assert len({r["p1"] for r in keyed}) == 9
+    want = _median_shards(keyed, 7, 3)
+    ids = {r["__row"]: r["doc_id"] for r in rows.collect()}
+    got = {r.doc_id: r.shard for r in sharding.kd_shards(docs, dims, F.col("size"), F.col("text"), F.col("doc_id"), 7).collect()}
+    assert got == {ids[k]: v for k, v in want.items()}
+
+
 def test_sharding(spark, duck, awkward, empty):
     docs = duck.sql("select * from documents").df()
     sized = sharding.size_table(spark.createDataFrame(docs))
@@ -57,6 +87,7 @@ def test_sharding(spark, duck, awkward, empty):
     assert len(got) == len(docs) and (got["size"] == got.text.map(lambda t: len(t.encode()) + 16)).all() and (got.text_crc32 == got.text.map(lambda t: zlib.crc32(t.encode()))).all()
     per = got.groupby("shard")["size"].sum()
     assert len(per) == 5 and per.max() - per.min() <= 2 * got["size"].max()
+    assert (got.groupby("text").shard.nunique() == 1).all()  # each group is small here
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
     out = sharding.shard_documents(awkward, target_bytes=100_000).collect()
     assert len(out) == 10 and {r.shard for r in out} <= {0, 1, 2, 3} and out[0].size == "x"  # two texts fill more than a shard each
@@ -74,6 +105,41 @@ def test_quality(spark, duck, awkward, empty):
     assert {r.score for r in quality.score(awkward, constant).collect()} == {0.5}
 
 
+def test_quality_forward_and_gradient():
+    rng = np.random.default_rng(2)
+    sizes, d = [3, 1, 5], 7
+    bag, y, weight = np.repeat(np.arange(3), sizes), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 1.5])
+    x = rng.normal(size=(9, d))
+    par = {"w": rng.normal(size=(d, 4)), "b": rng.normal(size=4), "v": rng.normal(size=(4, 3)), "u": rng.normal(size=(4, 3)), "a": rng.normal(size=3), "c": rng.normal(size=4), "d": np.array(0.3)}
+    model = lambda p: quality.QualityModel(np.zeros(d), np.ones(d), **p)
+
+    def plain(p):
+        out = []
+        for k in range(3):
+            h = [np.tanh(row @ p["w"] + p["b"]) for row in x[bag == k]]
+            e = np.exp([p["a"] @ (np.tanh(v @ p["v"]) / (1 + np.exp(-(v @ p["u"])))) for v in h])
+            out.append(1 / (1 + np.exp(-(sum(v * q for v, q in zip(h, e / e.sum())) @ p["c"] + p["d"]))))
+        return np.array(out)
+
+    loss = lambda p: float((weight * -np.log(np.where(y > 0, plain(p), 1 - plain(p)))).sum() / weight.sum())
+    assert np.allclose(model(par).scores([(bag[:4], x[:4]), (bag[4:], x[4:])], 3), plain(par))
+    got = quality.gradient(model(par), x, bag, y, weight, decay=0)
+    for name, value in par.items():
+        for at in np.ndindex(value.shape):
+            step = np.zeros_like(value)
+            step[at] = 1e-6
+            assert abs((loss(par | {name: value + step}) - loss(par | {name: value - step})) / 2e-6 - got[name][at]) < 1e-6
+
+
+def test_quality_encodes_whole_texts_in_pieces(monkeypatch):
+    texts = pa.array(["word " * 500 + "end", None, "short text", "x" * 3000])
+    whole = list(quality.encode(texts))
+    monkeypatch.setattr(quality.S.text_pieces, "__defaults__", (200,))
+    parts = list(quality.encode(texts))
+    count = lambda blocks: sum(np.expm1(x[:, -2] * 4).sum() for _, x in blocks)
+    assert {int(r) for b in parts for r in b[0]} == {0, 1, 2, 3} and abs(count(whole) - 504) < 0.01 and count(parts) >= 503.9
+
+
 def test_quality_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
@@ -179,6 +245,20 @@ def test_bk_forest_links_random_points():
     assert np.array_equal(classes(near), classes(links))
 
 
+@pytest.mark.parametrize("shard, blocks", [(64, (4, 1)), (1, (5, 2))])
+def test_block_keys_of_any_number_link_the_same(spark, monkeypatch, shard, blocks):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 30_000 // shard if shard == 1 else 300).astype(np.uint64)
+    flips = [np.uint64(1) << rng.integers(0, 64, len(base)).astype(np.uint64) for _ in range(4)]
+    points = np.unique(np.concatenate([base, base ^ flips[0] ^ flips[1] ^ flips[2], base ^ flips[3]])).view(np.int64)
+    monkeypatch.setattr(simhash, "_SHARD", shard)
+    assert simhash._blocks(len(points), 3, 64) == blocks and simhash._blocks(1 << 60, 3, 64)[1] > 3
+    prints = spark.createDataFrame(pd.DataFrame({"fp": points}))
+    got = components.connected_components(simhash.link_fingerprints(prints)).groupBy("root").count().toPandas()["count"]
+    want = pd.Series(np.unique(base)).size
+    assert len(got) == want and got.sum() == len(points)  # random points link to their own variants alone
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 6), (9, 9), (None, 4)], "a long, b long")
     assert sorted(map(tuple, components.connected_components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (9, 9)]

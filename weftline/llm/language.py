@@ -132,6 +132,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     """
     S.arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 slots, a byte for 8 languages
+    keep = [c for c in keep if c not in ("lang_pred", "score")]  # such columns are replaced
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
 

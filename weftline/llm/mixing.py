@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 
+#: Columns of the mixture; those of the input that are called so are replaced.
+_OWN = ("block", "place", "release", "deadline", "slot", "taken")
+
+
 def source_key(source: Column) -> Column:
     """A source's name in joins; rows without one are a source of their own."""
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
@@ -104,7 +108,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     of the row counts. A null source is a source of its own, a null id sorts first, repeated rows count as
     rows, an empty table stays empty.
     """
-    rows, ranges, first = _ranges(docs, source, doc_id)
+    rows, ranges, first = _ranges(docs.drop(*_OWN), source, doc_id)
     counts = ranges.groupBy("key").agg(F.sum("n").alias("n"))
     if weights is None:
         weights = capped_weights(counts, ceiling, parts)
@@ -162,6 +166,7 @@ def mix_shares(docs: DataFrame, source: str = "source", doc_id: str = "doc_id",
     in a slot drawn by hash, so at each point every source is at most one block away from its share. Blocks of
     several sources may have one slot: sort by slot, source and place. Rows not taken have no release, deadline and slot.
     """
+    docs = docs.drop(*_OWN)
     rows, ranges, first = _ranges(docs, source, doc_id)
     limit, total = share_limit(ranges.groupBy("key").agg(F.sum("n").alias("n")), ceiling, real)
     ranked = _ranked(rows, first, doc_id).withColumns({
