@@ -1,18 +1,23 @@
 """From a formula graph to one DataFrame plan in which every row takes its own shortest path.
 
-Each data column becomes a struct ``(d, f, v)``: its distance, the formula it came from and its value; NULL
-means it can't be had in that row. Where the graph has no cycle, a column's struct is chosen once, among the
-estimations of its formulas, by distance and then by name. Columns on a cycle are settled in rounds, nearest
-first, so a formula never sees a value that a shorter path would replace. All of it is Column expressions;
-domains guard formulas by CASE, so failing rows fall back to the next path within the same projection.
+Each data column becomes three plain columns: its distance (NULL: it can't be had in that row), the formula it came
+from and its value. Off cycles it is chosen once, among the estimations of its formulas, by distance and then by name.
+Columns on a cycle are settled in rounds, nearest first, so a formula never sees a value that a shorter path would
+replace. What is computed in one step is a layer: a projection of its own. Formulas are guarded by CASE, so a row
+where one fails takes the next path within the same projection.
+
+The steps don't know what a layer is: ``compute`` makes projections of them, ``as_column`` nested lambdas, so that a
+graph can also be one Column, as in an ordered fold.
 """
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import SINK, START, Data, Formula, FormulaGraph
@@ -21,7 +26,7 @@ from .graph import SINK, START, Data, Formula, FormulaGraph
 def needed(graph: FormulaGraph, outputs: tuple[str, ...], given: set[str]) -> FormulaGraph:
     """The part of the graph from which the outputs can be reached, without what lies behind given columns."""
     out, todo, seen = FormulaGraph(graph.name), list(outputs), set()
-    out.__dict__.update({k: v for k, v in graph.__dict__.items() if k == "_guards"})
+    out.guards = dict(graph.guards)
     while todo:
         x = todo.pop()
         if x in seen or x not in graph.data_nodes:
@@ -68,119 +73,282 @@ def _groups(graph: FormulaGraph) -> list[list[str]]:
     return out
 
 
-class _Rows:
-    """A DataFrame that grows columns, each layer in a projection of its own, and the names they have in it.
+def _built(build, values: list[Column], names: list[str] | None):
+    """A formula's Columns: from its builder, or from SQL text with ``$1``, ``$2``, ... for its inputs."""
+    if callable(build):
+        return build(*values)
+    if isinstance(build, (list, tuple)):
+        return tuple(_built(b, values, names) for b in build)
+    at = names or [f"x.v{i}" for i in range(len(values))]
+    for i in range(len(values), 0, -1):
+        build = build.replace(f"${i}", at[i - 1])
+    if names is not None:
+        return F.expr(build)
+    row = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.call_function("transform", F.array(row), F.expr(f"x -> {build}"))[0]
 
-    The layers are fences: Catalyst would move filters on results below them and infer constraints through them, and
-    write out each formula again for each use, without end on cycles. A condition on ``rand`` that always holds stops
-    both. Filters on given columns belong before ``compute``, where they reach the scan.
-    """
 
-    def __init__(self, df: DataFrame):
-        self.df, self.n = df, 0
+def _all(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
 
-    def add(self, columns: dict[str, Column]) -> dict[str, str]:
-        names = {k: f"__n{self.n + i}" for i, k in enumerate(columns)}
-        self.n += len(columns)
-        if columns:
-            self.df = self.df.select("*", *[F.when(F.rand(0) + 1 > 0, c).alias(names[k]) for k, c in columns.items()])
-        return names
 
+def _least(parts: list[Column]) -> Column:
+    return parts[0] if len(parts) == 1 else F.least(*parts)
 
-def _built(build, values: list[Column], labels: list[str]):
-    """A formula's Columns: from its builder, or from SQL text with ``$1``, ``$2``, ... for its inputs."""
-    if callable(build):
-        return build(*values)
-    if isinstance(build, (list, tuple)):
-        return tuple(_built(b, values, labels) for b in build)
-    for i in range(len(labels), 0, -1):
-        build = build.replace(f"${i}", f"{labels[i - 1]}.v")
-    return F.expr(build)
-
-
-def _formula(graph: FormulaGraph, f: Formula, at: dict[str, Column | None], labels: dict[str, str], outputs_needed: set[str]) -> Column | None:
-    """The struct ``(d, v0, v1, ...)`` of a formula in each row, NULL where it has no result; None: in no row."""
-    columns = [at.get(x) for x in f.inputs]
-    if any(c is None for c in columns):
-        return None
-    values = [c["v"] for c in columns]
-    ready = reduce(lambda a, b: a & b, [c.isNotNull() for c in columns], F.lit(True))
-    for model, (domain, names) in getattr(graph, "_guards", {}).items():
-        if f.name.startswith(f"{model}<"):
-            offered = {n: at[n]["v"] if at.get(n) is not None else F.lit(None) for n in names}
-            ready = ready & F.coalesce(domain(offered), F.lit(False))
-    known = [labels[x] for x in f.inputs]
-    if f.domain is not None:
-        ready = ready & F.when(ready, F.coalesce(_built(f.domain, values, known), F.lit(False))).otherwise(False)
-    got = _built(f.build, values, known)
-    got = got if isinstance(got, tuple) else (got,)
-    for g in f.filters:
-        got = tuple(map(g, got))
-    # The input that arrives last decides the distance.
-    steps = [F.struct(c["d"].alias("d"), F.lit(x).alias("x"), F.lit(float(f.input_length(x))).alias("w")) for x, c in zip(f.inputs, columns)]
-    last = F.array_max(F.array(*steps)) if steps else None
-    d = last["d"] + last["w"] if steps else F.lit(f.weight)
-    kept = [v.alias(f"v{i}") for i, (x, v) in enumerate(zip(f.outputs, got)) if x in outputs_needed]
-    return F.when(ready, F.struct(d.alias("d"), *kept))
-
-
-def _chosen(graph: FormulaGraph, node: Data, made: dict[str, Column], start: Column | None) -> Column | None:
-    """The struct ``(d, f, v)`` of a data column from its given value and the formulas that have a result."""
-    offers = []
-    for f in sorted(made):
-        formula = graph.formulas[f]
-        for i, x in enumerate(formula.outputs):
+
+def _first(cases: list[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
+    out = None
+    for test, value in cases:
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return otherwise if out is None else out if otherwise is None else out.otherwise(otherwise)
+
+
+class _State:
+    """What is known of a data column at some step: ``d`` (NULL: not had), ``f``, ``v``; all None: in no row."""
+
+    def __init__(self, d: Column, f: Column, v: Column, name: str | None = None):
+        self.d, self.f, self.v, self.name = d, f, v, name
+
+
+def _calls(graph: FormulaGraph, names: list[str], at: dict[str, _State], before: dict[str, dict], raises: str, named: bool):
+    """Layers that call formulas: of each ``{"a": its distance or NULL, "v": values}`` for those that some row can call.
+
+    ``before`` has the results of an earlier round, which hold in the rows where all inputs were settled then.
+    """
+    first, second, open_ = {}, {}, []
+    for f in (graph.formulas[n] for n in names):
+        if any(x not in at for x in f.inputs):
+            continue
+        inputs = [at[x] for x in f.inputs]
+        ready = _all([s.d.isNotNull() for s in inputs])
+        values, labels = [s.v for s in inputs], [s.name for s in inputs] if named else None
+        for model, (domain, offered) in graph.guards.items():
+            if f.name.startswith(f"{model}<"):
+                ready = ready & F.coalesce(domain({n: F.when(at[n].d.isNotNull(), at[n].v) if n in at else F.lit(None) for n in offered}), F.lit(False))
+        if f.domain is not None:
+            ready = F.when(ready, F.coalesce(_built(f.domain, values, labels), F.lit(False))).otherwise(False) if f.inputs else F.coalesce(_built(f.domain, values, labels), F.lit(False))
+        # The input that arrives last decides the distance; of several the last one by name.
+        lengths = {x: float(f.input_length(x)) for x in f.inputs}
+        last = F.greatest(*[s.d for s in inputs]) if len(inputs) > 1 else inputs[0].d if inputs else F.lit(float(f.weight))
+        if len(set(lengths.values())) > 1:
+            last = _first([(at[x].d == last, last + lengths[x]) for x in sorted(f.inputs, reverse=True)])
+        elif lengths:
+            last = last + next(iter(lengths.values()))
+        old = before.get(f.name)
+        first[f"{f.name}|a"] = _first([*([(old["ready"], old["a"])] if old else []), (ready, last)])
+        first[f"{f.name}|r"] = _all([s.d.isNotNull() for s in inputs])
+        open_.append((f, values, labels, old))
+    got = yield first
+    for f, values, labels, old in open_:
+        built = _built(f.build, values, labels)
+        built = built if isinstance(built, tuple) else (built,)
+        for g in f.filters:
+            built = tuple(map(g, built))
+        if raises == "error":  # at least one output must be there
+            built = (F.coalesce(built[0], *(F.when(b.isNotNull(), F.lit(None)) for b in built[1:]), F.when(_all([b.isNull() for b in built]), F.raise_error(F.lit(f"formula {f.name} failed")))), *built[1:])
+        for i, (x, v) in enumerate(zip(f.outputs, built)):
+            if x in graph.data_nodes or raises == "record":
+                second[f"{f.name}|v{i}"] = _first([*([(old["ready"], old["v"][i])] if old and i in old["v"] else []), (got[f"{f.name}|a"].isNotNull(), v)])
+    values = yield second
+    out = {}
+    for f, *_ in open_:
+        out[f.name] = {"a": got[f"{f.name}|a"], "ready": got[f"{f.name}|r"], "v": {i: values[f"{f.name}|v{i}"] for i in range(len(f.outputs)) if f"{f.name}|v{i}" in values}}
+    return out
+
+
+def _offers(graph: FormulaGraph, node: Data, made: dict[str, dict], start: _State | None) -> list[tuple]:
+    """``(formula, distance or NULL, value)`` of a column's estimations, by name."""
+    out = []
+    for name in sorted(made):
+        f = graph.formulas[name]
+        for i, x in enumerate(f.outputs):
             if x == node.name:
-                v = made[f][f"v{i}"]
-                offers.append((f, made[f]["d"], made[f]["d"] + formula.output_length(node), v.cast(node.dtype) if node.dtype else v))
-    if node.merge is not None:
-        return _merged(graph, node, offers, start)
-    if not offers:
-        return _filtered(node, start)
-    each = [F.when(v.isNotNull(), F.struct(d.alias("d"), F.lit(f).alias("f"), at.alias("at"))) for f, at, d, v in offers]
-    open_ = F.array_compact(F.array(*each))
-    if start is not None:  # a formula counts if it was there before the given value, or leads here no later
-        limit = F.coalesce(start["d"], F.lit(float("inf")))
-        open_ = F.filter(open_, lambda e: (e["at"] < limit) | (e["d"] <= limit))
-    best = F.array_min(open_)
-    value = reduce(lambda rest, o: F.when(best["f"] == o[0], o[3]).otherwise(rest), offers[1:], F.when(best["f"] == offers[0][0], offers[0][3]))
-    found = F.when(best.isNotNull(), F.struct((F.least(best["d"], start["d"]) if start is not None else best["d"]).alias("d"), best["f"].alias("f"), value.alias("v")))
-    return _filtered(node, found if start is None else F.coalesce(found, start))
-
-
-def _merged(graph: FormulaGraph, node: Data, offers: list, start: Column | None) -> Column:
-    """A waiting column: all of its producers must have delivered; it gets all their values."""
-    absent = {f for f, x in graph.formulas.items() if node.name in x.outputs} - {o[0] for o in offers}
-    if absent:
-        return None
-    parts = {f: v for f, _, _, v in offers} | ({START: start["v"]} if start is not None else {})
-    ready = reduce(lambda a, b: a & b, [v.isNotNull() for v in parts.values()], F.lit(True))
-    d = F.greatest(*[x for _, _, x, _ in offers], *([start["d"]] if start is not None else []), F.lit(0.0))
-    return _filtered(node, F.when(ready, F.struct(d.alias("d"), F.lit("merge").alias("f"), node.merge(parts).alias("v"))))
-
-
-def _filtered(node: Data, found: Column | None) -> Column | None:
-    if found is None:
-        return None
-    v = found["v"]
-    for g in node.filters:
-        v = g(v)
-    return F.when(found.isNotNull() & v.isNotNull(), F.struct(found["d"].alias("d"), found["f"].alias("f"), v.alias("v")))
+                v, at = made[name]["v"][i], made[name]["a"]
+                d = at + float(f.output_length(node))
+                counts = v.isNotNull() & at.isNotNull()
+                if start is not None and node.merge is None:  # it counts if it was there before the given value, or leads here no later
+                    counts = counts & (start.d.isNull() | (at < start.d) | (d <= start.d))
+                out.append((name, F.when(counts, d), v.cast(node.dtype) if node.dtype else v))
+    return out
+
+
+def _choices(graph: FormulaGraph, nodes: list[Data], made: dict[str, dict], starts: dict[str, _State]):
+    """Layers that choose among each column's estimations and its given value."""
+    offers = {n.name: _offers(graph, n, {f: r for f, r in made.items() if n.name in graph.formulas[f].outputs}, starts.get(n.name)) for n in nodes}
+    plain = [n for n in nodes if n.merge is None and offers[n.name]]
+    best = yield {f"{n.name}|b": _least([d for _, d, _ in offers[n.name]]) for n in plain}
+    chosen = {}
+    for n in nodes:
+        start, some = starts.get(n.name), offers[n.name]
+        if n.merge is not None:
+            absent = {f for f, x in graph.formulas.items() if n.name in x.outputs} - {o[0] for o in some}
+            if absent:
+                continue
+            parts = {f: v for f, _, v in some} | ({START: start.v} if start is not None else {})
+            distances = [d for _, d, _ in some] + ([start.d] if start is not None else [])
+            ready = _all([x.isNotNull() for x in distances])
+            d = F.greatest(F.lit(0.0), *distances)
+            chosen[n.name] = (F.when(ready, d), F.lit("merge"), n.merge(parts))
+        elif some:
+            b = best[f"{n.name}|b"]
+            cases = [(d == b, f, v) for f, d, v in some] if len(some) > 1 else [(b.isNotNull(), some[0][0], some[0][2])]
+            f = _first([(test, F.lit(name)) for test, name, _ in cases], F.lit(START) if start is not None else None)
+            v = _first([(test, v) for test, _, v in cases], start.v if start is not None else None)
+            chosen[n.name] = (F.when(b.isNotNull(), F.least(b, start.d)).otherwise(start.d) if start is not None else b, f, v)
+        elif start is not None:
+            chosen[n.name] = (start.d, start.f, start.v)
+    for n in nodes:
+        if n.name in chosen and n.filters:
+            d, f, v = chosen[n.name]
+            for g in n.filters:
+                v = g(v)
+            chosen[n.name] = (F.when(d.isNotNull() & v.isNotNull(), d), f, v)
+    got = yield {f"{x}|{k}": c for x, parts in chosen.items() for k, c in zip("dfv", parts)}
+    return {x: _State(got[f"{x}|d"], got[f"{x}|f"], got[f"{x}|v"], getattr(got[f"{x}|v"], "label", None)) for x in chosen}
+
+
+def _settled(graph: FormulaGraph, starts: dict[str, _State], raises: str, named: bool):
+    """All layers of a graph; returns the state of each data column and the calls of each formula."""
+    at: dict[str, _State] = {}
+    results: dict[str, dict] = {}
+    for group in _groups(graph):
+        inner = sorted(f for f, x in graph.formulas.items() if set(x.outputs) & set(group))
+        nodes = [graph.data_nodes[x] for x in group]
+        cyclic = len(group) > 1 or any(set(graph.formulas[f].inputs) & set(group) for f in inner)
+        if not cyclic:
+            fresh = [f for f in inner if f not in results]
+            results |= (yield from _calls(graph, fresh, at, {}, raises, named)) if fresh else {}
+            at |= yield from _choices(graph, nodes, {f: results[f] for f in inner if f in results}, starts)
+            continue
+        state: dict[str, _State] = {}
+        for turn in range(len(group)):
+            # After the first round only formulas that read the group can have news.
+            open_ = [f for f in inner if f not in results or set(graph.formulas[f].inputs) & set(group)]
+            results |= yield from _calls(graph, open_, at | state, {f: results[f] for f in open_ if f in results}, raises, named)
+            chosen = yield from _choices(graph, nodes, {f: results[f] for f in inner if f in results}, starts)
+            # The nearest columns that aren't settled yet are settled in this round.
+            waiting = [F.when(state[x].d.isNull(), c.d) if x in state else c.d for x, c in chosen.items()]
+            # A lambda ends the generated method here: all rounds in one would be too large for the JVM to compile.
+            near = F.transform(F.array(_least(waiting)), lambda d: d)[0] if waiting else None
+            near = (yield {f"{group[0]}|near": near} if waiting else {}).get(f"{group[0]}|near")
+            step = {}
+            for x, c in chosen.items():
+                was = state.get(x)
+                for k in "dfv":
+                    step[f"{x}|{k}"] = _first([*([(was.d.isNotNull(), getattr(was, k))] if was else []), (c.d == near, getattr(c, k))])
+            got = yield step
+            state = {x: _State(got[f"{x}|d"], got[f"{x}|f"], got[f"{x}|v"], getattr(got[f"{x}|v"], "label", None)) for x in chosen}
+        at |= state
+    return at, results
+
+
+def _starts(graph: FormulaGraph, given: dict[str, Column], distances: dict[str, float]) -> dict[str, tuple[Column, Column]]:
+    """Distance and value of each column that is given or has a default."""
+    out = {}
+    for x, node in graph.data_nodes.items():
+        known = [given[x]] if x in given else []
+        d = F.lit(float(distances.get(x, 0.0)))
+        if node.default is not None:
+            default = node.default if isinstance(node.default, Column) else F.lit(node.default)
+            own = F.lit(float(node.distance + distances.get(x, 0.0)))
+            d = F.when(given[x].isNotNull(), d).otherwise(own) if known else own
+            known.append(default)
+        if known:
+            v = F.coalesce(*known) if len(known) > 1 else known[0]
+            v = v.cast(node.dtype) if node.dtype else v
+            out[x] = (F.when(v.isNotNull(), d), v)
+    return out
+
+
+def _steps(graph: FormulaGraph, given: dict[str, Column], distances: dict[str, float], raises: str, named: bool):
+    """The layers of given values and all that follows from them."""
+    made = _starts(graph, given, distances)
+    got = yield {f"{x}|{k}": c for x, (d, v) in made.items() for k, c in (("d", d), ("v", v))}
+    starts = {x: _State(got[f"{x}|d"], F.lit(START), got[f"{x}|v"], getattr(got[f"{x}|v"], "label", None)) for x in made}
+    return (yield from _settled(graph, starts, raises, named))
+
+
+@contextlib.contextmanager
+def _lenient(spark: SparkSession, on: bool):
+    """Expressions that are built within give NULL where they fail; they keep that when they run."""
+    name, old = "spark.sql.ansi.enabled", spark.conf.get("spark.sql.ansi.enabled")
+    if on:
+        spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+#: Groups of columns, besides the given ones, up to which filters on results may be moved below the graph.
+_OPEN_GROUPS = 3
+
+
+def _layered(df: DataFrame, steps) -> tuple[DataFrame, object]:
+    """Each layer as a projection of ``df``; columns that nothing needs any more are pruned by Catalyst."""
+    n, send = 0, None
+    while True:
+        try:
+            layer = steps.send(send)
+        except StopIteration as end:
+            return df, end.value
+        names = {k: f"__n{n + i}" for i, k in enumerate(layer)}
+        n += len(layer)
+        if layer:
+            df = df.select("*", *[c.alias(names[k]) for k, c in layer.items()])
+        send = {}
+        for k, name in names.items():
+            send[k] = F.col(name)
+            send[k].label = name
+
+
+def as_column(graph: FormulaGraph, given: dict[str, Column], outputs: Iterable[str], distances: dict[str, float] | None = None,
+              kinds: dict[str, str] | None = None) -> Column:
+    """The graph as one Column, a struct of the ``outputs`` (NULL where they can't be had), for use in lambdas and aggregates.
+
+    Layers are bound by lambdas, which Spark interprets; ``compute`` is faster where rows are columns of a table.
+    """
+    outputs = tuple(outputs)
+    graph = needed(graph, outputs, set())
+    steps = _steps(graph, {x: c for x, c in given.items() if x in graph.data_nodes}, distances or {}, "null", named=False)
+
+    def drive(send) -> Column:
+        try:
+            layer = steps.send(send)
+        except StopIteration as end:
+            at = end.value[0]
+            if missing := [x for x in outputs if x not in at]:
+                raise ValueError(f"outputs that can't be reached: {missing}") from None
+            found = {x: F.when(at[x].d.isNotNull(), at[x].v) for x in outputs}
+            return F.struct(*[(c.cast(kinds[x]) if kinds else c).alias(x) for x, c in found.items()])
+        if not layer:
+            return drive({})
+        names = {k: f"n{i}" for i, k in enumerate(layer)}
+        return F.transform(F.array(F.struct(*[layer[k].alias(n) for k, n in names.items()])), lambda s: drive({k: s[n] for k, n in names.items()}))[0]
+
+    return drive(None)
 
 
 def compute(graph: FormulaGraph, df: DataFrame, outputs: tuple[str, ...] | None = None, distances: dict[str, float] | None = None,
             wildcard: bool | int = False, lineage: bool = False, cutoff: bool = True, nested: bool = False,
-            complete: tuple[str, ...] = ()) -> DataFrame:
+            complete: tuple[str, ...] = (), raises: str = "null") -> DataFrame:
     """``df`` with a column for each data column of the graph (in each row: as far as it can be had there, else NULL).
 
     Columns of ``df`` that the graph doesn't know stay as they are; a NULL in one that it knows means that it isn't
     given in that row. ``distances`` are added to the distances at which given columns and defaults start.
     ``outputs`` leaves out what isn't needed for them; with ``cutoff`` what lies beyond the farthest of them is NULL
-    then. With ``wildcard`` a column that is given and asked for feeds the formulas, but its result is computed anew;
-    with ``wildcard=2`` one that no formula estimates stays as given. ``nested`` shows columns of nested models, too.
-    ``complete`` names columns that every row gives, so that formulas for them are left out; columns that can't be NULL
-    are known to be. ``lineage`` adds ``workflow``: the columns had, nearest first, with distance and formula.
+    then. It is an error if no row could have one of them. With ``wildcard`` a column that is given and asked for feeds the
+    formulas, but its result is computed anew; with ``wildcard=2`` one that no formula estimates stays as given.
+    ``nested`` shows columns of nested models, too. ``complete`` names columns that every row gives, so that formulas for
+    them are left out; columns that can't be NULL are known to be. ``lineage`` adds ``workflow``: the columns had, nearest
+    first, with distance and formula.
+
+    A formula fails where all its results are NULL; divisions, casts and overflows that raise in ANSI mode give NULL, too.
+    With ``raises="null"`` the row then takes the next path, with ``"record"`` it does so and a column ``errors`` names
+    the formulas that failed, with ``"error"`` the query ends with the first failure.
     """
+    if raises not in ("null", "record", "error"):
+        raise ValueError(f"unknown policy {raises!r}")
     distances = distances or {}
     given = [c for c in df.columns if c in graph.data_nodes]
     wild = tuple(x for x in outputs or () if wildcard and x in given and graph.data_nodes[x].wildcard and (wildcard != 2 or any(x in f.outputs for f in graph.formulas.values())))
@@ -190,48 +358,11 @@ def compute(graph: FormulaGraph, df: DataFrame, outputs: tuple[str, ...] | None
         distances = {f"{x}*" if x in wild else x: d for x, d in distances.items()}
     if outputs is not None:
         graph = needed(graph, outputs, {c for c in given if c in complete or (not df.schema[c].nullable and c not in outputs)})
-    rows, at, labels = _Rows(df), {}, {}
-    starts = {}
-    for x, node in graph.data_nodes.items():
-        known = [df[x]] if x in given else []
-        d = F.lit(float(distances.get(x, 0.0)))
-        if node.default is not None:
-            default = node.default if isinstance(node.default, Column) else F.lit(node.default)
-            own = F.lit(float(node.distance + distances.get(x, 0.0)))
-            d = F.when(df[x].isNotNull(), d).otherwise(own) if known else own
-            known.append(default)
-        if known:
-            v = F.coalesce(*known) if len(known) > 1 else known[0]
-            v = v.cast(node.dtype) if node.dtype else v
-            starts[x] = F.when(v.isNotNull(), F.struct(d.alias("d"), F.lit(START).alias("f"), v.alias("v")))
-    named = rows.add(starts)
-    starts = {x: F.col(named[x]) for x in starts}
-    used = {x for x in graph.data_nodes}
-    results: dict[str, Column] = {}
-    for group in _groups(graph):
-        inner = {f for f, x in graph.formulas.items() if set(x.outputs) & set(group)}
-        cyclic = len(group) > 1 or any(set(graph.formulas[f].inputs) & set(group) for f in inner)
-        state: dict[str, Column | None] = {}
-        for _ in range(len(group) if cyclic else 1):
-            open_ = [f for f in sorted(inner) if f not in results or set(graph.formulas[f].inputs) & set(group)]
-            fresh = {f: c for f in open_ if (c := _formula(graph, graph.formulas[f], {**at, **state}, labels, used)) is not None}
-            fresh = {f: F.col(n) for f, n in rows.add(fresh).items()}
-            results |= fresh
-            made = lambda x: {f: results[f] for f in inner if f in results and x in graph.formulas[f].outputs}
-            offers = {x: c for x in group if (c := _chosen(graph, graph.data_nodes[x], made(x), starts.get(x))) is not None}
-            named = rows.add(offers)
-            offers = {x: F.col(n) for x, n in named.items()}
-            if not cyclic:
-                state, labels = offers, labels | named
-                break
-            # The nearest columns that aren't settled yet are settled in this round.
-            unsettled = {x: F.when(state[x].isNull(), c["d"]) if state.get(x) is not None else c["d"] for x, c in offers.items()}
-            nearest = F.array_min(F.array(*unsettled.values())) if unsettled else F.lit(None)
-            settled = {x: F.coalesce(*([state[x]] if state.get(x) is not None else []), F.when(c["d"] == nearest, c)) for x, c in offers.items()}
-            named = rows.add(settled)
-            state, labels = {x: F.col(n) for x, n in named.items()}, labels | named
-        at |= {x: c for x, c in state.items() if c is not None}
-    return _selected(graph, rows.df, df, at, outputs, wild, lineage, cutoff, nested)
+    with _lenient(df.sparkSession, raises != "error"):
+        wide, (at, calls) = _layered(df, _steps(graph, {x: df[x] for x in given if x in graph.data_nodes}, distances, raises, named=True))
+        if missing := [x for x in outputs or () if x not in at and x not in wild]:
+            raise ValueError(f"outputs that can't be reached: {missing}")
+        return _selected(graph, wide, df, at, calls, outputs, wild, lineage, cutoff, nested, raises)
 
 
 def _wild(graph: FormulaGraph, df: DataFrame, wild: tuple[str, ...]) -> tuple[FormulaGraph, DataFrame]:
@@ -244,16 +375,27 @@ def _wild(graph: FormulaGraph, df: DataFrame, wild: tuple[str, ...]) -> tuple[Fo
     return out, df.withColumnsRenamed({x: f"{x}*" for x in wild})
 
 
-def _selected(graph: FormulaGraph, wide: DataFrame, df: DataFrame, at: dict[str, Column], outputs, wild, lineage: bool, cutoff: bool, nested: bool) -> DataFrame:
-    shown = {x: c for x, c in at.items() if x != SINK and not (x.endswith("*") and x[:-1] in wild) and (nested or "/" not in x)}
+def _selected(graph: FormulaGraph, wide: DataFrame, df: DataFrame, at: dict[str, _State], calls: dict[str, dict], outputs, wild, lineage: bool, cutoff: bool, nested: bool, raises: str) -> DataFrame:
+    shown = {x: s for x, s in at.items() if x != SINK and not (x.endswith("*") and x[:-1] in wild) and (nested or "/" not in x)}
+    seen = {x: s.d for x, s in shown.items()}
     if outputs is not None and cutoff and outputs and all(x in shown for x in outputs):
         # Rows that have all outputs stop at the farthest of them, and at ties after it by name.
-        far = F.array_max(F.array(*[F.struct(shown[x]["d"].alias("d"), F.lit(x).alias("x")) for x in outputs]))
-        every = reduce(lambda a, b: a & b, [shown[x].isNotNull() for x in outputs])
-        shown = {x: F.when(~every | (F.struct(c["d"].alias("d"), F.lit(x).alias("x")) <= far), c) for x, c in shown.items()}
+        every = _all([shown[x].d.isNotNull() for x in outputs])
+        far = F.greatest(*[shown[x].d for x in outputs]) if len(outputs) > 1 else shown[outputs[0]].d
+        wide = wide.select("*", F.when(every, far).alias("__far"))
+        last = _first([(shown[x].d == F.col("__far"), F.lit(x)) for x in sorted(outputs, reverse=True)])
+        wide = wide.select("*", last.alias("__last"))
+        seen = {x: F.when(F.col("__far").isNull() | (d < F.col("__far")) | ((d == F.col("__far")) & (F.lit(x) <= F.col("__last"))), d) for x, d in seen.items()}
     other = [wide[c] for c in df.columns if c not in graph.data_nodes and not (c.endswith("*") and c[:-1] in wild)]
-    columns = [c["v"].alias(x) for x, c in shown.items()]
+    columns = {x: F.when(seen[x].isNotNull(), s.v) for x, s in shown.items()}
     if lineage:
-        steps = F.array_sort(F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(c["d"].alias("distance"), F.lit(x).alias("node"), c["f"].alias("formula"))) for x, c in shown.items()])))
-        columns.append(steps.alias("workflow"))
-    return wide.select(*other, *columns)
+        steps = F.array(*[F.when(seen[x].isNotNull(), F.struct(s.d.alias("distance"), F.lit(x).alias("node"), s.f.alias("formula"))) for x, s in shown.items()])
+        columns["workflow"] = F.array_sort(F.array_compact(steps))
+    if raises == "record":
+        failed = [F.when(c["a"].isNotNull() & _all([v.isNull() for v in c["v"].values()]), F.lit(f)) for f, c in sorted(calls.items())]
+        columns["errors"] = F.array_compact(F.array(*failed)) if failed else F.expr("cast(array() as array<string>)")
+    if len(_groups(graph)) > _OPEN_GROUPS + len(set(df.columns)):
+        # Catalyst would move filters on results below the layers and infer constraints through them, and write out each
+        # formula again for each use. A condition that always holds stops it; filter given columns before ``compute``.
+        columns = {x: F.when(F.rand(0) + 1 > 0, c) for x, c in columns.items()}
+    return wide.select(*other, *[c.alias(x) for x, c in columns.items()])

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: An infinitely long way: ``far(a, b)`` is compared by ``a`` first. Distances are doubles; ``b`` stays below this unit.
 FAR = float(1 << 30)
@@ -83,10 +84,12 @@ class FormulaGraph:
         self.name, self.description = name, description
         self.data_nodes: dict[str, Data] = {}
         self.formulas: dict[str, Formula] = {}
+        #: Domains of nested models: name -> (domain, the columns that it gets).
+        self.guards: dict[str, tuple[Callable, tuple[str, ...]]] = {}
 
     def copy(self) -> FormulaGraph:
         out = copy.copy(self)
-        out.data_nodes, out.formulas = dict(self.data_nodes), dict(self.formulas)
+        out.data_nodes, out.formulas, out.guards = dict(self.data_nodes), dict(self.formulas), dict(self.guards)
         return out
 
     def data(self, name: str | None = None, **facts) -> str:
@@ -166,6 +169,8 @@ class FormulaGraph:
             self.formulas[inside(f.name)] = replace(
                 f, name=inside(f.name), inputs=tuple(map(inside, f.inputs)), outputs=tuple(map(inside, f.outputs)),
                 input_weights={inside(k): w for k, w in f.input_weights.items()}, output_weights={inside(k): w for k, w in f.output_weights.items()})
+        for model, (guard, offered) in child.guards.items():
+            self.guards[inside(model)] = (lambda v, guard=guard: guard({k.removeprefix(f"{name}/"): c for k, c in v.items()}), tuple(map(inside, offered)))
         for source, many in inputs.items():
             self.data_nodes.setdefault(source, Data(source))
             for i, target in enumerate(_names(many)):
@@ -174,7 +179,7 @@ class FormulaGraph:
                     self.set_default(source, default, child.data_nodes[target].distance)
                 self._link(name, source, inside(target))
         if domain is not None:
-            self._guards = {**getattr(self, "_guards", {}), name: (domain, tuple(inputs))}
+            self.guards[name] = (domain, tuple(inputs))
         for source, many in outputs.items():
             for target in _names(many):
                 if target not in (START, SINK):
@@ -199,6 +204,7 @@ class FormulaGraph:
                 if out.formulas.get(f.name) != f:
                     name = _unused(f.name, out.formulas)
                     out.formulas[name] = replace(f, name=name)
+            out.guards |= other.guards
         return out
 
     def compute(self, df: DataFrame, outputs: str | Iterable[str] | None = None, **how) -> DataFrame:
@@ -207,6 +213,32 @@ class FormulaGraph:
 
         return compute(self, df, _names(outputs) or None, **how)
 
+    def function(self, inputs: Iterable[str], outputs: str | Iterable[str], kinds: dict[str, str] | None = None, as_: str = "struct") -> Callable[..., Column]:
+        """The model as a function of Columns: ``f(*inputs)`` gives its outputs as a struct, an array or, of one, the value.
+
+        Arguments may be given by name; too many, unknown, repeated or missing ones (but for those with a default) are a
+        ``TypeError``, outputs that can't be reached a ``ValueError``.
+        """
+        from .compile import as_column
+
+        inputs, outputs = tuple(inputs), _names(outputs)
+
+        def f(*args: Column, **named: Column) -> Column:
+            if len(args) > len(inputs):
+                raise TypeError(f"{len(inputs)} arguments at most, not {len(args)}")
+            given = dict(zip(inputs, args))
+            if wrong := [k for k in named if k not in inputs or k in given]:
+                raise TypeError(f"unknown or repeated arguments: {wrong}")
+            given |= named
+            if missing := [x for x in inputs if x not in given and (x not in self.data_nodes or self.data_nodes[x].default is None)]:
+                raise TypeError(f"missing arguments: {missing}")
+            found = as_column(self, given, outputs, kinds=kinds)
+            if as_ == "struct":
+                return found
+            return found[outputs[0]] if as_ == "value" else F.transform(F.array(found), lambda s: F.array(*[s[x] for x in outputs]))[0]
+
+        return f
+
     def plan(self, given: Iterable[str], distances: dict[str, float] | None = None) -> list[tuple[float, str, str]]:
         """``(distance, column, formula)`` in the order of visits if all domains hold and nothing fails; no data needed."""
         distances, settled, called = distances or {}, {}, set()
