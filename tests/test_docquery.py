@@ -45,3 +45,25 @@ def test_paging(spark):
         Q.query(docs(spark), Q.User(1), after=1)
     assert [r._id for r in Q.query(docs(spark), Q.User(1), sort="-_id", after=2)[0].collect()] == [1]
     assert Q.next_page(5, 2, 2) == 4 and Q.next_page(4, 2, 2) is None
+
+
+def test_malformed_filters_are_query_errors(spark):
+    for bad in ({"$and": []}, {"$or": 3}, {"a": {"$in": 1}}, {"a": {"$regex": "("}}, {"$eq": 3}, {"a": {"$gt": {"y": 1}}}, {"a": {"$and": [{}]}}):
+        with pytest.raises(Q.QueryError):
+            Q.query(docs(spark), Q.User(1), "docs", where=bad)
+
+
+def test_values_of_documents(spark):
+    rows = spark.createDataFrame([(1, '{"c": {"y": 1, "x": [1, 2]}, "n": 2.5, "big": 9007199254740993}'), (2, '{"c": 1, "n": 2}')], "_id int, data string")
+    found = lambda q: [r._id for r in rows.where(Q.predicate(Q.sanitize(q), Q.json_field("data"))).collect()]
+    assert found({"c": {"x": [1, 2], "y": 1}}) == [1] and found({"n": {"$gt": 2}}) == [1] and found({"n": {"$in": [2, "x"]}}) == [2]
+    assert found({"big": 9007199254740992}) == [] and found({"big": 9007199254740993}) == [1] and found({"n": 2.5}) == [1]
+
+
+def test_schemas(spark):
+    rows = spark.createDataFrame([(1, "a", '{"t": "x", "n": [1, 2]}'), (2, "a", '{"n": [1, "2"]}'), (3, "b", '{"t": 5}'), (4, "b", "no json"), (5, "a", '{"t": "long", "n": [], "z": 1}')], "id int, kind string, data string")
+    schema = {"type": "object", "required": ["t"], "properties": {"t": {"type": "string", "maxLength": 3}, "n": {"type": "array", "items": {"type": "integer"}}}, "additionalProperties": False}
+    got = rows.select("id", Q.valid_documents(rows.data, rows.kind, {"a": schema}, {"properties": {"t": {"type": "number"}}}).alias("ok")).collect()
+    assert {r.id: r.ok for r in got} == {1: True, 2: False, 3: True, 4: False, 5: False}
+    with pytest.raises(Q.QueryError):
+        Q.valid(rows.data, {"format": "date"})

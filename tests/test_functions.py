@@ -30,15 +30,20 @@ def test_nested(spark):
     assert merged == '{"a":{"b":{"z":1}},"x":1,"y":[1]}'
     exists = rows.select("id", C.path_exists(F.col("doc"), "d").alias("d"), C.path_exists(F.col("doc"), "a.z").alias("z")).collect()
     assert {(r.id, r.d, r.z) for r in exists} == {(1, True, False), (2, False, False)}
-    assert value(spark, C.prune_nulls(F.lit('{"a":null,"b":1}'), "a int, b int")) == '{"b":1}'
+    assert value(spark, C.prune_nulls(F.lit('{"a":null,"b":1}'))) == '{"b":1}'
 
 
 def test_nulls_are_pruned_at_every_level(spark):
-    pruned = lambda text, schema: value(spark, C.prune_nulls(F.lit(text), schema))
-    assert pruned('{"a":[1,null,3],"b":{"c":null,"d":[null,{"e":null,"f":2}]},"g":[[null,1],null]}',
-                  "a array<int>, b struct<c: int, d: array<struct<e: int, f: int>>>, g array<array<int>>") == '{"a":[1,3],"b":{"d":[{"f":2}]},"g":[[1]]}'
-    assert pruned('{"b":null,"m":{"x":null,"y":[null]}}', "b struct<c: int>, m map<string, array<int>>") == '{"m":{"y":[]}}'
-    assert pruned("[1,null]", "array<int>") == "[1]" and value(spark, C.prune_nulls(F.lit(None).cast("string"), "a int")) is None
+    import json
+
+    def plain(x):
+        return {k: plain(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else [plain(v) for v in x if v is not None] if isinstance(x, list) else x
+
+    pruned = lambda text: value(spark, C.prune_nulls(F.lit(text)))
+    for given in ({"a": [1, None, 3], "b": {"c": None, "d": [None, {"e": None, "f": 2}]}, "g": [[None, 1], None], "z": 9}, {"b": None, "m": {"x": None, "y": [None]}}, [1, None], [None],
+                  {"s": 'null, "x":null,', "t\\": None, "null": "a\\", "u": [",null]", None, "é:null"]}, {"only": None}, "null", 5):
+        assert json.loads(pruned(json.dumps(given))) == plain(given)
+    assert value(spark, C.prune_nulls(F.lit(None).cast("string"))) is None and value(spark, C.prune_nulls(F.lit("no json"))) is None
 
 
 def test_files_without_content_are_kept(spark):
@@ -51,6 +56,25 @@ def test_distances(spark):
     assert value(spark, a > b) and value(spark, distance.add(a, 3)).asDict() == {"inf": 1, "num": 5} and value(spark, distance.mul(a, 2)).asDict() == {"inf": 2, "num": 4}
 
 
+def test_far_nodes_are_an_error(spark):
+    import pytest
+
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(5)], "src string, dst string")
+    assert algebra.reachable(chain, spark.createDataFrame([("0",)], "id string"), max_steps=6).count() == 6
+    with pytest.raises(RuntimeError):
+        algebra.reachable(chain, spark.createDataFrame([("0",)], "id string"), max_steps=3)
+
+
+def test_shrunk_needs_all_inputs(spark):
+    nodes = spark.createDataFrame([(x, "formula" if x[0] == "f" else "data") for x in ("a", "m", "x", "y", "z", "f1", "f2", "f3", "f4")], "id string, type string")
+    edges = spark.createDataFrame([("a", "f1"), ("m", "f1"), ("f1", "x"), ("x", "f2"), ("f2", "y"), ("a", "f3"), ("f3", "z"), ("z", "f4"), ("f4", "z")], "src string, dst string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert algebra.shrunk(nodes, edges, ids("a"), ids("y"))[0].count() == 0  # f1 lacks m, so f2 lacks x
+    assert {r.id for r in algebra.shrunk(nodes, edges, ids("a", "m"), ids("y"))[0].collect()} == {"a", "m", "f1", "x", "f2", "y"}
+    links = spark.createDataFrame([("a", "m<x"), ("m<x", "m/x"), ("m/x", "m/f"), ("m/f", "m/y"), ("m/y", "m>b"), ("m>b", "b"), ("c", "m<z"), ("m<z", "m/z"), ("m/w", "m>d"), ("m>d", "d")], "src string, dst string")
+    assert {r.dst for r in algebra.prune_models(links).collect()} == {"m<x", "m/x", "m/f", "m/y", "m>b", "b"}
+
+
 def test_algebra(spark):
     edges = spark.createDataFrame([("a", "f"), ("f", "b"), ("b", "g"), ("g", "a")], "src string, dst string")
     source = spark.createDataFrame([("a",)], "id string")

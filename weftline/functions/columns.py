@@ -10,7 +10,6 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def bypass(*columns: Column) -> Column:
@@ -34,6 +33,22 @@ def rename_keys(value: Column, names: dict[str, str]) -> Column:
     return F.transform_keys(value, lambda k, v: F.coalesce(F.try_element_at(table, k), k))
 
 
+def select_except(value: Column, keys: list[str]) -> Column:
+    """A map without some keys."""
+    return F.map_filter(value, lambda k, v: ~k.isin(keys))
+
+
+def key_names(*names: str | dict, **renamed: str) -> dict[str, str]:
+    """``{name: name}`` of plain names, and what mappings and keywords say; a key twice is an error."""
+    out: dict[str, str] = {}
+    for part in (*names, renamed):
+        for k, v in (part.items() if isinstance(part, dict) else [(part, part)]):
+            if k in out:
+                raise ValueError(f"key {k!r} twice")
+            out[k] = v
+    return out
+
+
 def name_values(names: list[str | list], value: Column) -> Column:
     """An array's values under names, as a struct; a list of names takes apart the array in its place."""
     fields = []
@@ -117,19 +132,19 @@ def _merge(left, right):
     return out
 
 
-def prune_nulls(value: Column, schema: str) -> Column:
-    """JSON text without null fields and null array elements at any level, read with ``schema`` (fields that it lacks are left out)."""
-    return F.to_json(_without_nulls(F.from_json(value, schema), T.DataType.fromDDL(schema)), {"ignoreNullFields": "true"})
+#: A whole JSON string; from its opening quote on, so that no search begins within one.
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+
 
+def prune_nulls(value: Column) -> Column:
+    """JSON text without null fields and null array elements at any level; NULL where it isn't JSON.
 
-def _without_nulls(value: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.ArrayType):
-        return F.transform(F.array_compact(value), lambda x: _without_nulls(x, kind.elementType))
-    if isinstance(kind, T.MapType):
-        return F.transform_values(F.map_filter(value, lambda _, v: v.isNotNull()), lambda _, v: _without_nulls(v, kind.valueType))
-    if isinstance(kind, T.StructType) and kind.fields:
-        return F.when(value.isNotNull(), F.struct(*[_without_nulls(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
-    return value
+    Works on the canonical text that a variant gives, in which nulls, strings and commas are the only tokens that matter;
+    so no schema is needed and nothing else is lost.
+    """
+    text = F.to_json(F.try_parse_json(value))
+    without = F.regexp_replace(text, rf"({_STRING})(?!:null)|{_STRING}:null,?+|null,?+", "$1")
+    return F.regexp_replace(without, rf"({_STRING})|,(?=[\]}}])", "$1")
 
 
 def merge_known(left: Column, right: Column, fields: dict[str, dict | str]) -> Column:

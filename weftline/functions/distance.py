@@ -39,5 +39,27 @@ def mul(a: Column, b: Column | float) -> Column:
     return apply(operator.mul, a, b)
 
 
+def div(a: Column, b: Column | float) -> Column:
+    return apply(operator.truediv, a, b)
+
+
+def floordiv(a: Column, b: Column | float) -> Column:
+    return apply(lambda x, y: F.floor(x / y), a, b)
+
+
+def mod(a: Column, b: Column | float) -> Column:
+    """The remainder with the divisor's sign."""
+    return apply(lambda x, y: x - F.floor(x / y) * y, a, b)
+
+
+def power(a: Column, b: Column | float) -> Column:
+    return apply(F.pow, a, b)
+
+
+def each(f, a: Column) -> Column:
+    """A function of one number on both parts: ``F.negative``, ``F.abs``, ``F.floor``, ``F.ceil``."""
+    return pair(f(a["inf"]), f(a["num"]))
+
+
 def rounded(a: Column, digits: int = 0) -> Column:
     return pair(F.round(a["inf"], digits), F.round(a["num"], digits))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,26 +27,70 @@ def sub_graph(nodes: DataFrame, edges: DataFrame, keep: DataFrame, drop_edges: D
 def reachable(edges: DataFrame, sources: DataFrame, reverse: bool = False, blockers: DataFrame | None = None, max_steps: int = 1000) -> DataFrame:
     """``id, step`` of all nodes that can be reached from ``sources`` (backwards with ``reverse``).
 
-    Blocked nodes are reached but not left. Breadth first: a step is one join with the edges; steps are written,
-    so the plan doesn't grow; cycles end since nodes are entered once.
+    Blocked nodes are reached but not left. Breadth first: a step is one join with the edges; each step's new nodes are
+    written once; cycles end since nodes are entered once. A graph deeper than ``max_steps`` is an error.
     """
     way = edges.select(F.col("dst" if reverse else "src").alias("id"), F.col("src" if reverse else "dst").alias("next"))
-    seen = front = materialize(sources.select("id").distinct().withColumn("step", F.lit(0)))
-    for step in range(1, max_steps):
-        leaving = front if blockers is None else front.join(blockers.select("id"), "id", "left_anti")
-        found = leaving.join(way, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
-        front = materialize(found.withColumn("step", F.lit(step)))
+    parts = [materialize(sources.select("id").distinct().withColumn("step", F.lit(0)))]
+    for step in range(1, max_steps + 1):
+        leaving = parts[-1] if blockers is None else parts[-1].join(blockers.select("id"), "id", "left_anti")
+        seen = reduce(DataFrame.unionByName, parts)
+        front = materialize(leaving.join(way, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("step", F.lit(step)))
         if front.isEmpty():
-            break
-        seen = materialize(seen.unionByName(front))
-    return seen
+            return seen
+        if len(parts) == 32:  # few tables to read, each node rewritten every 32 steps at most
+            parts = [materialize(reduce(DataFrame.unionByName, parts))]
+        parts.append(front)
+    raise RuntimeError(f"nodes are farther than {max_steps} steps")
+
+
+def computable(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, max_steps: int = 1000) -> DataFrame:
+    """``id`` of the columns that can be had from ``inputs`` and ``START``, and of the formulas that can be called.
+
+    A formula needs all of its inputs. Each round calls the formulas that have just got their last one.
+    """
+    formulas = nodes.where("type = 'formula'").select("id")
+    needs = edges.join(formulas.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+    gives = edges.join(formulas.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst")
+    starts = edges.where("src = 'START'").join(formulas.withColumnRenamed("id", "dst"), "dst", "left_anti").select(F.col("dst").alias("id"))
+    have = materialize(inputs.select("id").unionByName(starts).distinct())
+    for _ in range(max_steps):
+        lacking = needs.where("src <> 'START'").join(have.withColumnRenamed("id", "src"), "src", "left_anti").select(F.col("dst").alias("id")).distinct()
+        called = formulas.join(lacking, "id", "left_anti")
+        fresh = materialize(called.unionByName(gives.join(called.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))).distinct().join(have, "id", "left_anti"))
+        if fresh.isEmpty():
+            return have
+        have = materialize(have.unionByName(fresh))
+    raise RuntimeError(f"columns are farther than {max_steps} formulas")
 
 
 def shrunk(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The part of a graph that lies on a way from the inputs to the outputs."""
-    before = reachable(edges, outputs, reverse=True, blockers=inputs)
-    after = reachable(edges, inputs.select("id"))
-    return sub_graph(nodes, edges, before.join(after, "id", "left_semi"))
+    """The smallest part of a graph with all ways from the inputs to the outputs, alternatives for failing domains included.
+
+    Formulas that lack an input go, with all that only they could give, and so does what no output needs. An output that
+    can't be had isn't in it.
+    """
+    live = computable(nodes, edges, inputs)
+    usable = edges.join(live.withColumnRenamed("id", "src"), "src", "left_semi").join(live.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    needed = reachable(usable, outputs.select("id").join(live, "id", "left_semi"), reverse=True, blockers=inputs)
+    return sub_graph(nodes, usable, needed.select("id"))
+
+
+def prune_models(edges: DataFrame, inputs: DataFrame | None = None, outputs: DataFrame | None = None) -> DataFrame:
+    """``edges`` without the links of nested models (``model<column``, ``model>column``) that lead from or to nothing.
+
+    A way in is kept if its target is read within the model or asked for, a way out if its source is estimated or given.
+    """
+    end = lambda df, name: F.broadcast(df.select(F.col("id").alias(name))) if df is not None else None
+    link = F.col("dst").rlike(r"[<>][^<>]*$") & (F.col("dst") != "START")
+    ways_in = edges.where(F.col("src").rlike(r"^.+<[^<>]+$")).select(F.col("src").alias("link"), F.col("dst").alias("column"))
+    ways_out = edges.where(link & F.col("dst").rlike(r"^.+>[^<>]+$")).select(F.col("dst").alias("link"), F.col("src").alias("column"))
+    dead_in = ways_in.join(edges.select(F.col("src").alias("column")), "column", "left_anti")
+    dead_in = dead_in if outputs is None else dead_in.join(end(outputs, "column"), "column", "left_anti")
+    dead_out = ways_out.join(edges.select(F.col("dst").alias("column")), "column", "left_anti")
+    dead_out = dead_out if inputs is None else dead_out.join(end(inputs, "column"), "column", "left_anti")
+    dead = dead_in.select("link").unionByName(dead_out.select("link"))
+    return edges.join(dead.withColumnRenamed("link", "src"), "src", "left_anti").join(dead.withColumnRenamed("link", "dst"), "dst", "left_anti")
 
 
 def union(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -7,10 +7,12 @@ Documents have ``_id``, ``category``, ``data`` (JSON text), ``user_id``, ``is_pu
 from __future__ import annotations
 
 import json
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,24 +85,58 @@ def column_field(names: dict[str, str] | None = None) -> Callable[[str], Field]:
 
 
 def _kind(value: object) -> str:
-    return "boolean" if isinstance(value, bool) else "double" if isinstance(value, (int, float)) else "string"
+    return "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
+
+
+def _parts(op: str, value: object) -> list[dict]:
+    if not isinstance(value, list) or not value or not all(isinstance(x, dict) for x in value):
+        raise QueryError(f"{op} needs a list of filters")
+    return value
 
 
 def predicate(query: dict, field: Callable[[str], Field]) -> Column:
-    """The filter as a Column that is never NULL."""
+    """The filter as a Column that is never NULL; a malformed one is a ``QueryError``."""
     parts = []
     for k, v in query.items():
         if k == "$and":
-            parts.append(reduce(lambda a, b: a & b, [predicate(x, field) for x in v]))
+            parts.append(reduce(lambda a, b: a & b, [predicate(x, field) for x in _parts(k, v)]))
         elif k == "$or":
-            parts.append(reduce(lambda a, b: a | b, [predicate(x, field) for x in v]))
+            parts.append(reduce(lambda a, b: a | b, [predicate(x, field) for x in _parts(k, v)]))
         elif k == "$nor":
-            parts.append(~reduce(lambda a, b: a | b, [predicate(x, field) for x in v]))
+            parts.append(~reduce(lambda a, b: a | b, [predicate(x, field) for x in _parts(k, v)]))
+        elif k.startswith("$"):
+            raise QueryError(f"{k} needs a field")
         else:
             parts.append(_condition(field(k), v if isinstance(v, dict) and any(x.startswith("$") for x in v) else {"$eq": v}))
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
+def _pattern(text: object, options: object) -> str:
+    if not isinstance(text, str) or not isinstance(options or "", str) or set(options or "") - set("imsx"):
+        raise QueryError("not a pattern")
+    full = f"(?{options}){text}" if options else text
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(full)
+    except Exception as wrong:
+        raise QueryError(f"not a pattern: {text!r}") from wrong
+    return full
+
+
+def _compared(f: Field, op: str, v: object) -> Column:
+    """One comparison. Whole numbers are compared exactly, as decimals where the stored value is one; documents and lists by their text."""
+    test = {"$eq": operator.eq, "$ne": operator.eq, "$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}[op]
+    if isinstance(v, (dict, list)):
+        if op not in ("$eq", "$ne"):
+            raise QueryError(f"{op} needs a plain value")
+        return F.to_json(F.try_parse_json(f.value("variant").cast("string"))) == json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    kind = _kind(v)
+    if kind != "number":
+        return test(f.value(kind), v)
+    if isinstance(v, int) and abs(v) < 10**28:
+        return F.coalesce(test(f.value("decimal(38,9)").cast("decimal(38,9)"), F.lit(str(v)).cast("decimal(38,9)")), test(f.value("double").cast("double"), float(v)))
+    return test(f.value("double").cast("double"), float(v))
+
+
 def _condition(f: Field, tests: dict) -> Column:
     out = []
     for op, v in tests.items():
@@ -109,54 +145,62 @@ def _condition(f: Field, tests: dict) -> Column:
         if op == "$exists":
             out.append(f.exists if v else ~f.exists)
         elif op == "$regex":
-            out.append(f.value("string").rlike(f"(?{tests['$options']}){v}" if tests.get("$options") else v))
+            out.append(f.value("string").rlike(_pattern(v, tests.get("$options"))))
         elif op in ("$in", "$nin"):
-            some = [f.value(k).isin([x for x in v if _kind(x) == k and x is not None]) for k in sorted({_kind(x) for x in v if x is not None})]
+            if not isinstance(v, list):
+                raise QueryError(f"{op} needs a list")
+            some = [F.coalesce(_compared(f, "$eq", x), F.lit(False)) for x in v if _kind(x) == "number" or isinstance(x, (dict, list))]
+            some += [F.coalesce(f.value(k).isin([x for x in v if x is not None and not isinstance(x, (dict, list)) and _kind(x) == k]), F.lit(False)) for k in ("boolean", "string")
+                     if any(x is not None and not isinstance(x, (dict, list)) and _kind(x) == k for x in v)]
             some += [f.value("string").isNull()] if None in v else []
-            found = F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(s, F.lit(False)) for s in some], F.lit(False)), F.lit(False))
+            found = reduce(lambda a, b: a | b, some, F.lit(False))
             out.append(found if op == "$in" else ~found)
+        elif op not in COMPARISONS:
+            raise QueryError(f"{op} is no test of a field")
         elif v is None:
             nothing = f.value("string").isNull()
             out.append(nothing if op == "$eq" else ~nothing)
         else:
-            x = f.value(_kind(v))
-            test = {"$eq": x == v, "$ne": x == v, "$gt": x > v, "$gte": x >= v, "$lt": x < v, "$lte": x <= v}[op]
-            test = F.coalesce(test, F.lit(False))
+            test = F.coalesce(_compared(f, op, v), F.lit(False))
             out.append(~test if op == "$ne" else test)  # what has no such field differs
     return F.coalesce(reduce(lambda a, b: a & b, out), F.lit(False)) if out else F.lit(True)
 
 
 @dataclass(frozen=True)
 class User:
-    """Who asks: no id for strangers; ``roles`` may widen or narrow what they may do."""
+    """Who asks: no id for strangers; ``roles`` may widen or narrow what they may do; ``admin`` is the role of that name."""
 
     id: str | int | None = None
     roles: tuple[str, ...] = ()
     admin: bool = False
 
 
+# The rules of a category that has none.
+ACTIONS = ("create", "list", "read", "update", "delete")
+DEFAULT_ACL = {"roles": {"admin": dict.fromkeys(ACTIONS, "all"), "user": dict.fromkeys(ACTIONS, "own")}, "default_role": "user"}
+
+
 def scope(user: User, acl: dict | None, action: str) -> str:
-    """``all``, ``own`` or ``none``: the widest that the user's roles have for the action in the category's rules."""
-    if user.admin:
-        return "all"
-    rules = (acl or {}).get(action)
-    if rules is None:
-        return "own"
-    found = {rules.get(r) for r in (*user.roles, "authenticated" if user.id is not None else "anonymous", "*")}
-    return next((s for s in ("all", "own", "none") if s in found), "none")
+    """``all``, ``own`` or ``none``, as ``{"roles": {role: {action: scope}}, "default_role": role}`` says.
+
+    One role decides: ``admin`` before the others, these in the user's order; users without any have the default role.
+    A role that isn't configured is passed over; an action that a role doesn't name is ``all`` to ``admin``, else ``none``.
+    """
+    acl = acl or DEFAULT_ACL
+    rules, held = acl.get("roles") or {}, list(user.roles)
+    if user.admin or "admin" in held:
+        held = ["admin", *(r for r in held if r != "admin")]
+    decides = next((r for r in held or [acl.get("default_role", "user")] if r in rules), None)
+    return "none" if decides is None else rules[decides].get(action, "all" if decides == "admin" else "none")
 
 
 def access(user: User, acl: dict | None = None, action: str = "list") -> Column:
-    """The row-level rule: strangers see public rows; ``own`` means own or public ones to read, own ones to write."""
-    allowed = scope(user, acl, action)
-    own, public = F.coalesce(F.col("user_id") == F.lit(user.id), F.lit(False)), F.coalesce(F.col("is_public"), F.lit(False))
+    """The row-level rule: strangers see public rows alone; ``own`` means own or public ones to read, own ones to write."""
+    own, public, reads = F.coalesce(F.col("user_id") == F.lit(user.id), F.lit(False)), F.coalesce(F.col("is_public"), F.lit(False)), action in ("list", "read")
     if user.id is None and not user.admin:
-        return public if action in ("list", "read") and allowed != "none" else F.lit(False)
-    if allowed == "all":
-        return F.lit(True)
-    if allowed == "none":
-        return F.lit(False)
-    return own | public if action in ("list", "read") else own
+        return public if reads else F.lit(False)
+    allowed = scope(user, acl, action)
+    return F.lit(True) if allowed == "all" else F.lit(False) if allowed == "none" else own | public if reads else own
 
 
 def category_config(requests: DataFrame, configs: DataFrame, default: dict) -> DataFrame:
@@ -207,6 +251,12 @@ def query(docs: DataFrame, user: User, category: str | None = None, where: dict
     return rows.orderBy(*sort_columns(sort)).offset(offset).limit(limit), total
 
 
+def next_cursor(page: DataFrame, limit: int) -> DataFrame:
+    """A one-row table with ``next_after``: the last ``_id`` of a full page, NULL where it was the last one."""
+    last = page.agg(F.count("*").alias("n"), F.max_by("_id", "__place").alias("last")) if "__place" in page.columns else page.agg(F.count("*").alias("n"), F.max("_id").alias("last"))
+    return last.select(F.when(F.col("n") >= limit, F.col("last")).alias("next_after"))
+
+
 def next_page(total: int, limit: int, offset: int) -> int | None:
     return offset + limit if offset + limit < total else None
 
@@ -218,10 +268,66 @@ def shown(rows: DataFrame, user: User, include_data: str | bool = True) -> DataF
     return rows if user.admin else rows.withColumn("user_id", F.when(F.col("user_id") == F.lit(user.id), F.col("user_id")))
 
 
-def valid_documents(rows: DataFrame, schema: str, required: list[str]) -> Column:
-    """Whether ``data`` parses with the schema and has all required fields."""
-    parsed = F.from_json("data", schema)
-    return F.coalesce(reduce(lambda a, b: a & b, [parsed[r].isNotNull() for r in required], parsed.isNotNull()), F.lit(False))
+# SQL types of a variant by JSON-Schema type.
+_TYPES = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING$", "boolean": "^BOOLEAN$", "null": "^VOID$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"}
+
+
+def valid(value: Column, schema: dict, path: str = "$") -> Column:
+    """Whether the value at a path of a variant column fits a JSON schema; true where there is no such value.
+
+    Knows ``type``, ``required``, ``properties``, ``additionalProperties: false``, ``items``, ``enum``, ``const``,
+    ``minimum``, ``maximum``, ``minLength``, ``maxLength``, ``pattern``, ``minItems``, ``maxItems``, ``allOf``, ``anyOf``, ``not``; any other
+    rule that restricts values is a ``QueryError``, so that none is passed over.
+    """
+    known = {"type", "required", "properties", "additionalProperties", "items", "enum", "const", "minimum", "maximum", "minLength", "maxLength", "pattern", "minItems", "maxItems",
+             "allOf", "anyOf", "not", "title", "description", "default", "$schema", "$id", "examples"}
+    if unknown := sorted(set(schema) - known):
+        raise QueryError(f"rules of a schema that aren't known: {unknown}")
+    here = F.try_variant_get(value, path, "variant") if path != "$" else value
+    kind, text = F.schema_of_variant(here), F.try_variant_get(value, path, "string")
+    number, rules = F.try_variant_get(value, path, "double"), []
+    is_a = lambda *names: reduce(lambda a, b: a | b, [kind.rlike(_TYPES[n]) for n in names])
+    if "type" in schema:
+        names = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
+        rules.append(is_a(*names) | ((number == F.floor(number)) & is_a("number") if "integer" in names else F.lit(False)))
+    for k, test in (("minimum", lambda v: number >= v), ("maximum", lambda v: number <= v)):
+        if k in schema:
+            rules.append(~is_a("number") | test(float(schema[k])))
+    for k, test in (("minLength", lambda v: F.char_length(text) >= v), ("maxLength", lambda v: F.char_length(text) <= v), ("pattern", lambda v: text.rlike(_pattern(v, None)))):
+        if k in schema:
+            rules.append(~is_a("string") | test(schema[k]))
+    items = F.try_variant_get(value, path, "array<variant>")
+    for k, test in (("minItems", lambda v: F.size(items) >= v), ("maxItems", lambda v: F.size(items) <= v)):
+        if k in schema:
+            rules.append(~is_a("array") | test(schema[k]))
+    if "items" in schema:
+        rules.append(~is_a("array") | F.forall(items, lambda x: valid(x, schema["items"])))
+    some = [schema["const"]] if "const" in schema else schema.get("enum")
+    if some is not None:
+        rules.append(F.to_json(here).isin([json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in some]))
+    for name in schema.get("required", ()):
+        rules.append(~is_a("object") | F.try_variant_get(value, f"{path}.{name}", "variant").isNotNull())
+    for name, inner in schema.get("properties", {}).items():
+        rules.append(~is_a("object") | valid(value, inner, f"{path}.{name}"))
+    if schema.get("additionalProperties") is False:
+        keys = F.map_keys(F.try_variant_get(value, path, "map<string,variant>"))
+        rules.append(~is_a("object") | (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in schema.get("properties", {})]).cast("array<string>"))) == 0))
+    rules += [valid(value, x, path) for x in schema.get("allOf", ())]
+    if "anyOf" in schema:
+        rules.append(reduce(lambda a, b: a | b, [valid(value, x, path) for x in schema["anyOf"]]))
+    if "not" in schema:
+        rules.append(~valid(value, schema["not"], path))
+    return here.isNull() | F.coalesce(reduce(lambda a, b: a & b, rules, F.lit(True)), F.lit(False))
+
+
+def valid_documents(data: Column, category: Column, schemas: dict[str, dict], default: dict | None = None) -> Column:
+    """Whether JSON text fits its category's schema, or the default one; text that isn't JSON fits none."""
+    value = F.try_parse_json(data)
+    out = None
+    for name, schema in schemas.items():
+        out = F.when(category == name, valid(value, schema)) if out is None else out.when(category == name, valid(value, schema))
+    rest = valid(value, default) if default is not None else F.lit(True)
+    return value.isNotNull() & (rest if out is None else out.otherwise(rest))
 
 
 def file_refs(data: Column) -> Column:

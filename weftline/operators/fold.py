@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.plans.compile import as_column
 from weftline.plans.graph import FormulaGraph
+from weftline.sources.tables import materialize
 
 
 def map_model(df: DataFrame, graph: FormulaGraph, defaults: dict[str, object] | None = None, outputs: list[str] | None = None, **how) -> DataFrame:
@@ -17,45 +20,54 @@ def map_model(df: DataFrame, graph: FormulaGraph, defaults: dict[str, object] |
     return graph.compute(df.withColumns(missing) if missing else df, outputs, **how)
 
 
-def fold_model(df: DataFrame, graph: FormulaGraph, carried: dict[str, str], keys: list[str], order: list[str], fields: dict[str, str]) -> DataFrame:
+def fold_model(df: DataFrame, graph: FormulaGraph, carried: dict[str, str], keys: list[str], order: list[str], fields: dict[str, str], chunk: int = 1024) -> DataFrame:
     """Ordered fold in which results of a row are inputs of the next one: ``carried`` maps outputs to inputs.
 
-    What a row gives itself wins over what is carried. The model is compiled into one fold over each key's rows, so
-    it runs in the JVM; a key's rows must fit in one row of a table. ``fields`` names the outputs wanted, with types.
-    ``fold_rows`` goes without that limit.
+    What a row gives itself wins over what is carried. Each step is the whole graph, with its domains, distances,
+    defaults, merges and SQL texts (see ``compile.as_column``). ``fields`` names the outputs wanted, with types; an output that
+    a row can't have is NULL and carries nothing.
+
+    Rows are sorted by ranges, so that a key with very many rows lies in many partitions, and folded in the JVM in
+    chunks of at most ``chunk`` consecutive rows of one key; no array is longer. A key's chunks follow each other, as
+    an ordered fold must: a key of n rows takes n / ``chunk`` rounds, each over the keys that have so many rows.
     """
+    wanted = {**fields, **{o: "" for o in carried if o not in fields}}
+    if missing := [o for o in carried if o not in fields]:
+        raise ValueError(f"carried outputs need a type in fields: {missing}")
     inputs = [c for c in df.columns if c in graph.data_nodes]
-    rows = F.struct(*order, *[c for c in df.columns if c not in keys and c not in order])
-    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(rows)).alias("__rows"))
+    ranged = df.select(*keys, *order, *[c for c in inputs if c not in keys and c not in order]).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    at = ranged.withColumn("__at", F.monotonically_increasing_id())  # partition, then place in it
+    rows = F.struct("__at", *order, *[c for c in inputs if c not in keys and c not in order])
+    packed = at.groupBy(*keys, F.expr(f"__at div {chunk}").alias("__block")).agg(F.sort_array(F.collect_list(rows)).alias("__rows"))
+    packed = materialize(packed.withColumn("__turn", F.row_number().over(Window.partitionBy(*keys).orderBy("__block"))))
     feed = {i: o for o, i in carried.items()}
-
-    def model(columns: dict) -> dict:
-        # One pass of the model over Columns alone: each formula in its order, the first that has a result wins.
-        had = dict(columns)
-        for f in graph.formulas.values():
-            if all(x in had for x in f.inputs):
-                got = f.build(*[had[x] for x in f.inputs])
-                for x, v in zip(f.outputs, got if isinstance(got, tuple) else (got,)):
-                    had[x] = F.coalesce(had[x], v) if x in had else v
-        return had
-
-    empty = F.expr(f"cast(null as struct<{', '.join(f'{k}: {t}' for k, t in fields.items())}>)")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    start = F.struct(F.expr(f"cast(array() as array<struct<{', '.join([*(f'{c}: {kinds[c]}' for c in order), *(f'{k}: {t}' for k, t in fields.items())])}>>)").alias("out"), empty.alias("last"))
+    last = f"struct<{', '.join(f'{k}: {t}' for k, t in wanted.items())}>"
+    out = f"array<struct<{', '.join([*(f'{c}: {kinds[c]}' for c in order), *(f'{k}: {t}' for k, t in wanted.items())])}>>"
 
-    def step(state, row):
+    def step(state: Column, row: Column) -> Column:
         given = {}
-        for x in {*inputs, *feed}:
-            own = row[x] if x in inputs else None
-            carry = state["last"][feed[x]] if x in feed else None
-            given[x] = F.coalesce(*[c for c in (own, carry) if c is not None])
-        had = model(given)
-        found = F.struct(*[had[k].cast(t).alias(k) for k, t in fields.items()])
-        placed = F.struct(*[row[c].alias(c) for c in order], *[had[k].cast(t).alias(k) for k, t in fields.items()])
-        return F.struct(F.concat(state["out"], F.array(placed)).alias("out"), found.alias("last"))
-
-    done = packed.withColumn("__out", F.aggregate("__rows", start, step, lambda s: s["out"]))
-    return done.select(*keys, F.explode("__out").alias("__o")).select(*keys, "__o.*")
+        for x in dict.fromkeys([*inputs, *feed]):
+            own = [F.col(x) if x in keys else row[x]] if x in inputs else []
+            given[x] = F.coalesce(*own, *([state["last"][feed[x]]] if x in feed else []))
+        had = as_column(graph, given, wanted, kinds=wanted)
+        both = lambda h: F.struct(
+            F.concat(state["out"], F.array(F.struct(*[row[c].alias(c) for c in order], *[h[k].alias(k) for k in wanted]))).alias("out"), h.alias("last"))
+        return F.transform(F.array(had), both)[0]
+
+    done, states, turn = [], None, 1
+    while True:
+        part = packed.where(F.col("__turn") == turn)
+        if turn > 1:
+            if part.isEmpty():
+                break
+            part = part.join(states, keys)
+        begin = F.col("__last") if turn > 1 else F.expr(f"cast(null as {last})")
+        folded = part.withColumn("__f", F.aggregate("__rows", F.struct(F.expr(f"cast(array() as {out})").alias("out"), begin.alias("last")), step))
+        folded = materialize(folded.select(*keys, F.col("__f.out").alias("__out"), F.col("__f.last").alias("__last")))
+        done.append(folded.select(*keys, F.explode("__out").alias("__o")).select(*keys, "__o.*"))
+        states, turn = folded.select(*keys, "__last"), turn + 1
+    return reduce(DataFrame.unionByName, done).select(*keys, *order, *fields)
 
 
 def fold_rows(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple], columns: list[str], schema: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,9 +83,9 @@ def refund(entries: DataFrame, at: Column, start: str = "valid_from", expires: s
     return entries.where(F.col(start) <= at).withColumn(expires, F.when(F.col(expires).isNull() | (F.col(expires) > at), at).otherwise(F.col(expires)))
 
 
-def intervals(rows: DataFrame, start: str, end: str, months: int = 0, days: int = 0) -> DataFrame:
+def intervals(rows: DataFrame, start: str, end: str, months: int = 0, days: int = 0, seconds: int = 0) -> DataFrame:
     """Consecutive intervals of each row's range. By months, those that lack the start's day of the month are skipped."""
-    step = F.make_interval(months=F.lit(months), days=F.lit(days))
+    step = F.make_interval(months=F.lit(months), days=F.lit(days), secs=F.lit(seconds))
     dates = F.sequence(F.col(start), F.col(end), step)
     if months:
         dates = F.filter(dates, lambda d: F.day(d) == F.day(F.col(start)))
@@ -91,6 +93,19 @@ def intervals(rows: DataFrame, start: str, end: str, months: int = 0, days: int
     return rows.withColumn("__i", F.explode(F.filter(pairs, lambda p: p["to"].isNotNull()))).select("*", F.col("__i.from").alias("interval_from"), F.col("__i.to").alias("interval_to")).drop("__i")
 
 
+# The units of a frequency.
+_UNITS = {"M": ("months", 1), "W": ("days", 7), "D": ("days", 1), "Y": ("months", 12), "h": ("seconds", 3600), "m": ("seconds", 60), "s": ("seconds", 1)}
+
+
+def frequency(text: str) -> dict[str, int]:
+    """Arguments of ``intervals`` for a number and a unit: ``3M``, ``2W``, ``1D``, ``1Y``, ``6h``, ``30m``, ``10s``."""
+    found = re.fullmatch(r"([1-9]\d*)([MWDYhms])", text)
+    if not found:
+        raise ValueError(f"not a frequency: {text!r}")
+    name, many = _UNITS[found[2]]
+    return {name: int(found[1]) * many}
+
+
 def tiered(lines: DataFrame, tiers: DataFrame, quantity: str = "quantity", product: str = "product", volume: bool = False) -> DataFrame:
     """Line items by tier: ``units`` in each tier up to the covering one, and their ``amount`` with the tier's flat fee.
 

@@ -89,12 +89,12 @@ def doc_projection(spark: SparkSession, sf: str) -> DataFrame:
     return Q.shown(_items(spark, sf), Q.User(2), "no").select("_id", F.coalesce("user_id", F.lit(-1)).alias("user_id"))
 
 
-@query("SELECT event_id, '{\"k\":' || (props->>'k') || ',\"list\":[1,3]}' AS pruned FROM events")
+@query("""SELECT event_id, '{"k":' || (props->>'k') || ',"list":[1,{"s":"a,null:\\"null"},[]]}' AS pruned FROM events""")
 def doc_prune_nulls(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").select("event_id", F.from_json("props", "k int").alias("p"))
-    given = F.struct(F.col("p.k").alias("k"), F.lit(None).cast("string").alias("gone"), F.array(F.lit(1), F.lit(None).cast("int"), F.lit(3)).alias("list"))
-    text = F.to_json(given, {"ignoreNullFields": "false"})
-    return rows.select("event_id", C.prune_nulls(text, "k int, gone string, list array<int>").alias("pruned"))
+    """Nulls go at every level; texts that look like them stay."""
+    rest = F.lit(', "gone": null, "list": [1, null, {"s": "a,null:\\"null", "t": null}, [null]]}')
+    text = F.concat(F.expr("substring(props, 1, length(props) - 1)"), rest)
+    return table(spark, sf, "events").select("event_id", C.prune_nulls(text).alias("pruned"))
 
 
 @query("""SELECT event_id, coalesce(CAST(m->>'k' AS INTEGER), -1) AS k, CAST(m->>'extra' AS INTEGER) AS extra, coalesce(m->>'$.deep.b', '') AS b
