@@ -409,7 +409,8 @@ def test_lines(spark, awkward, empty):
 
 def test_many_lines_under_one_key(spark, monkeypatch):
     """Groups above the limit are taken apart, with the same links: a shared opening, and numbers in one frame."""
-    monkeypatch.setattr(line_join, "_GROUP", 8)
+    for name, value in (("_GROUP", 8), ("_GROWTH", 2), ("_BLOCK", 5)):
+        monkeypatch.setattr(line_join, name, value)
     rng = random.Random(6)
     lines = {"an opening that all of these lines share: " + "".join(rng.choice("abcdefgh ") for _ in range(20)) + "." for _ in range(60)}
     lines |= {_typo(rng, x, 2).strip() for x in list(lines)[:20]} | {f"line number {k:03d} of the table" for k in range(0, 900, 23)} | {str(k) for k in range(12345, 12400)}

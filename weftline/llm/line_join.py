@@ -7,9 +7,11 @@ it stands in both lines at places that differ by ``k`` at most from the nearer e
 segments and probes the index by them, shifted by so much. A line near its bucket's lower end does so for the bucket
 below, too.
 
-What meets under a key is verified: by letter counts, then by a banded bit-parallel edit distance. A key with very
-many lines isn't paired at all: what is left of its lines without the segment is within the same edits, so those
-rests are joined in the same way under that key, until groups are small.
+What meets under a key is filtered by letter counts within the join and verified by a banded bit-parallel edit distance.
+The lines of a key with very many are taken apart first: what is left of them without the segment is within the same
+edits, so those rests are joined in the same way under that key. That parts lines that share an opening; variants of one
+line, equal but for a word, it parts only by half, so the limit grows with each turn, and what still meets is compared
+in blocks that are tasks of their own.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from .components import connected_components
 _SPACE_CHARS = " \t\x0b\x0c\r"
 #: Letters whose counts (5 bits each) rule pairs out: frequent ones of European languages.
 _LETTERS = "etaoinsrhdlu"
-#: Lines under one key that are paired with each other; a key with more is taken apart first.
-_GROUP = 12
+#: Lines under one key that are compared as they are; a key with more is taken apart first. The limit grows by ``_GROWTH``
+#: each turn, ``_TURNS`` times; rows of one block of a comparison.
+_GROUP, _GROWTH, _TURNS, _BLOCK = 64, 8, 4, 256
 
 
 def _bucket(n: str) -> str:
@@ -156,30 +159,38 @@ def _keyed(rows: DataFrame, edits: int, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "line_id", "n", "b", "e", *[F.expr(c[2]).alias(f"k{i}") for i, c in enumerate(_keys(edits))])
 
 
-def _opened(keyed: DataFrame, edits: int, keep: list[str] = []) -> DataFrame:
+def _opened(keyed: DataFrame, edits: int) -> DataFrame:
     """A row for each key: ``key``, ``at`` (its column) and the row's facts."""
-    many = len(_keys(edits))
-    keys = F.array(*[F.col(f"k{i}") for i in range(many)])
-    return keyed.select(*keep, "line_id", "n", "b", "e", F.posexplode(keys).alias("at", "key")).where("key is not null")
+    keys = [f"k{i}" for i in range(len(_keys(edits)))]
+    return keyed.select(*[c for c in keyed.columns if c not in keys], F.posexplode(F.array(*keys)).alias("at", "key")).where("key is not null")
 
 
 def _met(keyed: DataFrame, edits: int, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
-    """``(pairs, rows of too large groups with their key)`` of the rows that share a key.
+    """``(pairs, rows of larger groups)`` of the rows that share a key.
 
     Groups are counted with a combining aggregate first: most keys have one line, and of two lines the smallest and the
-    largest id are the pair. So only rows of larger groups are looked up again.
+    largest id are the pair. So only rows of larger groups are looked up again, with their key and its ``m`` rows.
     """
     rows = _opened(keyed, edits)
     groups = rows.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"), F.count("*").alias("m"), F.min("at").alias("least"))
     groups = S.materialize(groups.where(f"lo < hi and least <= {edits}"))
-    pairs = groups.where("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     more = _if_small(groups.where("m > 2").select("key", "m"), max_broadcast)
-    keep = [c for c in keyed.columns if c == "line"]
-    members = S.materialize(_opened(keyed, edits, keep).join(more, "key"))
-    small = members.where(f"m <= {_GROUP}")
-    x, y = (small.select("key", F.col("line_id").alias(i), F.col("n").alias(f"{i}n"), (F.col("at") <= edits).alias(f"{i}i")) for i in "ab")
-    near = (F.col("a") < F.col("b")) & (F.abs(F.col("an") - F.col("bn")) <= edits) & (F.col("ai") | F.col("bi"))
-    return pairs.unionByName(x.join(y, "key").where(near).select("a", "b")), members.where(f"m > {_GROUP}")
+    return groups.where("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")), S.materialize(rows.join(more, "key"))
+
+
+def _pairs(rows: DataFrame, edits: int) -> DataFrame:
+    """Pairs ``a, b`` of rows with one key whose lengths and letter counts allow a link; shifted segments don't meet each other.
+
+    A key's rows are dealt out to blocks by hash, and each pair of blocks is compared by itself.
+    """
+    rows = rows.select("key", "line_id", "n", "counts", (F.col("at") <= edits).alias("indexed"), F.expr(f"cast((m + {_BLOCK - 1}) div {_BLOCK} as int)").alias("blocks"))
+    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(line_id), blocks) as int)"))
+    side = lambda i, mine, other, several: rows.select(
+        "key", F.col("own").alias(mine), F.explode(F.expr(several)).alias(other), F.col("line_id").alias(i), F.col("n").alias(f"{i}n"), F.col("counts").alias(f"{i}c"), F.col("indexed").alias(f"{i}i"))
+    left, right = side("a", "x", "y", "sequence(own, blocks - 1)"), side("b", "y", "x", "sequence(0, own)")
+    near = F.expr(f"((x < y and a <> b) or a < b) and abs(an - bn) <= {edits} and (ai or bi) and {_may_link('ac', 'bc', edits)}")
+    return left.join(right.withColumnsRenamed({"key": "key2", "x": "x2", "y": "y2"}), (F.col("key") == F.col("key2")) & (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")) & near).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _rests(rows: DataFrame, edits: int) -> DataFrame:
@@ -187,43 +198,39 @@ def _rests(rows: DataFrame, edits: int) -> DataFrame:
     case = lambda which: "case at " + " ".join(f"when {i} then {c[which]}" for i, c in enumerate(_keys(edits))) + " end"
     rows = rows.withColumns({"first": F.expr(case(3)), "size": F.expr(case(4))})
     rest = F.expr("concat(substring(line, 1, cast(first - 1 as int)), substring(line, cast(first + size as int), n))")
-    return rows.select(F.col("key").alias("salt"), "line_id", rest.alias("line"), F.col("e").alias("of")).withColumn("n", F.char_length("line"))
-
+    return rows.select(F.col("key").alias("salt"), "line_id", rest.alias("line"), F.col("e").alias("of"), "counts").withColumn("n", F.char_length("line"))
 
-def _tiny_pairs(rests: DataFrame, edits: int) -> DataFrame:
-    """Pairs of one group whose rests are too short for segments: nearly all of them link.
 
-    A group's rows are dealt out to blocks by hash, and pairs of blocks are tasks of their own.
-    """
-    tiny = rests.where(f"n <= {2 * edits}").select("salt", "line_id", "n").distinct()
-    sizes = tiny.groupBy("salt").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (4 * _GROUP))).alias("blocks"))
-    rows = tiny.join(sizes, "salt").withColumn("own", F.expr("pmod(xxhash64(line_id), blocks)"))
-    left = rows.select("salt", F.col("line_id").alias("a"), F.col("own").alias("x"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("y"))
-    right = rows.select("salt", F.col("line_id").alias("b"), F.col("own").alias("y"), F.explode(F.expr("sequence(0L, own)")).alias("x"))
-    return left.join(right, ["salt", "x", "y"]).where("(x < y and a <> b) or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def _candidates(lines: DataFrame, edits: int, similarity: float, max_broadcast: int) -> list[DataFrame]:
-    """Tables of pairs ``a, b`` of line ids, with ``a < b``, that hold all links."""
+def _candidates(lines: DataFrame, edits: int, similarity: float, max_broadcast: int) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of pairs ``a, b`` of line ids that hold all links, and the texts of these lines with their letter counts."""
     many = len(_keys(edits))
     long = lines.select(F.lit(0).cast("long").alias("salt"), "line_id", "line", "n").where(f"{_allowed('n', edits, similarity)} > 0")
     keyed = _keyed(_in_buckets(long, edits, lambda x: _allowed(x, edits, similarity)), edits, [])
     # Copies of a line are counted as one from here on; numbers alone are shuffled.
     keyed = S.materialize(keyed.groupBy("line_id", "b").agg(F.max("n").alias("n"), F.max("e").alias("e"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(many)]))
-    found, large = _met(keyed, edits, max_broadcast)
-    out = [found]
-    if not large.isEmpty():
-        texts = _texts(large.select("line_id"), lines, max_broadcast).drop("n")
-        large = S.materialize(large.join(texts, "line_id"))
-    while not large.isEmpty():
+    found, rows = _met(keyed, edits, max_broadcast)
+    ids = found.select(F.explode(F.array("a", "b")).alias("line_id")).unionByName(rows.select("line_id"))
+    texts = S.materialize(_texts(ids, lines, max_broadcast).withColumn("counts", F.expr(_letter_counts())))
+    out, limit = [found], _GROUP
+    rows = rows.join(texts.select("line_id", "counts"), "line_id")
+    for turn in range(_TURNS):
+        last = turn == _TURNS - 1
+        out.append(_pairs(rows if last else rows.where(f"m <= {limit}"), edits))
+        large = rows.where(f"m > {limit}")
+        if last or large.isEmpty():
+            break
+        large = large.join(texts.select("line_id", "line"), "line_id") if turn == 0 else large
         rests = S.materialize(_rests(large, edits).distinct())
-        out.append(_tiny_pairs(rests, edits))
+        # Rests without room for segments are a group of their own.
+        tiny = rests.where(f"n <= {2 * edits}").select(F.xxhash64(F.lit("tiny"), "salt").alias("key"), "line_id", "n", "counts", F.lit(0).alias("at"))
+        out.append(_pairs(tiny.join(tiny.groupBy("key").agg(F.count("*").alias("m")), "key"), edits))
         # Within a group the edits are those of its bucket, however short the rests are.
-        rows = [_in_buckets(rests.where(f"of = {e}"), e, lambda x, e=e: f"{e}") for e in range(1, edits + 1)]
-        keyed = S.materialize(_keyed(reduce(DataFrame.unionByName, rows), edits, ["line"]))
-        found, large = _met(keyed, edits, max_broadcast)
+        parts = [_in_buckets(rests.where(f"of = {e}"), e, lambda x, e=e: f"{e}") for e in range(1, edits + 1)]
+        keyed = S.materialize(_keyed(reduce(DataFrame.unionByName, parts), edits, ["line", "counts"]))
+        found, rows = _met(keyed, edits, max_broadcast)
         out.append(found)
-    return out
+        limit *= _GROWTH
+    return out, texts
 
 
 def line_links(lines: DataFrame, edits: int = 2, similarity: float = 0.8, max_broadcast: int = 2_000_000) -> DataFrame:
@@ -231,9 +238,8 @@ def line_links(lines: DataFrame, edits: int = 2, similarity: float = 0.8, max_br
 
     Two lines link if they differ by ``edits`` edits at most and by ``1 - similarity`` of the shorter one's characters.
     """
-    pairs = S.materialize(reduce(DataFrame.unionByName, _candidates(lines, edits, similarity, max_broadcast)).distinct())
-    ids = pairs.select(F.col("a").alias("line_id")).unionByName(pairs.select(F.col("b").alias("line_id")))
-    texts = S.materialize(_texts(ids, lines, max_broadcast).withColumn("counts", F.expr(_letter_counts())))
+    found, texts = _candidates(lines, edits, similarity, max_broadcast)
+    pairs = S.materialize(reduce(DataFrame.unionByName, found).distinct())
     side = lambda id_, name: texts.select(F.col("line_id").alias(id_), F.col("line").alias(name), F.col("counts").alias(f"{name}c"), F.col("n").alias(f"{name}n"))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(F.expr(_may_link("xc", "yc", edits)))
     return S.materialize(both.where(banded_distance("x", "y", edits) <= F.expr(_allowed("least(xn, yn)", edits, similarity))).select("a", "b"))
