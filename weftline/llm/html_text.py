@@ -22,7 +22,9 @@ from . import shared as S
 # The element kinds of the HTML standard that matter for structure and display.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas".split())
+#: Elements of drawings and formulas that hold no visible text.
+UNSEEN_WITHIN = {"svg": frozenset("desc metadata defs symbol clippath mask pattern".split()), "math": frozenset("annotation annotation-xml".split())}
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre search section summary table ul xmp textarea".split())
@@ -39,19 +41,21 @@ IMPLIED_ENDS = {
     "option": (frozenset(["option"]), frozenset(["select", "datalist"]) | SCOPE), "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"]) | SCOPE),
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table", "template"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table", "template"])),
     "tr": (frozenset(["tr", "caption", "colgroup"]), frozenset(["table", "template"])),
-    "tbody": (frozenset(["tbody", "thead", "tfoot", "caption", "colgroup"]), frozenset(["table", "template"])),
-    "thead": (frozenset(["tbody", "thead", "tfoot", "caption", "colgroup"]), frozenset(["table", "template"])),
-    "tfoot": (frozenset(["tbody", "thead", "tfoot", "caption", "colgroup"]), frozenset(["table", "template"])),
+    "tbody": (frozenset(["td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"]), frozenset(["table", "template"])),
+    "thead": (frozenset(["td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"]), frozenset(["table", "template"])),
+    "tfoot": (frozenset(["td", "th", "tr", "tbody", "thead", "tfoot", "caption", "colgroup"]), frozenset(["table", "template"])),
     "body": (frozenset(["head"]), frozenset(["table"])),
 }
 #: Content that ends an open head.
 _HEAD_ONLY = frozenset("base link meta title style script noscript template head html".split())
 
-_TOKEN = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>)""", re.S)
+_TOKEN = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|(?P<never>\Z)))|(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<raw>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _BLANK = re.compile(r"[ \t\n\f\r]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
-_ALIGN_LIMIT = 60
+_HIDING = re.compile(r"display\s*:\s*none")
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
+#: Characters at which a cell's lines are wrapped, to which lines are indented, and to which columns are aligned.
+_WRAP, _INDENT, _ALIGNED = 80, 80, 400
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -59,8 +63,22 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _number(value: str | None, otherwise: int, most: int) -> int:
-    found = re.match(r"\s*(-?\d{1,9})", value or "")
-    return min(int(found[1]), most) if found else otherwise
+    found = re.match(r"\s*([+-]?\d+)", value or "")
+    return min(int(found[1][:20]), most) if found else otherwise
+
+
+def _wrapped(line: str) -> list[str]:
+    """A line in parts of at most ``_WRAP`` characters, cut at blanks; longer words and laid-out lines stay whole."""
+    if len(line) <= _WRAP or "  " in line.strip():
+        return [line]
+    out, now = [], ""
+    for word in line.split(" "):
+        if now and len(now) + 1 + len(word) > _WRAP:
+            out.append(now)
+            now = word
+        else:
+            now = f"{now} {word}" if now else word
+    return [*out, now]
 
 
 class _Flow:
@@ -71,9 +89,16 @@ class _Flow:
         self.now: list[str] = []
         self.ends_blank = True
         self.gap = False
-        self.indent: list[str] = []
+        self.indent = [""]  # what stands before a line at each depth; from a depth on it grows no more
         self.marker = ""
 
+    def deeper(self, blanks: str) -> None:
+        self.indent.append((self.indent[-1] + blanks)[:_INDENT])
+
+    def shallower(self) -> None:
+        if len(self.indent) > 1:
+            self.indent.pop()
+
     def text(self, data: str, pre: bool) -> None:
         if pre:
             first, *more = data.split("\n")
@@ -98,9 +123,9 @@ class _Flow:
             if self.gap and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.gap = False
-            prefix = "".join(self.indent)
+            prefix = self.indent[-1]
             if self.marker and line:
-                prefix = "".join(self.indent[:-1]) + self.marker
+                prefix = self.indent[-2 if len(self.indent) > 1 else 0] + self.marker
                 self.marker = ""
             self.lines.append((prefix + line) if line else "")
         self.now, self.ends_blank = [], True
@@ -122,7 +147,9 @@ class _Table:
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, list[str]]]] = []
         self.held: dict[int, int] = {}  # column -> rows for which a cell from above holds it
-        self.span = (1, 1)
+
+    def section(self) -> None:
+        self.held = {}
 
     def row(self) -> None:
         self.held = {c: n - 1 for c, n in self.held.items() if n > 1}
@@ -140,17 +167,23 @@ class _Table:
             self.held |= {c: rowspan for c in range(at, at + colspan)}
 
     def layout(self) -> list[str]:
+        """Lines in which each column begins at one place, behind the widest line of the columns before it.
+
+        Where there are several columns long lines are wrapped first. A word that is wider still moves only what stands
+        behind it in its own line; columns beyond a limit follow each other by two blanks.
+        """
+        several = any(at for row in self.rows for at, _, _ in row)
+        rows = [[(at, [x for line in lines for x in _wrapped(line)] if several else lines, span) for at, lines, span in row] for row in self.rows]
         width: Counter[int] = Counter()
-        for row in self.rows:
+        for row in rows:
             for at, lines, colspan in row:
                 if colspan == 1:
-                    width[at] = max(width[at], *(len(x) if len(x) <= _ALIGN_LIMIT else 0 for x in lines), 0) if lines else width[at]
-        columns = sorted({at for row in self.rows for at, _, _ in row})
+                    width[at] = max(width[at], *(min(len(x), _WRAP) for x in lines), 0)
         start, place = {}, 0
-        for c in columns:
-            start[c], place = place, place + (width[c] + 2 if width[c] else 0)
+        for c in sorted({at for row in rows for at, _, _ in row}):
+            start[c], place = min(place, _ALIGNED), place + (width[c] + 2 if width[c] else 0)
         out = []
-        for row in self.rows:
+        for row in rows:
             for k in range(max((len(lines) for _, lines, _ in row), default=0)):
                 line = ""
                 for at, lines, _ in row:
@@ -173,20 +206,45 @@ class _Renderer:
         self.tables: list[_Table] = []
         self.lists: list[list] = []
         self.unseen = self.pre = 0
+        self.visible = [True]  # inherited; an element may set it anew
+        self.shut: list[int] = []  # for each closed details element: ``unseen`` within it
+        self.foreign: Counter[str] = Counter()
 
     def opened(self, tag: str, raw: str) -> tuple:
-        """What ``closed`` needs to know of the element."""
-        attrs = _attributes(raw) if raw and (tag in ("ol", "li", "td", "th", "details", "dialog") or "hidden" in raw.lower() or "style" in raw.lower()) else {}
-        hides = tag in UNSEEN or "hidden" in attrs or bool(_HIDING.search(attrs.get("style", "").lower())) or (tag == "dialog" and "open" not in attrs)
+        """What ``closed`` needs to know of the element: its kind, facts of a cell, and whether it sets visibility."""
+        low = raw.lower()
+        attrs = _attributes(raw) if raw and (tag in ("ol", "li", "td", "th", "details", "dialog") or "hidden" in low or "style" in low) else {}
+        style = attrs.get("style", "").lower()
+        hides = tag in UNSEEN or "hidden" in attrs or bool(_HIDING.search(style)) or (tag == "dialog" and "open" not in attrs)
+        hides = hides or any(tag in inner and self.foreign[outer] for outer, inner in UNSEEN_WITHIN.items())
+        if tag == "summary" and not hides and self.shut and self.unseen == self.shut[-1]:
+            saved, self.unseen = self.unseen, 0
+            self.flows[-1].block(False)
+            return "summary", saved, 0, False
         if hides or self.unseen:
             self.unseen += 1
-            return ("unseen",)
+            return "unseen", 0, 0, False
+        found = _VISIBILITY.findall(style)
+        if found:
+            self.visible.append(found[-1] == "visible")
+        kind, *cell = self._shown(tag, attrs)
+        return kind, *(cell or (0, 0)), bool(found)
+
+    def _shown(self, tag: str, attrs: dict) -> tuple:
         flow = self.flows[-1]
         if tag == "br":
             flow.break_line(keep_blank=True)
         elif tag in ("td", "th"):
             self.flows.append(_Flow())
-            return ("cell", max(1, _number(attrs.get("colspan"), 1, 1000)), max(1, _number(attrs.get("rowspan"), 1, 65534)))
+            rows = _number(attrs.get("rowspan"), 1, 65534)
+            return ("cell", max(1, _number(attrs.get("colspan"), 1, 1000)), 65534 if rows == 0 else max(1, rows))  # 0: to the section's end
+        elif tag in ("tbody", "thead", "tfoot"):
+            if self.tables:
+                self.tables[-1].section()
+        elif tag in UNSEEN_WITHIN:
+            self.foreign[tag] += 1
+        elif tag == "text" and self.foreign["svg"]:
+            flow.block(False)
         elif tag == "tr":
             if self.tables:
                 self.tables[-1].row()
@@ -204,17 +262,34 @@ class _Renderer:
                         self.lists[-1][1] = _number(attrs["value"], self.lists[-1][1], 10**9)
                     marker = f"{self.lists[-1][1]}. "
                     self.lists[-1][1] += 1
-                flow.indent.append(" " * len(marker))
+                flow.deeper(" " * len(marker))
                 flow.marker = marker
             elif tag in ("blockquote", "dd"):
-                flow.indent.append("  ")
+                flow.deeper("  ")
             elif tag in ("pre", "xmp", "textarea"):
                 self.pre += 1
-        return ("details",) if tag == "details" and "open" not in attrs else (tag,)
+            elif tag == "details" and "open" not in attrs:
+                self.unseen += 1
+                self.shut.append(self.unseen)
+                return ("shut",)
+        return (tag,)
 
     def closed(self, tag: str, facts: tuple) -> None:
+        if facts[3]:
+            self.visible.pop()
         if facts[0] == "unseen":
             self.unseen -= 1
+        elif facts[0] == "summary" and facts[1]:
+            self.flows[-1].block(False)
+            self.unseen = facts[1]
+        elif facts[0] == "shut":
+            self.unseen -= 1
+            self.shut.pop()
+            self.flows[-1].block(False)
+        elif tag in UNSEEN_WITHIN:
+            self.foreign[tag] -= 1
+        elif tag == "text" and self.foreign["svg"]:
+            self.flows[-1].block(False)
         elif facts[0] == "cell":
             lines = self.flows.pop().done()
             if self.tables:
@@ -230,10 +305,10 @@ class _Renderer:
             if tag in LISTS:
                 self.lists.pop()
             elif tag == "li":
-                flow.indent.pop()
+                flow.shallower()
                 flow.marker = ""
             elif tag in ("blockquote", "dd"):
-                flow.indent.pop()
+                flow.shallower()
             elif tag in ("pre", "xmp", "textarea"):
                 self.pre -= 1
 
@@ -245,7 +320,7 @@ class _Renderer:
             flow.break_line(keep_blank=True)
 
     def text(self, data: str) -> None:
-        if not self.unseen:
+        if not self.unseen and self.visible[-1]:
             self.flows[-1].text(html.unescape(data) if "&" in data else data, bool(self.pre))
 
 
@@ -279,7 +354,7 @@ def page_text(page: str | None) -> str:
             close_to(i)
         if tag in ("html", "body") and count[tag]:
             return
-        if tag in IMPLIED_ENDS and (i := find(*IMPLIED_ENDS[tag])) >= 0:
+        while tag in IMPLIED_ENDS and (i := find(*IMPLIED_ENDS[tag])) >= 0:
             close_to(i)
         if tag in ("td", "th") and find(("tr",), frozenset(["table", "template"])) < 0 and count["table"]:
             open_("tr", "")
@@ -309,13 +384,13 @@ def page_text(page: str | None) -> str:
         if not token:
             break
         at = token.end()
-        tag = token[2]
+        tag = token["tag"]
         if tag is None:
-            if token[0].startswith("<!--") and not token[0].endswith("-->"):
+            if token["never"] is not None:
                 break
             continue
         tag = tag.lower()
-        if token[1]:
+        if token["end"]:
             if tag == "p" and find(("p",), SCOPE) < 0:
                 open_("p", "")
             if tag == "br":
@@ -323,7 +398,10 @@ def page_text(page: str | None) -> str:
             elif tag not in VOID and tag not in ("html", "body") and (i := find((tag,), SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else frozenset(["table"]) - {tag})) >= 0:
                 close_to(i)
             continue
-        open_(tag, token[3])
+        open_(tag, token["raw"])
+        if (count["svg"] or count["math"]) and tag not in ("svg", "math") and token["raw"].endswith("/") and tag not in VOID:
+            close_to(len(stack) - 1)  # in drawings and formulas a tag may close itself
+            continue
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             out.text(page[at : found.start() if found else end].removeprefix("\n")) if tag not in UNSEEN else None
@@ -337,8 +415,10 @@ def extract_text(pages: DataFrame, html_column: str = "html", keep: tuple[str, .
     """``keep`` columns with ``text``, the page as a reader sees it; one row for each row, whatever the markup.
 
     A null or empty page gives an empty text. Unclosed, misnested and unknown tags are taken as the tree builder
-    takes them; nothing is cut off.
+    takes them; no visible text is cut off. Indentation ends at 80 blanks, aligned columns at 400. A column of ``keep`` that
+    is called ``text`` already is replaced.
     """
+    keep = [c for c in keep if c != "text"]
     S.arrow_batches(pages.sparkSession)
     rows = pages.select(*keep, F.col(html_column).cast("string").alias("__html"))
     schema = rows.drop("__html").schema.add("text", "string")
