@@ -42,7 +42,7 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     """``(first row, end row, word hashes, place of each row's first word)``; each row ends with a 0."""
     low = pc.utf8_lower(pc.fill_null(texts, ""))
     for a, b, data, offsets in S.text_chunks(low):
-        begin, end, row = S.word_spans(data, offsets, S.ALNUM)
+        begin, end, row = S.word_spans(data, offsets, S.letters(data))
         first = np.searchsorted(row, np.arange(b - a + 1)) + np.arange(b - a + 1)
         out = np.zeros(len(begin) + b - a, dtype=np.uint64)
         if len(begin):
@@ -197,7 +197,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", kee
                   similarity: float = 0.8, recall: float = 0.999, block_bytes: int = 1 << 24) -> DataFrame:
     """A row for each row of ``docs`` and item that it holds: ``keep`` columns, ``item_id``, ``distance``, ``first_word``, ``n_words``.
 
-    Words are runs of letters and digits, lower-cased. A document holds an item if a stretch of it is within
+    Words are runs of letters and digits of any script (see ``shared.letters``), lower-cased. A document holds an item if a stretch of it is within
     ``(1 - similarity) * words of the item`` word edits of it; the best stretch is told. Items without a word are
     held by none, items of under 5 words only as they are; null and empty texts hold nothing; equal items each
     have their row. The benchmark is a query set: it goes against all documents in blocks of ``block_bytes``.

@@ -104,8 +104,8 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(begin, end, row)`` of each maximal run of bytes with ``is_word``; runs end at row borders."""
-    word = is_word[data]
+    """``(begin, end, row)`` of each maximal run of bytes with ``is_word`` (by byte, or by place); runs end at row borders."""
+    word = is_word if is_word.dtype == bool and len(is_word) == len(data) != 256 else is_word[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
     before = np.concatenate(([False], word[:-1])) & ~first[:-1] if len(data) else word
@@ -116,6 +116,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return begin, end, row
 
 
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 belong to letters, digits and marks: not ASCII's others, nor punctuation and symbols of the
+    blocks Latin-1 (U+0080 to U+00BF, but for its three letters and five numbers), U+2000 to U+2FFF and U+3000 to U+303F."""
+    word = ALNUM[data]
+    if len(data) and data.max() >= 0x80:
+        after, third = np.append(data[1:], np.uint8(0)), np.append(data[2:], np.zeros(2, np.uint8))
+        for two in (np.flatnonzero((data == 0xC2) & ~_LATIN_WORDS[after]), np.flatnonzero((data == 0xC3) & ((after == 0x97) | (after == 0xB7)))):
+            word[two] = word[two + 1] = False
+        three = np.flatnonzero((data == 0xE2) | ((data == 0xE3) & (after == 0x80)))
+        three = three[three + 2 < len(data)] if len(three) and third.size else three
+        word[three] = word[three + 1] = word[three + 2] = False
+    return word
+
+
 def byte_set(chars: bytes, high: bool = False) -> np.ndarray:
     """A table of 256 booleans: the given bytes, and with ``high`` all of non-ASCII UTF-8."""
     out = np.zeros(256, dtype=bool)
@@ -128,4 +142,6 @@ def byte_set(chars: bytes, high: bool = False) -> np.ndarray:
 #: The whitespace of the contracts: space and the bytes 9 to 13.
 WHITESPACE = b" \t\n\x0b\x0c\r"
 NOT_SPACE = ~byte_set(WHITESPACE)
+#: Second bytes of the letters and numbers among U+0080 to U+00BF.
+_LATIN_WORDS = byte_set(b"\xaa\xb2\xb3\xb5\xb9\xba\xbc\xbd\xbe")
 ALNUM = byte_set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", high=True)
