@@ -183,6 +183,31 @@ def test_decontamination_recall_and_exactness(duck):
         assert best <= d <= 0.2 * len(model.words[item]) and decontaminate.best_match(model.words[item], words[row][first:first + n])[0] == d
 
 
+def _edit_distance_within(item, words):
+    """Smallest edit distance of the item to any stretch of ``words``, by the plain recurrence."""
+    last = [0] * (len(words) + 1)
+    for i, w in enumerate(item):
+        now = [i + 1]
+        for j, x in enumerate(words):
+            now.append(min(last[j] + (w != x), last[j + 1] + 1, now[-1] + 1))
+        last = now
+    return min(last)
+
+
+def test_decontamination_against_all_windows():
+    rng = random.Random(15)
+    vocabulary = [f"v{k}" for k in range(400)]
+    items = [rng.choices(vocabulary, k=rng.choice((1, 3, 6, 12, 25, 40, 70))) for _ in range(25)]
+    texts = []
+    for k in range(60):
+        item = items[k % len(items)]
+        texts.append(rng.choices(vocabulary, k=rng.randrange(20)) + _within(rng, item, rng.randrange(0, len(item) // 8 + 1), vocabulary) + rng.choices(vocabulary, k=rng.randrange(20)))
+    found = {(r, i): d for r, i, d, *_ in decontaminate.matches(decontaminate.prepare([" ".join(x) for x in items]), pa.array([" ".join(x) for x in texts]))}
+    want = {(r, i): d for r, t in enumerate(texts) for i, x in enumerate(items) if (d := _edit_distance_within(x, t)) <= int(0.2 * len(x) + 1e-9)}
+    assert set(found) <= set(want) and all(want[k] <= d for k, d in found.items()) and len(found) >= 0.97 * len(want)
+    assert [hit[:3] for hit in decontaminate.matches(decontaminate.prepare(["größe über alles hier"]), pa.array(["“Größe—über…alles” ×hier"]))] == [(0, 0, 0)]
+
+
 def test_decontamination_edges(spark, awkward, empty, duck):
     bench = spark.createDataFrame([(1, "plain text here"), (2, None), (3, ""), (4, "!!"), (None, "plain TEXT here"), (5, "end")], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id, r.distance) for r in decontaminate.find_passages(awkward, bench).collect()), key=str)
@@ -432,6 +457,9 @@ def test_licences(spark, awkward, empty):
     assert got == {1: ("MIT", []), 2: (None, ["MIT"]), 3: (None, []), 4: (None, [])}
     assert licences.scan(awkward, known).count() == 10 and licences.scan(empty, known).count() == 0
     assert licences.scan(docs, known, max_broadcast=0).count() == 4
+    other = spark.createDataFrame([("PD", "Public domain."), ("X", "GPL v3")], "licence string, text string")
+    named = spark.createDataFrame([(1, "a\n * PUBLIC  DOMAIN *\nb"), (2, "gpl-v3"), (3, "public\ndomain")], "doc_id long, text string")
+    assert {r.doc_id: (r.licence, r.notices) for r in licences.scan(named, other).collect()} == {1: (None, ["PD"]), 2: ("X", ["X"]), 3: ("PD", [])}
 
 
 def test_pages(spark, empty):
@@ -444,6 +472,58 @@ def test_pages(spark, empty):
     assert page_text("<div>" * 30_000 + "deep") == "deep"
 
 
+def test_pages_show_all_visible_text():
+    cases = {
+        "<p>a<!-->b--><p>c": "ab-->\n\nc", "a<!--x--!>b<p>c": "ab\n\nc", "a<!--->b": "ab", "x</ bogus>y</>z": "xyz",
+        "<div style='visibility:hidden'>no<span style='visibility: visible'>yes</span>no</div>z": "yes\nz",
+        "<details><summary>S</summary><p>in</p></details>out": "S\nout", "<details open><summary>S</summary><p>in</p></details>out": "S\n\nin\n\nout",
+        "<svg><title>t</title><defs/><text>one</text><text>two</text></svg>m <math><mi>x</mi><annotation>no</annotation></math>": "one\ntwo\nm x",
+        "<table><tr><td rowspan=0>r<td>1<tr><td>2<tbody><tr><td>n<td>3</table>": "r  1\n   2\nn  3",
+        f"<table><tr><td>{'w' * 70}<td>x<tr><td>a<td>y</table>": f"{'w' * 70}  x\na{' ' * 71}y",
+    }
+    assert {k: page_text(k) for k in cases} == cases
+    deep = page_text("<ul><li>x" * 8000)
+    assert deep.count("x") == 8000 and len(deep) < 800_000
+    wide = page_text("<table>" + "<tr>" + "<td>" + "word " * 200 + "<td>b" + "</table>")
+    assert wide.split().count("word") == 200 and max(map(len, wide.split("\n"))) < 90
+
+
+def test_random_pages_against_a_recursive_reader():
+    rng = random.Random(12)
+
+    def page(depth, visible=True):
+        """A tree and, by plain recursion, the words of it that a browser shows."""
+        html, words = "", []
+        for _ in range(rng.randrange(1, 4)):
+            word = f"w{rng.randrange(10**6)}"
+            own = [word] if visible else []
+            kind = rng.choice(["text", "p", "div", "span", "b", "ul", "table", "none", "hidden", "script", "comment"]) if depth else "text"
+            inner, seen = page(depth - 1, visible and kind != "hidden") if depth and kind not in ("text", "script", "comment") else (word, own)
+            if kind == "p" and any(x in inner for x in ("<p", "<div", "<ul", "<table")):
+                kind = "div"
+            if kind == "ul":
+                html += f"<ul><li>{inner}<li>{word}</ul>"
+                words += [*seen, *own]
+            elif kind == "table":
+                html += f"<table><tr><td>{inner}</table>"
+                words += seen
+            elif kind == "none":
+                html += f"<div style='display:none'>{inner}</div>"
+            elif kind == "hidden":
+                html += f"<div style='visibility:hidden'>{inner}<i style='visibility:visible'> {word} </i></div>"
+                words += [*seen, word]
+            elif kind in ("script", "comment"):
+                html += f"<script>{word}</script>" if kind == "script" else f"<!-- {word} -->"
+            else:
+                html += f" {inner} " if kind == "text" else f" <{kind}>{inner}</{kind}> "
+                words += seen
+        return html, words
+
+    for _ in range(300):
+        html, words = page(4)
+        assert [w for w in page_text(html).split() if w != "*"] == words, html
+
+
 def test_language(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op10_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
