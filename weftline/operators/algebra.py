@@ -30,7 +30,7 @@ def reachable(edges: DataFrame, sources: DataFrame, reverse: bool = False, block
     Blocked nodes are reached but not left. Breadth first: a step is one join with the edges; each step's new nodes are
     written once; cycles end since nodes are entered once. A graph deeper than ``max_steps`` is an error.
     """
-    way = edges.select(F.col("dst" if reverse else "src").alias("id"), F.col("src" if reverse else "dst").alias("next"))
+    way = materialize(edges).select(F.col("dst" if reverse else "src").alias("id"), F.col("src" if reverse else "dst").alias("next"))
     parts = [materialize(sources.select("id").distinct().withColumn("step", F.lit(0)))]
     for step in range(1, max_steps + 1):
         leaving = parts[-1] if blockers is None else parts[-1].join(blockers.select("id"), "id", "left_anti")
@@ -49,9 +49,9 @@ def computable(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, max_steps:
 
     A formula needs all of its inputs. Each round calls the formulas that have just got their last one.
     """
-    formulas = nodes.where("type = 'formula'").select("id")
-    needs = edges.join(formulas.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
-    gives = edges.join(formulas.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst")
+    formulas = materialize(nodes.where("type = 'formula'").select("id"))
+    needs = materialize(edges.join(formulas.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    gives = materialize(edges.join(formulas.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst"))
     starts = edges.where("src = 'START'").join(formulas.withColumnRenamed("id", "dst"), "dst", "left_anti").select(F.col("dst").alias("id"))
     have = materialize(inputs.select("id").unionByName(starts).distinct())
     for _ in range(max_steps):
@@ -70,10 +70,12 @@ def shrunk(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, outputs: DataF
     Formulas that lack an input go, with all that only they could give, and so does what no output needs. An output that
     can't be had isn't in it.
     """
+    nodes, edges = materialize(nodes), materialize(edges)
     live = computable(nodes, edges, inputs)
     usable = edges.join(live.withColumnRenamed("id", "src"), "src", "left_semi").join(live.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    usable = materialize(usable)
     needed = reachable(usable, outputs.select("id").join(live, "id", "left_semi"), reverse=True, blockers=inputs)
-    return sub_graph(nodes, usable, needed.select("id"))
+    return sub_graph(nodes, usable, materialize(needed.select("id")))
 
 
 def prune_models(edges: DataFrame, inputs: DataFrame | None = None, outputs: DataFrame | None = None) -> DataFrame:
