@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import shared as S
 
 #: Steps that one repetition samples, and the longest window by which an item is looked up.
-SAMPLES, MAX_WINDOW = 4, 64
+SAMPLES, MAX_WINDOW = 4, 32
 _STARTS = 1 << 16
 _TABLE_BITS = 18
 
@@ -81,14 +81,15 @@ def _steps(window: int) -> int:
 def prepare(texts: list[str | None], similarity: float = 0.8, recall: float = 0.999, agree: float = 0.8, seed: int = 11) -> Passages:
     """Look-up tables of the items. ``recall`` is reached where sampled steps agree with the chance ``agree``.
 
-    An item is looked up by windows of the largest power of two of words that it has (64 at most), laid end to
-    end from its first word and once to its last, so a passage is found if any of them is.
+    An item is looked up by windows of the largest power of two of words that half of it has (32 at most), laid end to
+    end from its first word and once to its last, so a passage is found if any of them is. Windows of a long item's own size would hold all of its edits at once, and few would be found.
     """
     words = [w[:-1] for _, b, all_, first in _words(pa.array(texts, pa.string())) for w in np.split(all_, first[1:-1])] if texts else []
     anchors: dict[int, list[tuple[int, int]]] = {}
     for i, w in enumerate(words):
         if len(w):
-            window = min(MAX_WINDOW, 1 << (len(w).bit_length() - 1))
+            most = len(w) if len(w) < 5 else len(w) // 2  # shorter items may have no edit
+            window = min(MAX_WINDOW, 1 << (most.bit_length() - 1))
             offsets = {*range(0, len(w) - window + 1, window), len(w) - window}
             anchors.setdefault(window, []).extend((i, o) for o in sorted(offsets))
     rng, plans, keys = np.random.default_rng(seed), {}, {}
