@@ -166,3 +166,56 @@ def test_random_graphs(spark, seed):
     for got in g.compute(df).collect():
         want = shortest(formulas, dict(zip(columns, rows[got["id"]])))
         assert {x: got[x] for x in columns if got[x] is not None} == want
+
+
+def test_failures_are_recorded_or_raised(spark):
+    g = FormulaGraph()
+    g.formula(lambda a, b: a / b, ["a", "b"], "c", name="divide")
+    g.formula(lambda a: a, ["a"], "c", name="plain", weight=5)
+    g.formula("cast($1 as string)", ["c"], "d", name="text")
+    rows = spark.createDataFrame([(1.0, 0.0), (1.0, 2.0)], "a double, b double")
+    assert [r.c for r in g.compute(rows).collect()] == [1.0, 0.5]  # a division by zero takes the next path
+    got = g.compute(rows, raises="record").collect()
+    assert [r.errors for r in got] == [["divide"], []] and [r.c for r in got] == [1.0, 0.5]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|divide failed"):
+        g.compute(rows, raises="error").collect()
+    with pytest.raises(Exception, match="none failed"):
+        h = FormulaGraph()
+        h.formula(lambda a: F.when(a > 1, a), ["a"], "z", name="none")
+        h.compute(rows, raises="error").collect()
+    with pytest.raises(ValueError):
+        g.compute(rows, ["c", "nowhere"])
+    with pytest.raises(ValueError):
+        g.compute(rows, raises="now and then")
+
+
+def test_models_as_functions(spark):
+    f = fixture().function(["a", "b"], ["c", "d"], {"c": "double", "d": "double"})
+    got = spark.createDataFrame([(5.0, 6.0), (5.0, 3.0)], "a double, b double").select(f(F.col("a"), b=F.col("b")).alias("x")).collect()
+    assert [tuple(r.x) for r in got] == [(0.0, 0.0), (3.0, 1.0)]
+    for wrong in (lambda: f(F.lit(1), F.lit(2), F.lit(3)), lambda: f(F.lit(1)), lambda: f(F.lit(1), a=F.lit(2)), lambda: f(F.lit(1), z=F.lit(2))):
+        with pytest.raises(TypeError):
+            wrong()
+    with pytest.raises(ValueError):
+        FormulaGraph().function([], ["x"])()
+
+
+def test_filters_on_results_stay_above_the_layers(spark):
+    out = fixture().compute(spark.createDataFrame([(5.0, 6.0), (5.0, 3.0)], "a double, b double")).where("c > 1 and e > 0")
+    assert [(r.c, r.d, r.e) for r in out.collect()] == [(3.0, 1.0, 1.0)]
+
+
+def test_decorator_bulk_and_copies():
+    g = FormulaGraph()
+
+    @g.adds("b")
+    def twice(a):
+        return a * 2
+
+    other = g.copy()
+    assert g.add_all([{"name": "x"}], [{"build": "$1", "inputs": ["x"], "outputs": "y", "name": "f"}]) == ["x", "f"]
+    child = FormulaGraph("m")
+    child.formula(lambda u: u, ["u"], "v", name="id")
+    g.model(child, {"x": "u"}, {"v": "z"}, domain=lambda v: v["x"] > 0)
+    assert "twice" in other.formulas and "f" not in other.formulas and not other.guards and list(g.guards) == ["m"]
