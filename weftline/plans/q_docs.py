@@ -178,9 +178,20 @@ _ENTRIES = """SELECT o_orderkey AS id, o_custkey % 100 AS wallet, o_orderpriorit
   CASE WHEN o_orderkey % 10 <> 0 THEN CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + 30 * (o_orderkey % 10) AS BIGINT) END AS expired_at FROM orders"""
 
 
-@query()
+_OPEN = "CASE WHEN y.e >= valid_from AND y.v > 0 THEN y.v ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT *, coalesce(expired_at, 4611686018427387904) AS e, row_number() OVER (PARTITION BY wallet, product ORDER BY valid_from, id) AS k
+  FROM ({_ENTRIES}) WHERE valid_from <= 1500 AND credits <> 0),
+f AS (SELECT wallet, product, 0::BIGINT AS k, []::STRUCT(e BIGINT, v BIGINT)[] AS b FROM x GROUP BY ALL
+  UNION ALL SELECT wallet, product, k, CASE WHEN credits > 0 THEN list_sort(list_append(b, {{'e': e, 'v': credits}})) ELSE
+      list_append(list_transform(b, lambda y, i: {{'e': y.e, 'v': y.v - greatest(0, least({_OPEN}, -credits - coalesce(list_sum(list_transform(b[1:i - 1], lambda y: {_OPEN})), 0)::BIGINT))}}),
+                  {{'e': 4611686018427387904, 'v': -greatest(0, -credits - coalesce(list_sum(list_transform(b, lambda y: {_OPEN})), 0)::BIGINT)}}) END
+    FROM (SELECT x.*, f.b FROM f JOIN x ON x.wallet = f.wallet AND x.product = f.product AND x.k = f.k + 1))
+SELECT wallet, product, CAST(coalesce(list_sum(list_transform(b, lambda y: CASE WHEN y.e >= 1500 THEN y.v ELSE 0 END)), 0) AS BIGINT) AS balance
+FROM (SELECT *, max(k) OVER (PARTITION BY wallet, product) AS last FROM f) WHERE k = last""")
 def ledger_balance_asof(spark: SparkSession, sf: str) -> DataFrame:
-    """Balances on day 1500; an ordered fold that SQL doesn't express (tested against a plain loop)."""
+    """Balances on day 1500: an ordered fold over each product's credits and debits of a wallet."""
     return ledger.balance(_entries(spark, sf), 1500)
 
 
