@@ -280,8 +280,8 @@ def _lenient(spark: SparkSession, on: bool):
         spark.conf.set(name, old)
 
 
-#: Groups of columns, besides the given ones, up to which filters on results may be moved below the graph.
-_OPEN_GROUPS = 3
+#: Formulas up to which filters on the results of a graph without cycles may be moved below it.
+_OPEN_FORMULAS = 3
 
 
 def _layered(df: DataFrame, steps) -> tuple[DataFrame, object]:
@@ -394,7 +394,8 @@ def _selected(graph: FormulaGraph, wide: DataFrame, df: DataFrame, at: dict[str,
     if raises == "record":
         failed = [F.when(c["a"].isNotNull() & _all([v.isNull() for v in c["v"].values()]), F.lit(f)) for f, c in sorted(calls.items())]
         columns["errors"] = F.array_compact(F.array(*failed)) if failed else F.expr("cast(array() as array<string>)")
-    if len(_groups(graph)) > _OPEN_GROUPS + len(set(df.columns)):
+    cyclic = any(len(g) > 1 or any(g[0] in f.inputs and g[0] in f.outputs for f in graph.formulas.values()) for g in _groups(graph))
+    if cyclic or len(graph.formulas) > _OPEN_FORMULAS:
         # Catalyst would move filters on results below the layers and infer constraints through them, and write out each
         # formula again for each use. A condition that always holds stops it; filter given columns before ``compute``.
         columns = {x: F.when(F.rand(0) + 1 > 0, c) for x, c in columns.items()}
