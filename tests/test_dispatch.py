@@ -191,14 +191,19 @@ def test_failures_are_recorded_or_raised(spark):
 
 
 def test_models_as_functions(spark):
-    f = fixture().function(["a", "b"], ["c", "d"], {"c": "double", "d": "double"})
+    g = FormulaGraph()
+    g.formula(lambda a, b: F.ln(b - a), ["a", "b"], "c", name="log", domain=lambda a, b: a < b)
+    g.formula(lambda a: a - 4, ["a"], "c", name="far", weight=20)
+    f = g.function(["a", "b"], ["c"], {"c": "double"}, "value")
     got = spark.createDataFrame([(5.0, 6.0), (5.0, 3.0)], "a double, b double").select(f(F.col("a"), b=F.col("b")).alias("x")).collect()
-    assert [tuple(r.x) for r in got] == [(0.0, 0.0), (3.0, 1.0)]
+    assert [r.x for r in got] == [0.0, 1.0]
     for wrong in (lambda: f(F.lit(1), F.lit(2), F.lit(3)), lambda: f(F.lit(1)), lambda: f(F.lit(1), a=F.lit(2)), lambda: f(F.lit(1), z=F.lit(2))):
         with pytest.raises(TypeError):
             wrong()
     with pytest.raises(ValueError):
         FormulaGraph().function([], ["x"])()
+    with pytest.raises(ValueError):
+        fixture().function(["a", "b"], ["c"])(F.lit(1), F.lit(2))
 
 
 def test_filters_on_results_stay_above_the_layers(spark):

@@ -302,17 +302,24 @@ def _layered(df: DataFrame, steps) -> tuple[DataFrame, object]:
             send[k].label = name
 
 
+#: Layers of a graph that is one Column.
+_MOST_NESTED = 12
+
+
 def as_column(graph: FormulaGraph, given: dict[str, Column], outputs: Iterable[str], distances: dict[str, float] | None = None,
               kinds: dict[str, str] | None = None) -> Column:
     """The graph as one Column, a struct of the ``outputs`` (NULL where they can't be had), for use in lambdas and aggregates.
 
-    Layers are bound by lambdas, which Spark interprets; ``compute`` is faster where rows are columns of a table.
+    Layers are bound by lambdas, which Spark interprets; ``compute`` is faster where rows are columns of a table. The time that
+    Spark takes to analyse nested lambdas doubles with each, so a graph of more than ``_MOST_NESTED`` layers, as nearly
+    all with cycles have, is a ``ValueError``.
     """
-    outputs = tuple(outputs)
+    outputs, depth = tuple(outputs), 0
     graph = needed(graph, outputs, set())
     steps = _steps(graph, {x: c for x, c in given.items() if x in graph.data_nodes}, distances or {}, "null", named=False)
 
     def drive(send) -> Column:
+        nonlocal depth
         try:
             layer = steps.send(send)
         except StopIteration as end:
@@ -323,6 +330,9 @@ def as_column(graph: FormulaGraph, given: dict[str, Column], outputs: Iterable[s
             return F.struct(*[(c.cast(kinds[x]) if kinds else c).alias(x) for x, c in found.items()])
         if not layer:
             return drive({})
+        depth += 1
+        if depth > _MOST_NESTED:
+            raise ValueError(f"more than {_MOST_NESTED} layers in one Column; use compute")
         names = {k: f"n{i}" for i, k in enumerate(layer)}
         return F.transform(F.array(F.struct(*[layer[k].alias(n) for k, n in names.items()])), lambda s: drive({k: s[n] for k, n in names.items()}))[0]
 
