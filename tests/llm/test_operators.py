@@ -37,7 +37,7 @@ def empty(spark):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "conversations"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 

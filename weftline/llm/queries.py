@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, licences, line_join, mixing, quality, rules, sharding, simhash
+from . import decontaminate, fill_middle, html_text, language, licences, line_join, mixing, prefix_trie, quality, rules, sharding, simhash, warc_zip
 from . import shared as S
 
 
@@ -76,6 +77,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", S.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of ZIP-packaged archives, written and read back by ranges."""
+    made = warc_zip.write_packages(_table(spark, sf_dir, "pages"), f"{S.shared_dir(spark)}/{uuid.uuid4().hex}")
+    return warc_zip.page_records(spark, made)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in the middle, and rebuilt from what came out."""
+    made = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each begun by turns of the first of its twenty."""
+    turns = prefix_trie.turn_table(_table(spark, sf_dir, "conversations"))
+    heads = F.crc32(F.col("id").cast("string").cast("binary")) % 4
+    return prefix_trie.trie(*prefix_trie.with_shared_heads(turns, F.col("id") - F.col("id") % 20, heads, 3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kdtree": op1_kdtree,
     "op2_quality": op2_quality,
@@ -87,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": op8_licences,
     "op9_html": op9_html,
     "op10_language": op10_language,
+    "op11_warc": op11_warc,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_trie": op13_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,5 +164,41 @@ m AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT depleted AS kept FROM m
+""",
+    "op11_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS least FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_digest,
+  CASE WHEN least IS DISTINCT FROM page_id AND least IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN least IS DISTINCT FROM page_id THEN least END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h
+""",
+    "op12_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS k, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2,
+        CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, t, k, len(k) AS n, least(h1 % (len(k) + 1), h2 % (len(k) + 1)) AS a, greatest(h1 % (len(k) + 1), h2 % (len(k) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (SELECT doc_id, t, n, form, array_to_string(k[1:a], '') AS p, array_to_string(k[a + 1:b], '') AS m, array_to_string(k[b + 1:n], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM s
+""",
+    "op13_trie": r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p,
+        {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS v FROM conversations WHERE conv_id IS NOT NULL),
+poly AS (SELECT list_transform(range(0, 256), lambda n: list_reduce([n] || range(0, 8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS q),
+ids AS (SELECT DISTINCT c FROM t),
+h AS (SELECT c, xor(list_reduce([4294967295] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda y: CAST(ascii(y) AS BIGINT)),
+        lambda a, b: xor(q[xor(a % 256, b) + 1], a // 256)), 4294967295) % 4 AS h FROM ids, poly),
+r AS (SELECT h.c, p, v FROM h JOIN t ON t.c = h.c - h.c % 20 AND p <= h UNION ALL SELECT h.c, p, v FROM h JOIN t ON t.c = h.c AND p > h),
+s AS (SELECT ids.c, coalesce(list(v ORDER BY p) FILTER (WHERE p IS NOT NULL), []) AS s FROM ids LEFT JOIN r ON r.c = ids.c GROUP BY ids.c),
+w AS (SELECT c, len(s) AS l, d, s[1:d] AS f, CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w FROM s, unnest(range(0, len(s) + 1)) AS u(d)),
+n AS (SELECT f, d, min(c) AS m, count(*) AS n, (count(*) - 1) * max(w) AS saved, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE l = d), '') AS e FROM w GROUP BY f, d),
+k AS (SELECT f[1:d - 1] AS f, count(*) AS k FROM n WHERE d > 0 GROUP BY 1),
+a AS (SELECT n.*, coalesce(k, 0) AS k, b.m AS parent FROM n LEFT JOIN k ON k.f = n.f LEFT JOIN n b ON b.f = n.f[1:n.d - 1] AND n.d > 0),
+up AS (SELECT f[1:i] AS f, sum(saved) AS saved, count(*) FILTER (WHERE k = 0) AS leaves FROM a, unnest(range(0, d + 1)) AS u(i) GROUP BY 1)
+SELECT m AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, CAST(n AS BIGINT) AS n_convs, CAST(k AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(up.saved AS BIGINT) AS saved_tokens, sha256(e) AS ends_sha256 FROM a JOIN up ON up.f = a.f
 """,
 }
