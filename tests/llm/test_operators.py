@@ -44,10 +44,10 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, duck, name):
-    got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df()
+    got, want = queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLE_SQL[name])
     columns = sorted(want.columns)
-    rows = lambda d: sorted(d[columns].astype(str).itertuples(index=False, name=None))
-    assert columns == sorted(got.columns) and rows(got) == rows(want)
+    assert columns == sorted(got.columns)
+    assert sorted(map(str, map(tuple, got.select(columns).collect()))) == sorted(map(str, want.select(", ".join(columns)).fetchall()))
 
 
 def _median_shards(rows, shards, dims):
