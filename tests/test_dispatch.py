@@ -202,8 +202,22 @@ def test_models_as_functions(spark):
             wrong()
     with pytest.raises(ValueError):
         FormulaGraph().function([], ["x"])()
-    with pytest.raises(ValueError):
-        fixture().function(["a", "b"], ["c"])(F.lit(1), F.lit(2))
+
+
+def test_any_graph_as_a_function(spark):
+    """The fixture with its cycle, domains and long way, and a chain of 60 formulas."""
+    rows = spark.createDataFrame([(5.0, 6.0), (5.0, 3.0), (None, 2.0), (-1.0, 0.0)], "a double, b double")
+    names = ["c", "d", "e"]
+    f = fixture().function(["a", "b"], names, dict.fromkeys(names, "double"))
+    want = fixture().compute(rows, cutoff=False).select(*names)
+    assert rows.select(f(F.col("a"), F.col("b")).alias("s")).select("s.*").collect() == want.collect()
+    g = FormulaGraph()
+    for i in range(60):
+        g.formula(lambda x: x + 1, [f"x{i}"], f"x{i + 1}", name=f"f{i}")
+    assert rows.select(g.function(["x0"], "x60", {"x60": "double"}, "value")(F.col("b")).alias("x")).collect()[0].x == 66.0
+    child = FormulaGraph("child")
+    child.formula(lambda a, b: f(a, b)["d"], ["a", "b"], "m", name="a graph as a formula")
+    assert [r.m for r in child.compute(rows).collect()] == [r.d for r in want.collect()]
 
 
 def test_filters_on_results_stay_above_the_layers(spark):

@@ -74,20 +74,26 @@ def test_fold_rows(spark):
     assert sorted(map(tuple, out.collect())) == [("k", 1, 2.0), ("k", 2, 4.0), ("k", 3, 7.0), ("l", 1, 5.0)]
 
 
-def test_fold_of_a_graph_in_chunks(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_fold_of_a_graph_in_chunks(spark, monkeypatch, small):
     """A hot key in many chunks, nulls, a domain, a carried result that is missing."""
+    from weftline.operators import fold
     from weftline.operators.fold import fold_model
+
+    if small:
+        monkeypatch.setattr(fold, "CHUNK_ROWS", 4)
+        monkeypatch.setattr(fold, "BLOCK_ROWS", 3)
     from weftline.plans.graph import FormulaGraph
 
     g = FormulaGraph()
     g.data("b", default=100)
     g.formula(lambda a, b: a + b, ["a", "b"], "c", name="add", domain=lambda a, b: a != 3)
-    rows = [("hot", t, t % 5 if t % 7 else None, 1 if t == 40 else None) for t in range(50)] + [("one", 0, 3, None), ("two", 1, 2, 9)]
+    rows = [("hot", t, t % 5 if t % 7 else None, 1 if t == 40 else None) for t in range(50)] + [("one", 0, 3, None), ("two", 1, 2, 9)] + [(None, t, 1, None) for t in range(9)]
     df = spark.createDataFrame(rows, "k string, t int, a int, b int")
     want, last = {}, {}
-    for k, t, a, b in sorted(rows, key=lambda r: (r[0], r[1])):
+    for k, t, a, b in sorted(rows, key=lambda r: (str(r[0]), r[1])):
         b = b if b is not None else last.get(k) if last.get(k) is not None else 100
         last[k] = a + b if a is not None and a != 3 else None
         want[k, t] = last[k]
-    got = fold_model(df, g, {"c": "b"}, ["k"], ["t"], {"c": "int"}, chunk=4)
+    got = fold_model(df, g, {"c": "b"}, ["k"], ["t"], {"c": "int"})
     assert {(r.k, r.t): r.c for r in got.collect()} == want

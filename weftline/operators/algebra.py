@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.sources.tables import materialize
 
+from .ranges import scan
+
 
 def sub_graph(nodes: DataFrame, edges: DataFrame, keep: DataFrame, drop_edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The part of a graph on the ``keep`` ids: formulas that lost an input or all outputs go, and lone columns."""
@@ -83,7 +85,7 @@ def prune_models(edges: DataFrame, inputs: DataFrame | None = None, outputs: Dat
 
     A way in is kept if its target is read within the model or asked for, a way out if its source is estimated or given.
     """
-    end = lambda df, name: F.broadcast(df.select(F.col("id").alias(name))) if df is not None else None
+    end = lambda df, name: df.select(F.col("id").alias(name)) if df is not None else None
     link = F.col("dst").rlike(r"[<>][^<>]*$") & (F.col("dst") != "START")
     ways_in = edges.where(F.col("src").rlike(r"^.+<[^<>]+$")).select(F.col("src").alias("link"), F.col("dst").alias("column"))
     ways_out = edges.where(link & F.col("dst").rlike(r"^.+>[^<>]+$")).select(F.col("dst").alias("link"), F.col("src").alias("column"))
@@ -134,9 +136,9 @@ def durations(timings: DataFrame, path: str = "path", seconds: str = "seconds")
 
 def numbered(names: DataFrame, name: str = "name", order: str = "id") -> DataFrame:
     """Names made unique: the first stays, the others get ``<0>``, ``<1>``, ..."""
-    w = Window.partitionBy(name).orderBy(order)
-    place = F.row_number().over(w)
-    return names.withColumn("unique_name", F.when(place == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("<"), (place - 2).cast("string"), F.lit(">"))))
+    place = F.col("__place")
+    numbers = scan(names, [name], [order], {"__place": F.lit(1)})
+    return numbers.withColumn("unique_name", F.when(place == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("<"), (place - 2).cast("string"), F.lit(">")))).drop("__place")
 
 
 def summary(text: Column) -> Column:

@@ -7,51 +7,44 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fold import fold_rows
+from .fold import ordered_fold
+from .ranges import scan
 
 #: The bucket of credits that never expire.
 NEVER = 1 << 62
 
 
-def _start() -> dict:
-    return {}
-
+def _after(state: Column, credits: Column, expires: Column, at: Column, day: Column) -> Column:
+    """The open buckets ``{b: [{e: expiry, v: credits}], over}`` behind an entry: credits fill the bucket of their expiry, debits
+    empty the earliest ones that haven't expired. What no bucket covers is ``over``; buckets that nothing will use go.
+    """
+    bucket = lambda e, v: F.struct(e.alias("e"), v.alias("v"))
+    open_ = F.filter(state["b"], lambda x: (x["e"] >= F.least(at, day)) & (x["v"] > 0))
+    filled = F.when(F.exists(open_, lambda x: x["e"] == expires), F.transform(open_, lambda x: F.when(x["e"] == expires, bucket(x["e"], x["v"] + credits)).otherwise(x)))
+    filled = filled.otherwise(F.array_sort(F.array_append(open_, bucket(expires, credits))))
 
-def _drain(buckets: dict, row: tuple) -> tuple[dict, tuple]:
-    """One entry: credits fill the bucket of their expiry, debits empty the earliest ones that haven't expired.
+    def use(left: Column, x: Column) -> Column:
+        taken = F.when(x["e"] >= at, F.least(left["n"], x["v"])).otherwise(F.lit(0).cast("long"))
+        return F.struct((left["n"] - taken).alias("n"), F.array_append(left["b"], bucket(x["e"], x["v"] - taken)).alias("b"))
 
-    What no bucket covers becomes a negative bucket without expiry.
-    """
-    credits, expires, at, day = row
-    expires = NEVER if expires is None or expires != expires else int(expires)
-    if credits >= 0:
-        buckets[expires] = buckets.get(expires, 0) + credits
-    else:
-        left = -credits
-        for key in sorted(k for k, v in buckets.items() if k >= at and v > 0):
-            used = min(left, buckets[key])
-            buckets[key] -= used
-            left -= used
-            if not left:
-                break
-        if left:
-            buckets[NEVER] = buckets.get(NEVER, 0) - left
-    for key in [k for k in buckets if k < min(at, day)]:
-        del buckets[key]
-    return buckets, (sum(v for k, v in buckets.items() if k >= day),)
+    start = F.struct((-credits).alias("n"), F.expr("cast(array() as array<struct<e: bigint, v: bigint>>)").alias("b"))
+    drained = F.transform(F.array(F.aggregate(open_, start, use)), lambda s: F.struct(s["b"].alias("b"), (state["over"] + s["n"]).alias("over")))[0]
+    return F.when(credits >= 0, F.struct(filled.alias("b"), state["over"].alias("over"))).otherwise(drained)
 
 
 def balance(entries: DataFrame, day: int, keys: tuple[str, ...] = ("wallet", "product"), at: str = "valid_from", expires: str = "expired_at", credits: str = "credits", tie: str = "id") -> DataFrame:
     """The balance of each key on a day: entries valid by then, in their order, first to expire first used.
 
-    ``valid_from`` and ``expired_at`` are day numbers. A key's entries stream through one task in order; it holds
-    the open buckets alone.
+    ``valid_from`` and ``expired_at`` are day numbers. An ordered fold within the JVM (see ``fold.ordered_fold``) whose state is
+    the open buckets, one for each expiry; debits that no bucket covers are an overdraft that later credits don't lift.
     """
-    live = entries.where((F.col(at) <= day) & (F.col(credits) != 0)).withColumns({"__at": F.col(at), "__day": F.lit(day)})
-    kinds = {f.name: f.dataType.simpleString() for f in entries.schema}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{at} {kinds[at]}", f"{tie} {kinds[tie]}", "balance long"])
-    rows = fold_rows(live, list(keys), [at, tie], _start, _drain, [credits, expires, "__at", "__day"], schema)
-    return rows.groupBy(*keys).agg(F.max(F.struct(at, tie, "balance")).alias("last")).select(*keys, F.col("last.balance").alias("balance"))
+    live = entries.where((F.col(at) <= day) & (F.col(credits) != 0))
+    live = live.select(*keys, F.col(at).cast("long").alias("__at"), F.col(tie).alias("__tie"), F.col(credits).cast("long").alias("__credits"), F.coalesce(F.col(expires).cast("long"), F.lit(NEVER)).alias("__expires"))
+    zero = F.expr("named_struct('b', cast(array() as array<struct<e: bigint, v: bigint>>), 'over', 0L)")
+    step = lambda state, row: _after(state, row["__credits"], row["__expires"], row["__at"], F.lit(day).cast("long"))
+    done = ordered_fold(live, list(keys), ["__at", "__tie"], ["__credits", "__expires"], zero, step)
+    left = F.aggregate(F.filter("state.b", lambda x: x["e"] >= day), F.lit(0).cast("long"), lambda n, x: n + x["v"])
+    return done.select(*keys, (left - F.col("state.over")).alias("balance"))
 
 
 def may_use(balances: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
@@ -129,9 +122,9 @@ def discounted(lines: DataFrame, discounts: DataFrame, product: str = "product",
     rules = discounts.groupBy(product).agg(F.coalesce(F.sum("flat"), F.lit(0)).alias("flat"), F.coalesce(F.product(1 - F.coalesce("percent", F.lit(0)) / 100), F.lit(1.0)).alias("factor"))
     rows = lines.join(rules, product, "left").withColumns({"flat": F.coalesce("flat", F.lit(0)), "factor": F.coalesce("factor", F.lit(1.0))})
     rows = rows.withColumn("__net", F.col(amount) * F.col("factor"))
-    before = Window.partitionBy(product).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.greatest(F.col("flat") - F.coalesce(F.sum("__net").over(before), F.lit(0.0)), F.lit(0.0))
-    return rows.withColumn("net", F.ceil(F.round(F.greatest(F.col("__net") - left, F.lit(0.0)), 6)).cast("long")).drop("__net", "flat", "factor")
+    rows = scan(rows, [product], [order], {"__upto": F.col("__net")})
+    left = F.greatest(F.col("flat") - (F.col("__upto") - F.coalesce("__net", F.lit(0.0))), F.lit(0.0))
+    return rows.withColumn("net", F.ceil(F.round(F.greatest(F.col("__net") - left, F.lit(0.0)), 6)).cast("long")).drop("__net", "__upto", "flat", "factor")
 
 
 def priced(lines: DataFrame, prices: DataFrame, key: str = "lookup_key") -> DataFrame:

@@ -6,14 +6,14 @@ Columns on a cycle are settled in rounds, nearest first, so a formula never sees
 replace. What is computed in one step is a layer: a projection of its own. Formulas are guarded by CASE, so a row
 where one fails takes the next path within the same projection.
 
-The steps don't know what a layer is: ``compute`` makes projections of them, ``as_column`` nested lambdas, so that a
+The steps don't know what a layer is: ``compute`` makes projections of them, ``as_column`` a chain of structs, so that a
 graph can also be one Column, as in an ordered fold.
 """
 
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 from functools import reduce
 
@@ -103,15 +103,64 @@ def _first(cases: list[tuple[Column, Column]], otherwise: Column | None = None)
     return otherwise if out is None else out if otherwise is None else out.otherwise(otherwise)
 
 
+class _Scope:
+    """How the layers' columns are read at the moment: as columns of a table, or as fields of the row of a lambda."""
+
+    def __init__(self, read: Callable[[str], Column]):
+        self.read, self.many = read, 0
+
+
+class _Layer:
+    """A layer's columns by key. Each use reads a column anew, as the scope has it by then."""
+
+    def __init__(self, keys: Iterable[str], scope: _Scope):
+        self.scope, self.names = scope, {k: f"__n{scope.many + i}" for i, k in enumerate(keys)}
+        scope.many += len(self.names)
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.names
+
+    def __getitem__(self, key: str) -> Column:
+        return self.scope.read(self.names[key])
+
+
 class _State:
-    """What is known of a data column at some step: ``d`` (NULL: not had), ``f``, ``v``; all None: in no row."""
+    """What is known of a data column at some step: ``d`` (NULL: not had), ``f``, ``v``."""
+
+    def __init__(self, layer: _Layer, x: str, formula: str | None = None):
+        self.layer, self.x, self.formula = layer, x, formula
 
-    def __init__(self, d: Column, f: Column, v: Column, name: str | None = None):
-        self.d, self.f, self.v, self.name = d, f, v, name
+    def __getattr__(self, part: str) -> Column:
+        if part not in "dfv":
+            raise AttributeError(part)
+        return F.lit(self.formula) if part == "f" and self.formula else self.layer[f"{self.x}|{part}"]
 
+    @property
+    def label(self) -> str:
+        return self.layer.names[f"{self.x}|v"]
 
-def _calls(graph: FormulaGraph, names: list[str], at: dict[str, _State], before: dict[str, dict], raises: str, named: bool):
-    """Layers that call formulas: of each ``{"a": its distance or NULL, "v": values}`` for those that some row can call.
+
+class _Call:
+    """A formula's call at some step: ``a``, its distance or NULL; ``ready``: all inputs were had; ``v``: results by place."""
+
+    def __init__(self, first: _Layer, second: _Layer, formula: Formula):
+        self.first, self.second, self.formula = first, second, formula
+
+    @property
+    def a(self) -> Column:
+        return self.first[f"{self.formula.name}|a"]
+
+    @property
+    def ready(self) -> Column:
+        return self.first[f"{self.formula.name}|r"]
+
+    @property
+    def v(self) -> dict[int, Column]:
+        return {i: self.second[k] for i in range(len(self.formula.outputs)) if (k := f"{self.formula.name}|v{i}") in self.second}
+
+
+def _calls(graph: FormulaGraph, names: list[str], at: dict[str, _State], before: dict[str, _Call], raises: str, named: bool):
+    """Layers that call formulas, those that some row can call.
 
     ``before`` has the results of an earlier round, which hold in the rows where all inputs were settled then.
     """
@@ -121,7 +170,7 @@ def _calls(graph: FormulaGraph, names: list[str], at: dict[str, _State], before:
             continue
         inputs = [at[x] for x in f.inputs]
         ready = _all([s.d.isNotNull() for s in inputs])
-        values, labels = [s.v for s in inputs], [s.name for s in inputs] if named else None
+        values, labels = [s.v for s in inputs], [s.label for s in inputs] if named else None
         for model, (domain, offered) in graph.guards.items():
             if f.name.startswith(f"{model}<"):
                 ready = ready & F.coalesce(domain({n: F.when(at[n].d.isNotNull(), at[n].v) if n in at else F.lit(None) for n in offered}), F.lit(False))
@@ -135,12 +184,12 @@ def _calls(graph: FormulaGraph, names: list[str], at: dict[str, _State], before:
         elif lengths:
             last = last + next(iter(lengths.values()))
         old = before.get(f.name)
-        first[f"{f.name}|a"] = _first([*([(old["ready"], old["a"])] if old else []), (ready, last)])
+        first[f"{f.name}|a"] = _first([*([(old.ready, old.a)] if old else []), (ready, last)])
         first[f"{f.name}|r"] = _all([s.d.isNotNull() for s in inputs])
-        open_.append((f, values, labels, old))
+        open_.append((f, inputs, labels, old))
     got = yield first
-    for f, values, labels, old in open_:
-        built = _built(f.build, values, labels)
+    for f, inputs, labels, old in open_:
+        built = _built(f.build, [s.v for s in inputs], labels)
         built = built if isinstance(built, tuple) else (built,)
         for g in f.filters:
             built = tuple(map(g, built))
@@ -148,22 +197,19 @@ def _calls(graph: FormulaGraph, names: list[str], at: dict[str, _State], before:
             built = (F.coalesce(built[0], *(F.when(b.isNotNull(), F.lit(None)) for b in built[1:]), F.when(_all([b.isNull() for b in built]), F.raise_error(F.lit(f"formula {f.name} failed")))), *built[1:])
         for i, (x, v) in enumerate(zip(f.outputs, built)):
             if x in graph.data_nodes or raises == "record":
-                second[f"{f.name}|v{i}"] = _first([*([(old["ready"], old["v"][i])] if old and i in old["v"] else []), (got[f"{f.name}|a"].isNotNull(), v)])
+                second[f"{f.name}|v{i}"] = _first([*([(old.ready, old.v[i])] if old and i in old.v else []), (got[f"{f.name}|a"].isNotNull(), v)])
     values = yield second
-    out = {}
-    for f, *_ in open_:
-        out[f.name] = {"a": got[f"{f.name}|a"], "ready": got[f"{f.name}|r"], "v": {i: values[f"{f.name}|v{i}"] for i in range(len(f.outputs)) if f"{f.name}|v{i}" in values}}
-    return out
+    return {f.name: _Call(got, values, f) for f, *_ in open_}
 
 
-def _offers(graph: FormulaGraph, node: Data, made: dict[str, dict], start: _State | None) -> list[tuple]:
+def _offers(graph: FormulaGraph, node: Data, made: dict[str, _Call], start: _State | None) -> list[tuple]:
     """``(formula, distance or NULL, value)`` of a column's estimations, by name."""
     out = []
     for name in sorted(made):
         f = graph.formulas[name]
         for i, x in enumerate(f.outputs):
             if x == node.name:
-                v, at = made[name]["v"][i], made[name]["a"]
+                v, at = made[name].v[i], made[name].a
                 d = at + float(f.output_length(node))
                 counts = v.isNotNull() & at.isNotNull()
                 if start is not None and node.merge is None:  # it counts if it was there before the given value, or leads here no later
@@ -172,12 +218,15 @@ def _offers(graph: FormulaGraph, node: Data, made: dict[str, dict], start: _Stat
     return out
 
 
-def _choices(graph: FormulaGraph, nodes: list[Data], made: dict[str, dict], starts: dict[str, _State]):
+def _choices(graph: FormulaGraph, nodes: list[Data], made: dict[str, _Call], starts: dict[str, _State]):
     """Layers that choose among each column's estimations and its given value."""
-    offers = {n.name: _offers(graph, n, {f: r for f, r in made.items() if n.name in graph.formulas[f].outputs}, starts.get(n.name)) for n in nodes}
+    def offered() -> dict[str, list[tuple]]:
+        return {n.name: _offers(graph, n, {f: r for f, r in made.items() if n.name in graph.formulas[f].outputs}, starts.get(n.name)) for n in nodes}
+
+    offers = offered()
     plain = [n for n in nodes if n.merge is None and offers[n.name]]
     best = yield {f"{n.name}|b": _least([d for _, d, _ in offers[n.name]]) for n in plain}
-    chosen = {}
+    offers, chosen = offered(), {}
     for n in nodes:
         start, some = starts.get(n.name), offers[n.name]
         if n.merge is not None:
@@ -204,13 +253,13 @@ def _choices(graph: FormulaGraph, nodes: list[Data], made: dict[str, dict], star
                 v = g(v)
             chosen[n.name] = (F.when(d.isNotNull() & v.isNotNull(), d), f, v)
     got = yield {f"{x}|{k}": c for x, parts in chosen.items() for k, c in zip("dfv", parts)}
-    return {x: _State(got[f"{x}|d"], got[f"{x}|f"], got[f"{x}|v"], getattr(got[f"{x}|v"], "label", None)) for x in chosen}
+    return {x: _State(got, x) for x in chosen}
 
 
 def _settled(graph: FormulaGraph, starts: dict[str, _State], raises: str, named: bool):
     """All layers of a graph; returns the state of each data column and the calls of each formula."""
     at: dict[str, _State] = {}
-    results: dict[str, dict] = {}
+    results: dict[str, _Call] = {}
     for group in _groups(graph):
         inner = sorted(f for f, x in graph.formulas.items() if set(x.outputs) & set(group))
         nodes = [graph.data_nodes[x] for x in group]
@@ -230,14 +279,15 @@ def _settled(graph: FormulaGraph, starts: dict[str, _State], raises: str, named:
             waiting = [F.when(state[x].d.isNull(), c.d) if x in state else c.d for x, c in chosen.items()]
             # A lambda ends the generated method here: all rounds in one would be too large for the JVM to compile.
             near = F.transform(F.array(_least(waiting)), lambda d: d)[0] if waiting else None
-            near = (yield {f"{group[0]}|near": near} if waiting else {}).get(f"{group[0]}|near")
+            nearest = yield {f"{group[0]}|near": near} if waiting else {}
+            near = nearest[f"{group[0]}|near"] if waiting else None
             step = {}
             for x, c in chosen.items():
                 was = state.get(x)
                 for k in "dfv":
                     step[f"{x}|{k}"] = _first([*([(was.d.isNotNull(), getattr(was, k))] if was else []), (c.d == near, getattr(c, k))])
             got = yield step
-            state = {x: _State(got[f"{x}|d"], got[f"{x}|f"], got[f"{x}|v"], getattr(got[f"{x}|v"], "label", None)) for x in chosen}
+            state = {x: _State(got, x) for x in chosen}
         at |= state
     return at, results
 
@@ -264,12 +314,12 @@ def _steps(graph: FormulaGraph, given: dict[str, Column], distances: dict[str, f
     """The layers of given values and all that follows from them."""
     made = _starts(graph, given, distances)
     got = yield {f"{x}|{k}": c for x, (d, v) in made.items() for k, c in (("d", d), ("v", v))}
-    starts = {x: _State(got[f"{x}|d"], F.lit(START), got[f"{x}|v"], getattr(got[f"{x}|v"], "label", None)) for x in made}
+    starts = {x: _State(got, x, START) for x in made}
     return (yield from _settled(graph, starts, raises, named))
 
 
 @contextlib.contextmanager
-def _lenient(spark: SparkSession, on: bool):
+def lenient(spark: SparkSession, on: bool = True):
     """Expressions that are built within give NULL where they fail; they keep that when they run."""
     name, old = "spark.sql.ansi.enabled", spark.conf.get("spark.sql.ansi.enabled")
     if on:
@@ -286,57 +336,83 @@ _OPEN_FORMULAS = 3
 
 def _layered(df: DataFrame, steps) -> tuple[DataFrame, object]:
     """Each layer as a projection of ``df``; columns that nothing needs any more are pruned by Catalyst."""
-    n, send = 0, None
+    scope, send = _Scope(F.col), None
     while True:
         try:
             layer = steps.send(send)
         except StopIteration as end:
             return df, end.value
-        names = {k: f"__n{n + i}" for i, k in enumerate(layer)}
-        n += len(layer)
+        send = _Layer(layer, scope)
         if layer:
-            df = df.select("*", *[c.alias(names[k]) for k, c in layer.items()])
-        send = {}
-        for k, name in names.items():
-            send[k] = F.col(name)
-            send[k].label = name
+            df = df.select("*", *[c.alias(send.names[k]) for k, c in layer.items()])
 
 
-#: Layers of a graph that is one Column.
-_MOST_NESTED = 12
+def _last_uses(steps, outputs: tuple[str, ...]) -> dict[str, float]:
+    """The last layer (from 0; those without columns don't count) that reads each column; for what outputs are read from, infinity."""
+    uses: dict[str, float] = {}
+    n, send = 0, None
+
+    def read(name: str) -> Column:
+        uses[name] = n
+        return F.col(name)
+
+    scope = _Scope(read)
+    while True:
+        try:
+            layer = steps.send(send)
+        except StopIteration as end:
+            at = end.value[0]
+            return uses | {at[x].layer.names[f"{x}|{part}"]: float("inf") for x in outputs if x in at for part in "dv"}
+        send, n = _Layer(layer, scope), n + bool(layer)
 
 
 def as_column(graph: FormulaGraph, given: dict[str, Column], outputs: Iterable[str], distances: dict[str, float] | None = None,
               kinds: dict[str, str] | None = None) -> Column:
     """The graph as one Column, a struct of the ``outputs`` (NULL where they can't be had), for use in lambdas and aggregates.
 
-    Layers are bound by lambdas, which Spark interprets; ``compute`` is faster where rows are columns of a table. The time that
-    Spark takes to analyse nested lambdas doubles with each, so a graph of more than ``_MOST_NESTED`` layers, as nearly
-    all with cycles have, is a ``ValueError``.
+    Layers are a chain: each is a ``transform`` of an array of one struct, the columns of the layers before that are still
+    read. No lambda holds another's, so a graph may have any number of layers. Spark's analyzer resolves a chain link by link;
+    for long ones its limit of iterations is raised in the session. Spark interprets lambdas, so ``compute`` is faster
+    where rows are columns of a table.
     """
-    outputs, depth = tuple(outputs), 0
+    outputs = tuple(outputs)
     graph = needed(graph, outputs, set())
-    steps = _steps(graph, {x: c for x, c in given.items() if x in graph.data_nodes}, distances or {}, "null", named=False)
+    begin = lambda: _steps(graph, {x: c for x, c in given.items() if x in graph.data_nodes}, distances or {}, "null", named=False)
+    steps, uses = begin(), _last_uses(begin(), outputs)
+    scope, chain, live, send, n, done = _Scope(F.col), None, [], None, 0, False
 
-    def drive(send) -> Column:
-        nonlocal depth
+    def body(row: Column | None) -> Column:
+        nonlocal live, send, n, done
+        scope.read = lambda name: row[name]
         try:
-            layer = steps.send(send)
+            layer = {}
+            while not layer:
+                layer = steps.send(send)
+                send = _Layer(layer, scope)
         except StopIteration as end:
-            at = end.value[0]
+            done, at = True, end.value[0]
             if missing := [x for x in outputs if x not in at]:
                 raise ValueError(f"outputs that can't be reached: {missing}") from None
             found = {x: F.when(at[x].d.isNotNull(), at[x].v) for x in outputs}
             return F.struct(*[(c.cast(kinds[x]) if kinds else c).alias(x) for x, c in found.items()])
-        if not layer:
-            return drive({})
-        depth += 1
-        if depth > _MOST_NESTED:
-            raise ValueError(f"more than {_MOST_NESTED} layers in one Column; use compute")
-        names = {k: f"n{i}" for i, k in enumerate(layer)}
-        return F.transform(F.array(F.struct(*[layer[k].alias(n) for k, n in names.items()])), lambda s: drive({k: s[n] for k, n in names.items()}))[0]
+        kept = [f for f in live if uses.get(f, -1) > n]
+        live, n = kept + list(send.names.values()), n + 1
+        return F.struct(*[row[f].alias(f) for f in kept], *[layer[k].alias(name) for k, name in send.names.items()])
+
+    while not done:
+        chain = F.array(body(None)) if chain is None else F.transform(chain, lambda row: body(row))
+    _make_room(_ITERATIONS * n)
+    return chain[0]
+
+
+#: Iterations of the analyzer that a link of a chain takes at most.
+_ITERATIONS = 5
+
 
-    return drive(None)
+def _make_room(iterations: int) -> None:
+    spark, name = SparkSession.active(), "spark.sql.analyzer.maxIterations"
+    if iterations > int(spark.conf.get(name)):
+        spark.conf.set(name, str(iterations))
 
 
 def compute(graph: FormulaGraph, df: DataFrame, outputs: tuple[str, ...] | None = None, distances: dict[str, float] | None = None,
@@ -368,7 +444,7 @@ def compute(graph: FormulaGraph, df: DataFrame, outputs: tuple[str, ...] | None
         distances = {f"{x}*" if x in wild else x: d for x, d in distances.items()}
     if outputs is not None:
         graph = needed(graph, outputs, {c for c in given if c in complete or (not df.schema[c].nullable and c not in outputs)})
-    with _lenient(df.sparkSession, raises != "error"):
+    with lenient(df.sparkSession, raises != "error"):
         wide, (at, calls) = _layered(df, _steps(graph, {x: df[x] for x in given if x in graph.data_nodes}, distances, raises, named=True))
         if missing := [x for x in outputs or () if x not in at and x not in wild]:
             raise ValueError(f"outputs that can't be reached: {missing}")
@@ -402,7 +478,7 @@ def _selected(graph: FormulaGraph, wide: DataFrame, df: DataFrame, at: dict[str,
         steps = F.array(*[F.when(seen[x].isNotNull(), F.struct(s.d.alias("distance"), F.lit(x).alias("node"), s.f.alias("formula"))) for x, s in shown.items()])
         columns["workflow"] = F.array_sort(F.array_compact(steps))
     if raises == "record":
-        failed = [F.when(c["a"].isNotNull() & _all([v.isNull() for v in c["v"].values()]), F.lit(f)) for f, c in sorted(calls.items())]
+        failed = [F.when(c.a.isNotNull() & _all([v.isNull() for v in c.v.values()]), F.lit(f)) for f, c in sorted(calls.items())]
         columns["errors"] = F.array_compact(F.array(*failed)) if failed else F.expr("cast(array() as array<string>)")
     cyclic = any(len(g) > 1 or any(g[0] in f.inputs and g[0] in f.outputs for f in graph.formulas.values()) for g in _groups(graph))
     if cyclic or len(graph.formulas) > _OPEN_FORMULAS:

@@ -53,15 +53,15 @@ def _path(spark: SparkSession, path: str) -> tuple:
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, keep: bool = False, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     Unlike a local checkpoint this survives the loss of executors, and it keeps column pruning. With ``keep`` it outlives
-    the innermost scope of ``intermediates``.
+    the innermost scope of ``intermediates``. Filters on ``partition_by`` columns read their folders alone.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     if _scopes[keep:]:
