@@ -113,12 +113,13 @@ def _refined(turns: DataFrame, active: DataFrame) -> DataFrame:
         a, b = _hashes(("place", "said"))
         keyed = S.materialize(block.withColumns({"__a": F.bit_xor(a).over(upto), "__b": F.bit_xor(b).over(upto)}))
         key = ["__top", "place", "__a", "__b"]
-        classes = keyed.groupBy(*key).agg(F.min("seq").alias("top"), F.count("*").alias("size"))
+        # Written, so that the join deals out both sides anew and a class with very many members is split among tasks.
+        classes = S.materialize(keyed.groupBy(*key).agg(F.min("seq").alias("top"), F.count("*").alias("size")))
         members = keyed.join(classes, key)
         members = members.withColumns({"parent": F.coalesce(F.lag("top").over(along), "__top"), "__before": F.lag("size").over(along)})
         members = members.where(F.coalesce(F.col("__before") > 1, F.lit(True)))  # a class of one is retired: what follows is its tail
         done.append(S.materialize(members.select("seq", F.col("place").alias("depth"), "top", "size", "parent", "words", "rest", "n_turns", "n", "ends")))
-        S.discard(keyed)
+        S.discard(keyed, classes)
         depth, step = depth + step, min(2 * step, MOST_TURNS)
         active = done[-1].where((F.col("depth") == depth) & (F.col("size") > 1) & (F.col("n_turns") > depth)).select("seq", F.col("top").alias("__top"))
         if active.isEmpty():
