@@ -1,6 +1,7 @@
 """Limits, access and paging of the document service."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import docquery as Q
 
@@ -67,3 +68,66 @@ def test_schemas(spark):
     assert {r.id: r.ok for r in got} == {1: True, 2: False, 3: True, 4: False, 5: False}
     with pytest.raises(Q.QueryError):
         Q.valid(rows.data, {"format": "date"})
+
+
+def test_columns_are_compared_within_their_types(spark):
+    from datetime import date
+
+    rows = [(1, 1e300, "7", True, date(2020, 1, 2)), (1 << 62, -1.5, "10", False, date(2021, 1, 1)), (None, None, None, None, None), (-3, float("inf"), "x", True, date(1999, 1, 1))]
+    df = spark.createDataFrame(rows, "n long, d double, s string, b boolean, t date")
+    numbers = [5, 2.5, 1, 1.0, 1 << 62, (1 << 62) + 1, 10**30, -(10**30), 1e300, float("inf"), 0, -3]
+    ops = {"$gt": lambda a, b: a > b, "$gte": lambda a, b: a >= b, "$lt": lambda a, b: a < b, "$lte": lambda a, b: a <= b, "$eq": lambda a, b: a == b}
+    kinds = {"n": int, "d": float, "s": str, "b": bool}
+    for at, c in enumerate("ndsb"):
+        for v in [*numbers, "7", "z", True, None]:
+            for op, test in ops.items():
+                def passes(x):
+                    if v is None:
+                        return op == "$eq" and x is None
+                    same = (type(x) in (int, float) and type(v) in (int, float)) or type(x) is type(v)
+                    return x is not None and same and test(x, v)
+
+                got = df.where(Q.predicate({c: {op: v}}, Q.column_field(of=df))).count()
+                assert got == sum(passes(r[at]) for r in rows), (c, op, v, kinds)
+    assert df.where(Q.predicate({"t": {"$gte": "2020-01-02"}, "s": {"$regex": "^[0-9]"}}, Q.column_field(of=df))).count() == 2
+    assert df.where(Q.predicate({"n": {"$regex": "1"}}, Q.column_field(of=df))).count() == 0
+
+
+def test_comparisons_reach_the_scan(spark, tmp_path):
+    spark.range(10).selectExpr("id", "cast(id as double) as v", "cast(id as string) as s").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for asked, pushed, n in (({"id": {"$gt": 2.5}}, "GreaterThanOrEqual(id,3)", 7), ({"v": {"$lte": 8}}, "LessThanOrEqual(v,8.0)", 9), ({"s": "7"}, "EqualTo(s,7)", 1)):
+        found = df.where(Q.predicate(asked, Q.column_field(of=df)))
+        assert pushed in found._jdf.queryExecution().executedPlan().toString() and found.count() == n
+
+
+@pytest.mark.parametrize("query,want", [
+    ({"a": 5}, [0, 3]), ({"a": "5"}, [1]), ({"a": {"$gt": 4}}, [0, 3]), ({"a": {"$ne": 5}}, [1, 2, 4, 5, 6, 7]), ({"a": None}, [2, 6, 7]), ({"a": {"$exists": False}}, [6, 7]), ({"a.1": 5}, [3]), ({"a.b": 2}, [4, 5]),
+    ({"a.0.b": 2}, [5]), ({"a": {"$in": [5, None]}}, [0, 2, 3, 6, 7]), ({"a": {"$nin": [5, "5"]}}, [2, 4, 5, 6, 7]), ({"a": {"$regex": "^5"}}, [1]), ({"a": [1, 5]}, [3]), ({"x'y": True}, [6])])
+def test_documents_as_a_store_reads_them(spark, query, want):
+    docs = ['{"a": 5}', '{"a": "5"}', '{"a": null}', '{"a": [1, 5]}', '{"a": {"b": 2}}', '{"a": [{"b": 2}, {"c": 1}]}', '{"x\'y": true}', "no json"]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, data string")
+    assert [r.i for r in df.where(Q.predicate(Q.sanitize(query), Q.json_field("data"))).orderBy("i").collect()] == want
+
+
+def test_required_keys_with_dots(spark):
+    df = spark.createDataFrame([('{"a.b": {"c\'d": 1}}',), ('{"a": {"b": 1}}',)], "data string")
+    schema = {"required": ["a.b"], "properties": {"a.b": {"required": ["c'd"]}}}
+    assert [r.ok for r in df.select(Q.valid_documents(F.col("data"), F.lit("x"), {"x": schema}).alias("ok")).collect()] == [True, False]
+
+
+@pytest.mark.parametrize("sort", ["_id", "-_id"])
+def test_cursors_walk_over_all_pages(spark, sort):
+    docs = spark.range(1, 24).select(F.col("id").alias("_id"), F.lit("c").alias("category"), F.lit("{}").alias("data"), F.lit(1).alias("user_id"), F.lit(True).alias("is_public"))
+    seen, after, ends = [], None, []
+    while True:
+        page = Q.query(docs, Q.User(), sort=sort, after=after, limit=5)[0] if after is not None else Q.query(docs, Q.User(), sort=sort, limit=5)[0]
+        ids = [r._id for r in page.collect()]
+        after = Q.next_cursor(page, sort).first().next_after
+        if not ids:
+            assert after is None
+            break
+        assert after == ids[-1]
+        seen, ends = seen + ids, ends + [(len(ends) + 1, len(ids), after)]
+    assert seen == sorted(range(1, 24), reverse=sort == "-_id")
+    assert sorted(map(tuple, Q.cursor_walk(docs, 5, sort).collect())) == ends

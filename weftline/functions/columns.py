@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.docquery import json_path
+
 
 def bypass(*columns: Column) -> Column:
     """One column as it is, several as a struct."""
@@ -69,14 +71,18 @@ def replicate(value: Column, n: int) -> Column:
     return F.array_repeat(value, n)
 
 
-def path_value(value: Column, path: str, kind: str = "string") -> Column:
-    """The value at a dotted path of a JSON text, NULL where there is none or it is of another kind."""
-    return F.try_variant_get(F.try_parse_json(value), f"$.{path}", kind)
+def path_value(value: Column, path: str | list[str], kind: str = "string") -> Column:
+    """The value at a dotted path of a JSON text, NULL where there is none or it is of another kind. A list of keys may have dots in them."""
+    return F.try_variant_get(F.try_parse_json(value), json_path(*_keys(path)), kind)
+
+
+def _keys(path: str | list[str]) -> list[str]:
+    return path.split(".") if isinstance(path, str) else path
 
 
-def path_exists(value: Column, path: str) -> Column:
+def path_exists(value: Column, path: str | list[str]) -> Column:
     """Whether the path is there, be it with a null."""
-    return F.coalesce(F.try_variant_get(F.try_parse_json(value), f"$.{path}", "variant").isNotNull(), F.lit(False))
+    return F.coalesce(F.try_variant_get(F.try_parse_json(value), json_path(*_keys(path)), "variant").isNotNull(), F.lit(False))
 
 
 def stack_nested(df: DataFrame, column: str, depth: int = 1) -> DataFrame:

@@ -7,14 +7,19 @@ Documents have ``_id``, ``category``, ``data`` (JSON text), ``user_id``, ``is_pu
 from __future__ import annotations
 
 import json
+import math
 import operator
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .ranges import scan
 
 # The limits and names of the query language.
 MAX_DEPTH, MAX_KEYS, MAX_REGEX = 10, 200, 128
@@ -59,27 +64,132 @@ def sanitize(query: object, depth: int = 0, keys: list[int] | None = None) -> ob
 
 @dataclass(frozen=True)
 class Field:
-    """How a field is read: ``value`` as a type, and whether it is there at all."""
+    """How a field is tested: ``some(op, literal)``, whether a value of it passes the test, and whether it is there at all; never NULL."""
 
-    value: Callable[[str], Column]
+    some: Callable[[str, object], Column]
     exists: Column
 
 
+_TESTS = {"$eq": operator.eq, "$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}
+
+
+def json_path(*keys: str) -> str:
+    """The path of nested keys of a variant, whatever dots or quotes of one kind they have."""
+    out = "$"
+    for k in keys:
+        if "'" in k and '"' in k:
+            raise QueryError(f"a key with both kinds of quotes: {k!r}")
+        out += f'["{k}"]' if "'" in k else f"['{k}']"
+    return out
+
+
+def _variant_test(x: Column, op: str, v: object) -> Column:
+    """A test of one variant, within the literal's type; whole numbers exactly, as decimals where the value is one; never NULL."""
+    kind, value = F.schema_of_variant(x), lambda t: F.try_variant_get(x, "$", t)
+    if op == "$regex":
+        return F.coalesce((kind == "STRING") & value("string").rlike(v), F.lit(False))
+    test = _TESTS[op]
+    if v is None:
+        return F.coalesce(kind == "VOID", F.lit(False)) if op == "$eq" else F.lit(False)
+    if isinstance(v, (dict, list)):
+        if op != "$eq":
+            raise QueryError(f"{op} needs a plain value")
+        return F.coalesce(F.to_json(x) == json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False), F.lit(False))
+    if _kind(v) != "number":
+        return F.coalesce((kind == _kind(v).upper()) & test(value(_kind(v)), v), F.lit(False))
+    same = test(value("double"), float(v))
+    if isinstance(v, int) and abs(v) < 10**28:
+        same = F.coalesce(test(value("decimal(38,9)"), F.lit(str(v)).cast("decimal(38,9)")), same)
+    return F.coalesce(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & same, F.lit(False))
+
+
 def json_field(column: str) -> Callable[[str], Field]:
-    """Fields of a JSON text column by dotted path."""
+    """Fields of a JSON text column by dotted path, as a document store reads them.
+
+    A part of a path is a key or, in an array, the number of an element; a key of an array is that of its objects. A test
+    holds for an array if it holds for the array or one of its elements. Values are compared within their type.
+    """
+    v = F.try_parse_json(F.col(column))
+    is_a = lambda x, what: F.coalesce(F.schema_of_variant(x).startswith(what), F.lit(False))
+    items = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+
+    def behind(found: Column, part: str) -> Column:
+        """All values behind one part of a path, from an array of variants."""
+        inner = lambda x: F.try_variant_get(x, json_path(part), "variant")
+        place = F.try_variant_get if part.isdigit() else None
+
+        def of(x: Column) -> Column:
+            many = F.filter(F.transform(items(x), inner), lambda y: y.isNotNull())
+            if place is not None:
+                many = F.concat(F.filter(F.array(place(x, f"$[{int(part)}]", "variant")), lambda y: y.isNotNull()), many)
+            return F.when(is_a(x, "ARRAY"), many).otherwise(F.filter(F.array(inner(x)), lambda y: y.isNotNull()))
+
+        return F.flatten(F.transform(found, of))
+
     def find(path: str) -> Field:
-        v = F.try_parse_json(F.col(column))
-        keyed = F.try_variant_get(v, f"$.{path}", "variant")
-        return Field(lambda kind: F.try_variant_get(v, f"$.{path}", kind), keyed.isNotNull())
+        parts = path.split(".")
+        direct = F.try_variant_get(v, json_path(*parts), "variant")
+        plain = direct.isNotNull() & ~is_a(direct, "ARRAY")
+        found = reduce(behind, parts, F.array(v))
+
+        def some(op: str, value: object) -> Column:
+            each = lambda x: _variant_test(x, op, value) | (is_a(x, "ARRAY") & F.exists(items(x), lambda y: _variant_test(y, op, value)))
+            there = F.coalesce(F.exists(found, each), F.lit(False))
+            if value is None and op == "$eq":
+                there = there | (F.coalesce(F.size(found), F.lit(0)) == 0)
+            return F.when(plain, _variant_test(direct, op, value)).otherwise(there)
+
+        return Field(some, F.when(plain, True).otherwise(F.coalesce(F.size(found), F.lit(0)) > 0))
 
     return find
 
 
-def column_field(names: dict[str, str] | None = None) -> Callable[[str], Field]:
-    """Fields that are columns of the table; pushed down to its scan where Parquet can."""
+def _column_test(c: Column, kind: T.DataType | None, op: str, v: object) -> Column:
+    """A test of a plain column in a form that reaches the scan; values of another type than the column's pass none."""
+    if op == "$regex":
+        return c.isNotNull() & c.rlike(v) if kind is None or isinstance(kind, T.StringType) else F.lit(False)
+    if v is None:
+        return c.isNull() if op == "$eq" else F.lit(False)
+    if isinstance(v, (dict, list)):
+        if op != "$eq":
+            raise QueryError(f"{op} needs a plain value")
+        return F.lit(False)
+    is_number, test = _kind(v) == "number", lambda a, b: a.isNotNull() & _TESTS[op](a, b)
+    if kind is None:
+        return test(c, F.lit(v))
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) and isinstance(v, str):
+        return F.lit(v).try_cast(kind).isNotNull() & test(c, F.lit(v).try_cast(kind))
+    if isinstance(kind, T.BooleanType) != isinstance(v, bool) or isinstance(kind, T.StringType) != isinstance(v, str) or isinstance(kind, T.NumericType) != is_number:
+        return F.lit(False)
+    if not is_number:
+        return test(c, F.lit(v))
+    if isinstance(kind, T.IntegralType):
+        if isinstance(v, float):
+            if math.isinf(v):
+                return c.isNotNull() & F.lit((v > 0) == (op in ("$lt", "$lte")) and op != "$eq")
+            if math.isnan(v) or (op == "$eq" and v != math.floor(v)):
+                return F.lit(False)
+            op, v = ("$gte", math.floor(v) + 1) if op == "$gt" else ("$gte", math.ceil(v)) if op == "$gte" else ("$lte", math.ceil(v) - 1) if op == "$lt" else ("$lte", math.floor(v)) if op == "$lte" else (op, int(v))
+        least, most = -(1 << 63), (1 << 63) - 1
+        if not least <= v <= most:  # no such number can be stored
+            return c.isNotNull() & F.lit(op in ("$lt", "$lte") if v > 0 else op in ("$gt", "$gte"))
+        return test(c, F.lit(v))
+    if isinstance(kind, T.DecimalType):
+        return test(c, F.lit(v) if isinstance(v, float) else F.lit(Decimal(v)) if abs(v) < 10**38 else F.lit(float(v)))
+    return test(c, F.lit(float(v)))
+
+
+def column_field(names: dict[str, str] | None = None, of: DataFrame | None = None) -> Callable[[str], Field]:
+    """Fields that are columns of a table; tests are pushed down to its scan where Parquet can.
+
+    With the table, ``of``, values are compared within their columns' types: one of another type passes no test. Without it the
+    query has to compare each column with values of its type. Dates and times are compared with texts in ISO form.
+    """
     def find(path: str) -> Field:
-        c = F.col((names or {}).get(path, path))
-        return Field(lambda kind: c, c.isNotNull())
+        name = (names or {}).get(path, path)
+        kind = of.schema[name].dataType if of is not None else None
+        c = F.col(f"`{name}`") if of is not None else F.col(name)
+        return Field(lambda op, v: _column_test(c, kind, op, v), c.isNotNull())
 
     return find
 
@@ -122,48 +232,29 @@ def _pattern(text: object, options: object) -> str:
     return full
 
 
-def _compared(f: Field, op: str, v: object) -> Column:
-    """One comparison. Whole numbers are compared exactly, as decimals where the stored value is one; documents and lists by their text."""
-    test = {"$eq": operator.eq, "$ne": operator.eq, "$gt": operator.gt, "$gte": operator.ge, "$lt": operator.lt, "$lte": operator.le}[op]
-    if isinstance(v, (dict, list)):
-        if op not in ("$eq", "$ne"):
-            raise QueryError(f"{op} needs a plain value")
-        return F.to_json(F.try_parse_json(f.value("variant").cast("string"))) == json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    kind = _kind(v)
-    if kind != "number":
-        return test(f.value(kind), v)
-    if isinstance(v, int) and abs(v) < 10**28:
-        return F.coalesce(test(f.value("decimal(38,9)").cast("decimal(38,9)"), F.lit(str(v)).cast("decimal(38,9)")), test(f.value("double").cast("double"), float(v)))
-    return test(f.value("double").cast("double"), float(v))
-
-
 def _condition(f: Field, tests: dict) -> Column:
+    """All tests of one field; what has no such field passes none but those for null, and differs from any value."""
     out = []
+    some = f.some
     for op, v in tests.items():
         if op == "$options":
             continue
         if op == "$exists":
             out.append(f.exists if v else ~f.exists)
         elif op == "$regex":
-            out.append(f.value("string").rlike(_pattern(v, tests.get("$options"))))
+            out.append(f.some("$regex", _pattern(v, tests.get("$options"))))
         elif op in ("$in", "$nin"):
             if not isinstance(v, list):
                 raise QueryError(f"{op} needs a list")
-            some = [F.coalesce(_compared(f, "$eq", x), F.lit(False)) for x in v if _kind(x) == "number" or isinstance(x, (dict, list))]
-            some += [F.coalesce(f.value(k).isin([x for x in v if x is not None and not isinstance(x, (dict, list)) and _kind(x) == k]), F.lit(False)) for k in ("boolean", "string")
-                     if any(x is not None and not isinstance(x, (dict, list)) and _kind(x) == k for x in v)]
-            some += [f.value("string").isNull()] if None in v else []
-            found = reduce(lambda a, b: a | b, some, F.lit(False))
+            found = reduce(lambda a, b: a | b, [some("$eq", x) for x in v], F.lit(False))
             out.append(found if op == "$in" else ~found)
         elif op not in COMPARISONS:
             raise QueryError(f"{op} is no test of a field")
-        elif v is None:
-            nothing = f.value("string").isNull()
-            out.append(nothing if op == "$eq" else ~nothing)
+        elif op == "$ne":
+            out.append(~some("$eq", v))
         else:
-            test = F.coalesce(_compared(f, op, v), F.lit(False))
-            out.append(~test if op == "$ne" else test)  # what has no such field differs
-    return F.coalesce(reduce(lambda a, b: a & b, out), F.lit(False)) if out else F.lit(True)
+            out.append(f.some(op, v))
+    return reduce(lambda a, b: a & b, out) if out else F.lit(True)
 
 
 @dataclass(frozen=True)
@@ -251,10 +342,24 @@ def query(docs: DataFrame, user: User, category: str | None = None, where: dict
     return rows.orderBy(*sort_columns(sort)).offset(offset).limit(limit), total
 
 
-def next_cursor(page: DataFrame, limit: int) -> DataFrame:
-    """A one-row table with ``next_after``: the last ``_id`` of a full page, NULL where it was the last one."""
-    last = page.agg(F.count("*").alias("n"), F.max_by("_id", "__place").alias("last")) if "__place" in page.columns else page.agg(F.count("*").alias("n"), F.max("_id").alias("last"))
-    return last.select(F.when(F.col("n") >= limit, F.col("last")).alias("next_after"))
+def next_cursor(page: DataFrame, sort: str = "_id") -> DataFrame:
+    """A one-row table with ``next_after``: the ``_id`` of the last row of a page in its order, NULL for an empty page."""
+    if sort.removeprefix("-") != "_id":
+        raise QueryError("a cursor needs a sort by _id")
+    return page.agg((F.min if sort.startswith("-") else F.max)("_id").alias("next_after"))
+
+
+def cursor_walk(rows: DataFrame, limit: int, sort: str = "_id") -> DataFrame:
+    """``page, n, next_after`` of all pages that a client would get by following cursors, at once and whatever their number.
+
+    Ids are numbered in ranges (see ``ranges.scan``); nothing goes through one task or the driver.
+    """
+    if sort.removeprefix("-") != "_id":
+        raise QueryError("a cursor needs a sort by _id")
+    down = sort.startswith("-")
+    ordered = rows.select("_id", F.lit(0).alias("__all"), (-F.col("_id") if down else F.col("_id")).alias("__by"))
+    placed = scan(ordered, ["__all"], ["__by"], {"__at": F.lit(1).cast("long")}, window_rows=0)
+    return placed.groupBy(F.expr(f"(__at - 1) div {limit} + 1").alias("page")).agg(F.count("*").alias("n"), (F.min if down else F.max)("_id").alias("next_after"))
 
 
 def next_page(total: int, limit: int, offset: int) -> int | None:
@@ -306,9 +411,9 @@ def valid(value: Column, schema: dict, path: str = "$") -> Column:
     if some is not None:
         rules.append(F.to_json(here).isin([json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in some]))
     for name in schema.get("required", ()):
-        rules.append(~is_a("object") | F.try_variant_get(value, f"{path}.{name}", "variant").isNotNull())
+        rules.append(~is_a("object") | F.try_variant_get(value, path + json_path(name)[1:], "variant").isNotNull())
     for name, inner in schema.get("properties", {}).items():
-        rules.append(~is_a("object") | valid(value, inner, f"{path}.{name}"))
+        rules.append(~is_a("object") | valid(value, inner, path + json_path(name)[1:]))
     if schema.get("additionalProperties") is False:
         keys = F.map_keys(F.try_variant_get(value, path, "map<string,variant>"))
         rules.append(~is_a("object") | (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in schema.get("properties", {})]).cast("array<string>"))) == 0))
@@ -371,7 +476,3 @@ def latest(rows: DataFrame, keys: list[str], time: str, before: Column | None =
     other = [c for c in rows.columns if c not in keys]
     best = rows.groupBy(*keys).agg(F.max(F.struct(time, *[c for c in other if c != time])).alias("__last"))
     return best.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in other])
-
-
-def numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

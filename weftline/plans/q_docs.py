@@ -35,7 +35,7 @@ def doc_filter_and_or_nor(spark: SparkSession, sf: str) -> DataFrame:
 def doc_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Comparisons of plain columns, which reach the scan, and of a JSON field."""
     rows = table(spark, sf, "events")
-    plain = Q.predicate(Q.sanitize({"value": {"$gte": 10, "$lt": 90}, "event_type": {"$ne": "click"}}), Q.column_field())
+    plain = Q.predicate(Q.sanitize({"value": {"$gte": 10, "$lt": 90}, "event_type": {"$ne": "click"}}), Q.column_field(of=rows))
     return rows.where(plain).where(Q.predicate({"k": {"$gt": 20}}, Q.json_field("props"))).select("event_id")
 
 
@@ -259,3 +259,24 @@ def file_dedup_hash(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, trim(regexp_extract(trim(text), '^([^.\\n]*\\.?)', 1)) AS summary FROM documents")
 def doc_summary_first_sentence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", algebra.summary(F.col("text")).alias("summary"))
+
+
+@query("""SELECT event_id, event_id % 3 = 0 AND value > 50 AS number, event_id % 3 = 1 AND event_type > 'm' AS text, event_id % 3 = 2 AND value > 50 AS item, event_id % 3 = 2 AND value <= 50 AS inner_item,
+  event_id % 3 <> 0 OR value <> 7 AS differs FROM events""")
+def doc_mixed_types(spark: SparkSession, sf: str) -> DataFrame:
+    """A field that holds a number, a text or an array: tests hold within a type, and for arrays if they hold for an element."""
+    e = table(spark, sf, "events")
+    part = lambda c: F.to_json(F.struct(c.alias("x")))
+    some = F.when(F.col("event_id") % 3 == 0, part(F.col("value"))).when(F.col("event_id") % 3 == 1, part(F.col("event_type")))
+    held = F.when(F.col("value") > 50, part(F.array(F.lit(1.0), F.col("value")))).otherwise(part(F.array(F.struct(F.col("event_type").alias("y")))))
+    e = e.withColumn("data", some.otherwise(held))
+    is_ = lambda q: Q.predicate(Q.sanitize(q), Q.json_field("data"))
+    third = F.col("event_id") % 3
+    return e.select("event_id", ((third == 0) & is_({"x": {"$gt": 50}})).alias("number"), is_({"x": {"$gt": "m"}}).alias("text"), ((third == 2) & is_({"x": {"$gt": 50}})).alias("item"),
+                    is_({"x.0.y": {"$exists": True}, "x.y": {"$regex": "."}}).alias("inner_item"), is_({"x": {"$ne": 7}}).alias("differs"))
+
+
+@query(f"""SELECT (r - 1) // 40 + 1 AS page, CAST(count(*) AS BIGINT) AS n, min(_id) AS next_after FROM (SELECT _id, row_number() OVER (ORDER BY _id DESC) AS r FROM ({_ITEMS}) WHERE is_public OR user_id = 2) GROUP BY 1""")
+def doc_cursor_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages that a descending cursor walks through."""
+    return Q.cursor_walk(_items(spark, sf).where(Q.access(Q.User(2))), 40, "-_id")
