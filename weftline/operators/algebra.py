@@ -66,6 +66,44 @@ def computable(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, max_steps:
     raise RuntimeError(f"columns are farther than {max_steps} formulas")
 
 
+def distances(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, max_steps: int = 1000) -> DataFrame:
+    """``id, distance, via`` of all that can be had from ``inputs`` (``id, distance``) and ``START``: shortest ways where formulas wait for all inputs.
+
+    ``edges`` has ``src, dst, length``, no length below 0. A formula is as far as its farthest input with the way into it; a
+    column is as far as its nearest formula with the way out of it, of several the first by name (``via``; NULL for inputs).
+
+    Label-correcting: each step takes formulas that read a column which has just come nearer, and what they give. Distances
+    only shrink, so steps are appended and the least of a node's distances holds; cycles end as no way round is shorter.
+    """
+    formulas = materialize(nodes.where("type = 'formula'").select("id"))
+    links = edges.select("src", "dst", F.col("length").cast("double").alias("length"))
+    needs = materialize(links.join(formulas.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    gives = materialize(links.join(formulas.withColumnRenamed("id", "src"), "src", "left_semi"))
+    none = F.lit(None).cast("string")
+    given = inputs.select("id", F.col("distance").cast("double").alias("distance"), none.alias("via"))
+    plain = links.where("src = 'START'").join(formulas.withColumnRenamed("id", "dst"), "dst", "left_anti").select(F.col("dst").alias("id"), F.col("length").alias("distance"), none.alias("via"))
+    start = formulas.sparkSession.range(1).select(F.lit("START").alias("id"), F.lit(0.0).alias("distance"), none.alias("via"))
+    nearest = lambda df: df.groupBy("id").agg(F.min(F.struct("distance", "via")).alias("__m")).select("id", "__m.*")
+    parts = [materialize(nearest(given.unionByName(plain).unionByName(start)))]
+    fresh = parts[0]
+    for _ in range(max_steps):
+        known = nearest(reduce(DataFrame.unionByName, parts))
+        touched = needs.join(fresh.select(F.col("id").alias("src")), "src", "left_semi").select("dst").distinct()
+        inward = needs.join(touched, "dst", "left_semi").join(known.select(F.col("id").alias("src"), "distance"), "src", "left")
+        called = inward.groupBy("dst").agg(F.max(F.col("distance") + F.col("length")).alias("distance"), F.count_if(F.col("distance").isNull()).alias("__lacks")).where("__lacks = 0")
+        called = called.select(F.col("dst").alias("id"), "distance", none.alias("via"))
+        out = gives.join(called.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("distance") + F.col("length")).alias("distance"), F.col("src").alias("via"))
+        found = nearest(called.unionByName(out)).join(known.select("id", F.col("distance").alias("__d"), F.col("via").alias("__v")), "id", "left")
+        nearer = F.col("__d").isNull() | (F.col("distance") < F.col("__d")) | ((F.col("distance") == F.col("__d")) & (F.col("via") < F.col("__v")))
+        fresh = materialize(found.where(nearer).select("id", "distance", "via"))
+        if fresh.isEmpty():
+            return known.where("id <> 'START'")
+        if len(parts) == 32:
+            parts = [materialize(nearest(reduce(DataFrame.unionByName, parts)))]
+        parts.append(fresh)
+    raise RuntimeError(f"columns are farther than {max_steps} formulas")
+
+
 def shrunk(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The smallest part of a graph with all ways from the inputs to the outputs, alternatives for failing domains included.
 

@@ -23,6 +23,11 @@ from pyspark.sql import functions as F
 from .graph import SINK, START, Data, Formula, FormulaGraph
 
 
+def _reads(graph: FormulaGraph, f: Formula) -> tuple[str, ...]:
+    """What a formula reads: its inputs and, on the way into a nested model, what the model's domain gets."""
+    return (*f.inputs, *(x for model, (_, offered) in graph.guards.items() if f.name.startswith(f"{model}<") for x in offered))
+
+
 def needed(graph: FormulaGraph, outputs: tuple[str, ...], given: set[str]) -> FormulaGraph:
     """The part of the graph from which the outputs can be reached, without what lies behind given columns."""
     out, todo, seen = FormulaGraph(graph.name), list(outputs), set()
@@ -38,7 +43,7 @@ def needed(graph: FormulaGraph, outputs: tuple[str, ...], given: set[str]) -> Fo
         for f in graph.formulas.values():
             if x in f.outputs:
                 out.formulas[f.name] = f
-                todo += f.inputs
+                todo += _reads(graph, f)
     for f in out.formulas.values():
         for x in f.outputs:
             if x in graph.data_nodes:
@@ -48,7 +53,7 @@ def needed(graph: FormulaGraph, outputs: tuple[str, ...], given: set[str]) -> Fo
 
 def _groups(graph: FormulaGraph) -> list[list[str]]:
     """Data columns in an order in which each comes after what it needs; those on common cycles in one group."""
-    feeds = {x: sorted({i for f in graph.formulas.values() if x in f.outputs for i in f.inputs if i in graph.data_nodes}) for x in graph.data_nodes}
+    feeds = {x: sorted({i for f in graph.formulas.values() if x in f.outputs for i in _reads(graph, f) if i in graph.data_nodes}) for x in graph.data_nodes}
     number, low, path, out = {}, {}, [], []
     for root in sorted(feeds):
         work = [(root, iter(feeds[root]))] if root not in number else []
