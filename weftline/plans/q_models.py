@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.operators import algebra, latebound
 from weftline.plans.q_dispatch import query, rounded
-from weftline.sources.tables import table
+from weftline.sources.tables import stream, table
+from weftline.streaming import credits
 
 
 def _weighted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -61,3 +62,26 @@ def dispatch_named_models(spark: SparkSession, sf: str) -> DataFrame:
     specs = spark.createDataFrame([(k, json.dumps(v)) for k, v in _MODELS.items()], "name string, spec string")
     rows = table(spark, sf, "events").select("event_id", "event_type", "user_id", "value")
     return rounded(latebound.compute_named(rows, latebound.read_models(specs), "event_type", ["score", "x"]), "score").select("event_id", "score", "x")
+
+
+_WALLETS = """SELECT user_id, event_id, ts, epoch_us(ts) AS t0, CAST(CASE WHEN event_type = 'purchase' THEN -ceil(value) ELSE ceil(value) END AS BIGINT) AS credits,
+  CASE WHEN event_id % 5 = 0 THEN 4611686018427387904 ELSE epoch_us(ts) + 86400000000 * (event_id % 9 + 1) END AS e FROM events WHERE event_type IN ('purchase', 'click', 'signup')"""
+_USABLE = "CASE WHEN y.e >= t0 AND y.v > 0 THEN y.v ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ({_WALLETS})),
+f AS (SELECT user_id, 0::BIGINT AS k, CAST(NULL AS BIGINT) AS event_id, 0::BIGINT AS t0, 0::BIGINT AS debt, []::STRUCT(e BIGINT, v BIGINT)[] AS b FROM x GROUP BY user_id
+  UNION ALL SELECT user_id, k, event_id, t0, debt + CASE WHEN credits < 0 THEN greatest(0, -credits - coalesce(list_sum(list_transform(b, lambda y: {_USABLE})), 0)::BIGINT) ELSE 0 END,
+    CASE WHEN credits >= 0 THEN list_sort(list_append(b, {{'e': e, 'v': credits}})) ELSE
+      list_transform(b, lambda y, i: {{'e': y.e, 'v': y.v - greatest(0, least({_USABLE}, -credits - coalesce(list_sum(list_transform(b[1:i - 1], lambda y: {_USABLE})), 0)::BIGINT))}}) END
+    FROM (SELECT x.*, f.b, f.debt FROM f JOIN x ON x.user_id = f.user_id AND x.k = f.k + 1))
+SELECT user_id, event_id, CAST(coalesce(list_sum(list_transform(b, lambda y: CASE WHEN y.e >= t0 THEN y.v ELSE 0 END)), 0) - debt AS BIGINT) AS balance FROM f WHERE k > 0""")
+def stream_balances(spark: SparkSession, sf: str) -> DataFrame:
+    """Balances behind each entry, from a stream of events with state and timers that ends with what there is."""
+    events = stream(spark, sf, "events").where("event_type in ('purchase', 'click', 'signup')")
+    amount = F.ceil("value").cast("long")
+    at = F.col("ts").cast("timestamp")
+    expires = F.when(F.col("event_id") % 5 != 0, F.timestamp_micros(F.unix_micros(at) + 86_400_000_000 * (F.col("event_id") % 9 + 1)))
+    entries = events.select("user_id", at.alias("at"), F.col("event_id").alias("id"), F.when(F.col("event_type") == "purchase", -amount).otherwise(amount).alias("credits"), expires.alias("expires"))
+    out = credits.run_available(credits.balances(entries, ["user_id"], "30 days"))
+    return out.where("id is not null").select("user_id", F.col("id").alias("event_id"), "balance")

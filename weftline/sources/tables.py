@@ -15,6 +15,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The Parquet table ``name`` of a folder as a stream of its files, be it one file or a folder of them (a pattern reads both)."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def read(spark: SparkSession, path: str, kind: str = "parquet", **options) -> DataFrame:
     """Any source that Spark reads: parquet, csv, json, text, binaryFile, orc."""
     return spark.read.format(kind).options(**options).load(path)
