@@ -13,15 +13,19 @@ from .ranges import scan
 
 
 def sub_graph(nodes: DataFrame, edges: DataFrame, keep: DataFrame, drop_edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The part of a graph on the ``keep`` ids: formulas that lost an input or all outputs go, and lone columns."""
-    inside = nodes.join(keep.select("id"), "id", "left_semi")
+    """The part of a graph on the ``keep`` ids: formulas that lost an input or all outputs go, and lone columns.
+
+    Tables that several steps read are written once.
+    """
+    nodes, edges = materialize(nodes), materialize(edges)
+    inside = materialize(nodes.join(keep.select("id"), "id", "left_semi"))
     kept = edges if drop_edges is None else edges.join(drop_edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    within = kept.join(inside.select(F.col("id").alias("src")), "src", "left_semi").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi")
+    within = materialize(kept.join(inside.select(F.col("id").alias("src")), "src", "left_semi").join(inside.select(F.col("id").alias("dst")), "dst", "left_semi"))
     formulas = inside.where("type = 'formula'").select("id")
     lost = edges.join(formulas, edges.dst == formulas.id, "left_semi").join(within, ["src", "dst"], "left_anti").select(F.col("dst").alias("id"))
     whole = formulas.join(lost, "id", "left_anti").join(within.select(F.col("src").alias("id")), "id", "left_semi")
-    gone = formulas.join(whole, "id", "left_anti")
-    links = within.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    gone = materialize(formulas.join(whole, "id", "left_anti"))
+    links = materialize(within.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
     ends = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
     return inside.join(ends, "id", "left_semi"), links
 

@@ -377,27 +377,59 @@ def shown(rows: DataFrame, user: User, include_data: str | bool = True) -> DataF
 _TYPES = {"object": "^OBJECT", "array": "^ARRAY", "string": "^STRING$", "boolean": "^BOOLEAN$", "null": "^VOID$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"}
 
 
-def valid(value: Column, schema: dict, path: str = "$") -> Column:
+_PLAIN_RULES = {"title", "description", "default", "$schema", "$id", "examples", "$defs", "definitions", "$comment", "then", "else"}
+
+
+def _referred(root: dict, ref: str) -> dict:
+    """The schema that a reference within the document (``#``, ``#/$defs/name``) points to."""
+    if not ref.startswith("#"):
+        raise QueryError(f"a reference to another document: {ref}")
+    found: object = root
+    for part in filter(None, ref[1:].split("/")):
+        part = part.replace("~1", "/").replace("~0", "~")
+        if not isinstance(found, dict) or part not in found:
+            raise QueryError(f"a reference to nothing: {ref}")
+        found = found[part]
+    return found
+
+
+def valid(value: Column, schema: dict | bool, path: str = "$", root: dict | None = None, depth: int = 6) -> Column:
     """Whether the value at a path of a variant column fits a JSON schema; true where there is no such value.
 
-    Knows ``type``, ``required``, ``properties``, ``additionalProperties: false``, ``items``, ``enum``, ``const``,
-    ``minimum``, ``maximum``, ``minLength``, ``maxLength``, ``pattern``, ``minItems``, ``maxItems``, ``allOf``, ``anyOf``, ``not``; any other
-    rule that restricts values is a ``QueryError``, so that none is passed over.
+    Knows ``type``, ``required``, ``properties``, ``patternProperties``, ``additionalProperties``, ``items``, ``enum``, ``const``, ``minimum``,
+    ``maximum``, ``exclusiveMinimum``, ``exclusiveMaximum``, ``multipleOf``, ``minLength``, ``maxLength``, ``pattern``, ``minItems``, ``maxItems``, ``uniqueItems``,
+    ``contains``, ``minProperties``, ``maxProperties``, ``allOf``, ``anyOf``, ``oneOf``, ``not``, ``if``/``then``/``else`` and ``$ref`` within the document; any
+    other rule is a ``QueryError``, so that none is passed over.
+
+    References are written out. A recursive schema is, ``depth`` times: a value that is nested deeper than that ends
+    the query with an error, so that none is judged by a part of its rules.
     """
-    known = {"type", "required", "properties", "additionalProperties", "items", "enum", "const", "minimum", "maximum", "minLength", "maxLength", "pattern", "minItems", "maxItems",
-             "allOf", "anyOf", "not", "title", "description", "default", "$schema", "$id", "examples"}
-    if unknown := sorted(set(schema) - known):
-        raise QueryError(f"rules of a schema that aren't known: {unknown}")
+    if isinstance(schema, bool):
+        return F.lit(True) if schema else F.try_variant_get(value, path, "variant").isNull()
+    root = schema if root is None else root
     here = F.try_variant_get(value, path, "variant") if path != "$" else value
+    inner = lambda x, at=path: valid(value, x, at, root, depth)
     kind, text = F.schema_of_variant(here), F.try_variant_get(value, path, "string")
     number, rules = F.try_variant_get(value, path, "double"), []
     is_a = lambda *names: reduce(lambda a, b: a | b, [kind.rlike(_TYPES[n]) for n in names])
+    every = lambda parts: reduce(lambda a, b: a & b, parts)
+    known = {"type", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "minItems", "maxItems", "uniqueItems", "items", "contains",
+             "minProperties", "maxProperties", "const", "enum", "required", "properties", "patternProperties", "additionalProperties", "allOf", "anyOf", "oneOf", "not", "if", "$ref"}
+    if unknown := sorted(set(schema) - known - _PLAIN_RULES):
+        raise QueryError(f"rules of a schema that aren't known: {unknown}")
+    if "$ref" in schema:
+        if depth == 0:
+            return here.isNull() | F.raise_error(F.lit("a document is nested deeper than its schema is written out")).cast("boolean")
+        rules.append(valid(value, _referred(root, schema["$ref"]), path, root, depth - 1))
     if "type" in schema:
         names = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
         rules.append(is_a(*names) | ((number == F.floor(number)) & is_a("number") if "integer" in names else F.lit(False)))
-    for k, test in (("minimum", lambda v: number >= v), ("maximum", lambda v: number <= v)):
+    for k, test in (("minimum", operator.ge), ("maximum", operator.le), ("exclusiveMinimum", operator.gt), ("exclusiveMaximum", operator.lt)):
         if k in schema:
-            rules.append(~is_a("number") | test(float(schema[k])))
+            rules.append(~is_a("number") | test(number, float(schema[k])))
+    if "multipleOf" in schema:
+        share = F.try_variant_get(value, path, "decimal(38,9)") % F.lit(str(schema["multipleOf"])).cast("decimal(38,9)")
+        rules.append(~is_a("number") | (share == 0))
     for k, test in (("minLength", lambda v: F.char_length(text) >= v), ("maxLength", lambda v: F.char_length(text) <= v), ("pattern", lambda v: text.rlike(_pattern(v, None)))):
         if k in schema:
             rules.append(~is_a("string") | test(schema[k]))
@@ -405,24 +437,46 @@ def valid(value: Column, schema: dict, path: str = "$") -> Column:
     for k, test in (("minItems", lambda v: F.size(items) >= v), ("maxItems", lambda v: F.size(items) <= v)):
         if k in schema:
             rules.append(~is_a("array") | test(schema[k]))
+    if schema.get("uniqueItems"):
+        texts = F.transform(items, lambda x: F.to_json(x))
+        rules.append(~is_a("array") | (F.size(F.array_distinct(texts)) == F.size(texts)))
     if "items" in schema:
-        rules.append(~is_a("array") | F.forall(items, lambda x: valid(x, schema["items"])))
+        rules.append(~is_a("array") | F.forall(items, lambda x: valid(x, schema["items"], "$", root, depth)))
+    if "contains" in schema:
+        rules.append(~is_a("array") | F.exists(items, lambda x: valid(x, schema["contains"], "$", root, depth)))
     some = [schema["const"]] if "const" in schema else schema.get("enum")
     if some is not None:
         rules.append(F.to_json(here).isin([json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in some]))
     for name in schema.get("required", ()):
         rules.append(~is_a("object") | F.try_variant_get(value, path + json_path(name)[1:], "variant").isNotNull())
-    for name, inner in schema.get("properties", {}).items():
-        rules.append(~is_a("object") | valid(value, inner, path + json_path(name)[1:]))
-    if schema.get("additionalProperties") is False:
-        keys = F.map_keys(F.try_variant_get(value, path, "map<string,variant>"))
-        rules.append(~is_a("object") | (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in schema.get("properties", {})]).cast("array<string>"))) == 0))
-    rules += [valid(value, x, path) for x in schema.get("allOf", ())]
+    for name, rule in schema.get("properties", {}).items():
+        rules.append(~is_a("object") | inner(rule, path + json_path(name)[1:]))
+    entries = F.map_entries(F.try_variant_get(value, path, "map<string,variant>"))
+    for k, test in (("minProperties", operator.ge), ("maxProperties", operator.le)):
+        if k in schema:
+            rules.append(~is_a("object") | test(F.size(entries), schema[k]))
+    patterns = {_pattern(k, None): v for k, v in schema.get("patternProperties", {}).items()}
+
+    def under(pattern: str, rule: dict) -> Callable[[Column], Column]:
+        return lambda e: ~e["key"].rlike(pattern) | valid(e["value"], rule, "$", root, depth)
+
+    rules += [~is_a("object") | F.forall(entries, under(*x)) for x in patterns.items()]
+    rest = schema.get("additionalProperties", True)
+    if rest is not True:
+        def listed(e: Column) -> Column:
+            return reduce(lambda a, b: a | b, [e["key"].rlike(p) for p in patterns], e["key"].isin(list(schema.get("properties", {}))) if schema.get("properties") else F.lit(False))
+
+        rules.append(~is_a("object") | F.forall(entries, lambda e: listed(e) | (F.lit(False) if rest is False else valid(e["value"], rest, "$", root, depth))))
+    rules += [inner(x) for x in schema.get("allOf", ())]
     if "anyOf" in schema:
-        rules.append(reduce(lambda a, b: a | b, [valid(value, x, path) for x in schema["anyOf"]]))
+        rules.append(reduce(lambda a, b: a | b, [inner(x) for x in schema["anyOf"]]))
+    if "oneOf" in schema:
+        rules.append(reduce(operator.add, [inner(x).cast("int") for x in schema["oneOf"]]) == 1)
     if "not" in schema:
-        rules.append(~valid(value, schema["not"], path))
-    return here.isNull() | F.coalesce(reduce(lambda a, b: a & b, rules, F.lit(True)), F.lit(False))
+        rules.append(~inner(schema["not"]))
+    if "if" in schema:
+        rules.append(F.when(inner(schema["if"]), inner(schema.get("then", True))).otherwise(inner(schema.get("else", True))))
+    return here.isNull() | F.coalesce(every(rules) if rules else F.lit(True), F.lit(False))
 
 
 def valid_documents(data: Column, category: Column, schemas: dict[str, dict], default: dict | None = None) -> Column:

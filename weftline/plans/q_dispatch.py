@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weftline.operators import algebra, fold, series
 from weftline.plans.graph import SINK, FormulaGraph, far
-from weftline.sources import graphs
 from weftline.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -105,10 +104,10 @@ def dispatch_wait_average(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(g.compute(rows).select("l_orderkey", "l_linenumber", "c", "d"), "c", "d").withColumn("c", F.col("c") + 0.0)
 
 
-@query(f"SELECT l_orderkey, l_linenumber, round(CASE WHEN NOT (e = 0 AND d = 0) THEN pow(e, d) END, 6) AS b FROM ({_CDE}) WHERE a < b")
+@query(f"SELECT l_orderkey, l_linenumber, round(CASE WHEN NOT (e = 0 AND d = 0) THEN pow(e, d) END, 6) AS b FROM ({_CDE})")
 def dispatch_wildcard(spark: SparkSession, sf: str) -> DataFrame:
     """``b`` feeds the formulas and is computed anew from what they make of it."""
-    out = fixture().compute(_ab(spark, sf).where("a < b"), ["a", "b"], wildcard=True)
+    out = fixture().compute(_ab(spark, sf), ["a", "b"], wildcard=True)
     return rounded(out, "b").select("l_orderkey", "l_linenumber", "b")
 
 
@@ -156,10 +155,10 @@ def dispatch_tie_break(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("c_custkey", "first", "second")
 
 
-@query(f"SELECT l_orderkey, l_linenumber, round(CASE WHEN a < b THEN ln(b - a) ELSE a - 4 END, 6) AS c0, a - 4 AS d FROM ({_AB}) WHERE a < b")
+@query(f"SELECT l_orderkey, l_linenumber, round(CASE WHEN a < b THEN ln(b - a) ELSE greatest(b, a - 4) END, 6) AS c0, a - 4 AS d FROM ({_AB})")
 def dispatch_input_dists(spark: SparkSession, sf: str) -> DataFrame:
     """Without weights and with ``b`` a step farther away, the short way to ``d`` comes first."""
-    out = fixture(weights=False).compute(_ab(spark, sf).where("a < b"), distances={"b": 1})
+    out = fixture(weights=False).compute(_ab(spark, sf), distances={"b": 1})
     return out.select("l_orderkey", "l_linenumber", F.round("c", 6).alias("c0"), "d")
 
 
@@ -256,37 +255,6 @@ def _first():
     return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
-def _own_graph(spark: SparkSession):
-    g = fixture()
-    return graphs.nodes(spark, g), graphs.edges(spark, g)
-
-
-@query("SELECT * FROM (VALUES ('a', 'log(b - a)'), ('b', 'log(b - a)'), ('log(b - a)', 'c'), ('a', 'min'), ('c', 'min'), ('min', 'd'), ('b', 'max'), ('d', 'max'), ('max', 'c')) AS t(src, dst)")
-def graph_subgraph(spark: SparkSession, sf: str) -> DataFrame:
-    """The part on four columns and the formulas that keep all their inputs."""
-    nodes, edges = _own_graph(spark)
-    keep = nodes.where("id in ('a', 'b', 'c', 'd', 'log(b - a)', 'min', 'max', 'x ^ y', '2 / (d + 1)')").select("id")
-    return algebra.sub_graph(nodes, edges, keep)[1].select("src", "dst")
-
-
-@query("SELECT * FROM (VALUES ('c', 0), ('log(b - a)', 1), ('max', 1), ('a', 2), ('b', 2), ('d', 2), ('min', 3), ('x - 4', 3)) AS t(id, step)")
-def graph_ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    """What ``c`` depends on, not beyond ``a`` and ``b``."""
-    nodes, edges = _own_graph(spark)
-    return algebra.reachable(edges, nodes.where("id = 'c'").select("id"), reverse=True, blockers=nodes.where("id in ('a', 'b')"))
-
-
-@query("SELECT * FROM (VALUES ('a'), ('b'), ('c'), ('d'), ('e'), ('2 / (d + 1)'), ('log(b - a)'), ('max'), ('min'), ('x - 4')) AS t(id)")
-def graph_shrink(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = _own_graph(spark)
-    return algebra.shrunk(nodes, edges, nodes.where("id in ('a', 'b')"), nodes.where("id = 'e'").select("id"))[0].select("id")
-
-
-@query("SELECT 'log(b - a)' AS id, 'formula' AS type")
-def graph_fuzzy_node(spark: SparkSession, sf: str) -> DataFrame:
-    return algebra.find_node(_own_graph(spark)[0], "log").select("id", "type")
-
-
 @query("""WITH t AS (SELECT event_type || '/' || (user_id % 7) || '/' || (event_id % 3) AS path, CAST(round(value * 100) AS BIGINT) AS s FROM events),
 l AS (SELECT path, s, string_split(path, '/') AS p FROM t), e AS (SELECT path, s, array_to_string(list_slice(p, 1, i), '/') AS node FROM l, unnest(range(1, len(p) + 1)) AS u(i))
 SELECT node, CAST(sum(s) AS BIGINT) AS total, CAST(sum(CASE WHEN node = path THEN s ELSE 0 END) AS BIGINT) AS own, CAST(len(string_split(node, '/')) AS INTEGER) AS depth FROM e GROUP BY node""")

@@ -280,3 +280,20 @@ def doc_mixed_types(spark: SparkSession, sf: str) -> DataFrame:
 def doc_cursor_walk(spark: SparkSession, sf: str) -> DataFrame:
     """All pages that a descending cursor walks through."""
     return Q.cursor_walk(_items(spark, sf).where(Q.access(Q.User(2))), 40, "-_id")
+
+
+_TREE = {"$defs": {"node": {"type": "object", "required": ["n"], "properties": {"n": {"type": "number", "exclusiveMaximum": 95}, "kids": {"type": "array", "uniqueItems": True, "items": {"$ref": "#/$defs/node"}}},
+                            "patternProperties": {"^x_": {"oneOf": [{"type": "integer", "multipleOf": 5}, {"type": "integer", "minimum": 40}]}}, "additionalProperties": False}},
+         "$ref": "#/$defs/node", "if": {"properties": {"n": {"minimum": 50}}}, "then": {"required": ["kids"]}, "else": {"maxProperties": 2}}
+
+
+@query("""SELECT event_id, value < 95 AND (value < 50 OR event_id % 2 = 0) AND NOT (event_id % 2 = 0 AND value < 50 AND k % 3 = 0) AND (event_id % 2 = 1 OR user_id % 4 <> 0) AND (k % 3 <> 0 OR ((k % 5 = 0) <> (k >= 40))) AS ok
+FROM (SELECT *, CAST(props->>'k' AS INTEGER) AS k FROM events)""")
+def doc_validate_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Trees against a recursive schema with alternatives, conditions, patterns of keys and unique elements."""
+    e = table(spark, sf, "events").withColumn("k", C.path_value(F.col("props"), "k", "int"))
+    leaf = lambda n: F.struct(n.alias("n"))
+    twice = F.col("user_id") % 4 == 0  # two equal children
+    kids = F.array(F.struct(F.lit(1).alias("n"), F.array(leaf(F.lit(2)), F.when(twice, leaf(F.lit(2))).otherwise(leaf(F.lit(3)))).alias("kids")), F.struct(F.lit(4).alias("n"), F.lit(None).cast("array<struct<n: int>>").alias("kids")))
+    doc = F.to_json(F.struct(F.col("value").alias("n"), F.when(F.col("event_id") % 2 == 0, kids).alias("kids"), F.when(F.col("k") % 3 == 0, F.col("k")).alias("x_k")))
+    return e.select("event_id", Q.valid_documents(doc, F.lit("tree"), {"tree": _TREE}).alias("ok"))

@@ -51,6 +51,43 @@ def graph_reach_tables(spark: SparkSession, sf: str) -> DataFrame:
     return algebra.reachable(edges, nodes.where("id rlike '^N ' and cast(substring(id, 3) as int) % 4 = 1"), reverse=True)
 
 
+_LINKS = """SELECT 'R ' || n_regionkey AS src, 'nat ' || n_nationkey AS dst, n_nationkey AS n FROM nation UNION ALL SELECT 'nat ' || n_nationkey, 'N ' || n_nationkey, n_nationkey FROM nation
+UNION ALL SELECT 'N ' || s_nationkey, 'sup ' || s_suppkey, s_nationkey FROM supplier UNION ALL SELECT 'sup ' || s_suppkey, 'S ' || s_suppkey, s_nationkey FROM supplier
+UNION ALL SELECT 'N ' || c_nationkey, 'cust ' || c_custkey, c_nationkey FROM customer UNION ALL SELECT 'S ' || (c_custkey % 10 + 1), 'cust ' || c_custkey, c_nationkey FROM customer
+UNION ALL SELECT 'cust ' || c_custkey, 'C ' || c_custkey, c_nationkey FROM customer"""
+
+
+@query(f"SELECT src, dst FROM ({_LINKS}) WHERE n % 3 <> 0")
+def graph_subgraph(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of a graph without every third nation: formulas that lose an input go, and those that lose all outputs."""
+    nodes, edges = _geography(spark, sf)
+    return algebra.sub_graph(nodes, edges, nodes.where("not (id rlike '^N ' and cast(substring(id, 3) as int) % 3 = 0)").select("id"))[1].select("src", "dst")
+
+
+@query("""WITH c AS (SELECT * FROM customer WHERE c_custkey % 5 = 1)
+SELECT 'C ' || c_custkey AS id, 0 AS step FROM c UNION ALL SELECT 'cust ' || c_custkey, 1 FROM c UNION ALL SELECT DISTINCT 'N ' || c_nationkey, 2 FROM c UNION ALL SELECT DISTINCT 'S ' || (c_custkey % 10 + 1), 2 FROM c
+UNION ALL SELECT DISTINCT 'nat ' || c_nationkey, 3 FROM c UNION ALL SELECT DISTINCT 'R ' || n_regionkey, 4 FROM c JOIN nation ON c_nationkey = n_nationkey""")
+def graph_ancestors(spark: SparkSession, sf: str) -> DataFrame:
+    """What every fifth customer depends on, not beyond the suppliers."""
+    nodes, edges = _geography(spark, sf)
+    return algebra.reachable(edges, nodes.where("id rlike '^C ' and cast(substring(id, 3) as int) % 5 = 1"), reverse=True, blockers=nodes.where("id rlike '^S '"))
+
+
+@query("""WITH s AS (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey IN (0, 4))
+SELECT DISTINCT unnest(['S ' || s_suppkey, 'sup ' || s_suppkey, 'N ' || n_nationkey, 'nat ' || n_nationkey, 'R ' || n_regionkey]) AS id FROM s""")
+def graph_shrink(spark: SparkSession, sf: str) -> DataFrame:
+    """What all suppliers need, of what two regions can give."""
+    nodes, edges = _geography(spark, sf)
+    inputs = spark.createDataFrame([("R 0",), ("R 4",)], "id string")
+    return algebra.shrunk(nodes, edges, inputs, nodes.where("id rlike '^S '").select("id"))[0].select("id")
+
+
+@query(f"SELECT id, CASE WHEN regexp_matches(id, '^[a-z]') THEN 'formula' ELSE 'data' END AS type FROM (SELECT src AS id FROM ({_LINKS}) UNION SELECT dst FROM ({_LINKS})) WHERE contains(id, 't 1') ORDER BY id LIMIT 1")
+def graph_fuzzy_node(spark: SparkSession, sf: str) -> DataFrame:
+    """The first node by name that contains a text."""
+    return algebra.find_node(_geography(spark, sf)[0], "t 1").select("id", "type")
+
+
 @query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS weight FROM supplier WHERE s_suppkey % 5 <> 0 OR s_suppkey % 3 = 0")
 def graph_union(spark: SparkSession, sf: str) -> DataFrame:
     """Of nodes in both graphs the second graph's hold."""
@@ -160,10 +197,10 @@ def ledger_volume(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.tiered(lines, tiers, volume=True).select("p_partkey", F.col("amount").cast("long").alias("amount"))
 
 
-@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(CAST(6 * i AS INTEGER)) AS interval_from FROM orders, range(0, 4) AS r(i) WHERE o_orderkey % 10 = 1")
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(CAST(6 * i AS INTEGER)) AS interval_from FROM orders, range(0, 4) AS r(i)")
 def ledger_hours(spark: SparkSession, sf: str) -> DataFrame:
     """Intervals of six hours."""
-    rows = table(spark, sf, "orders").where("o_orderkey % 10 = 1").select("o_orderkey", F.to_timestamp_ntz(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("a"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.to_timestamp_ntz(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("a"))
     return ledger.intervals(rows.withColumn("b", F.expr("a + interval 1 day")), "a", "b", **ledger.frequency("6h")).select("o_orderkey", "interval_from")
 
 
