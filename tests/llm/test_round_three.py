@@ -207,3 +207,17 @@ def test_compressed_archives_and_false_digests_are_errors(spark, tmp_path):
 def test_uris():
     assert warc_zip._files("file:/a/b")[1] == warc_zip._files("file:///a/b")[1] == warc_zip._files("/a/b")[1] == "/a/b"
     assert shared.BATCH_BYTES
+
+
+# ---- markup ----
+
+@pytest.mark.parametrize("page,text", [
+    ("<div style='display:none;display:block'>a</div>", "a"), ("<p style=\"content:'display:none'\">a</p>", "a"), ("<p style='display:none!important;display:block'>a</p>b", "b"), ("<p style='display:none;display:12'>a</p>b", "b"),
+    ("<p style='background:url(data:x;display:none)'>a</p>", "a"), ("<p style='visibility:hidden;visibility:visible'>a</p>", "a"), ("<p hidden style='display:block'>a</p>", "a"),
+    ("<span><div>x</span>y</div>", "xy"), ("<span style='display:none'><div>a</span>b</div>", ""), ("<b><p>x</b>y</p>z", "xy\n\nz"), ("<b>x</b>y", "xy"), ("<i><b>x</i>y</b>z", "xyz"),
+    ("<form><input type=submit value='Send it'><input value=no><input type=hidden value=no></form>", "Send it"),
+    ("<ol type=a start=26><li>x<li>y</ol>", "z. x\naa. y"), ("<ol type=I><li>x<li value=1994>y</ol>", "I. x\nMCMXCIV. y"), ("<ol type=i start=0><li>x</ol>", "0. x")])
+def test_markup_as_browsers_take_it(page, text):
+    from weftline.llm.html_text import page_text
+
+    assert page_text(page) == text

@@ -35,6 +35,9 @@ CLOSES_P = frozenset(
 LISTS = frozenset("ul ol menu dir".split())
 #: An end tag or an implied one doesn't reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
+#: Elements at which the search for an ordinary element's end stops, and those whose end leaves open what was opened within them.
+SPECIAL = (BLOCK - frozenset(["legend", "option", "dialog"])) | VOID | RAW | SCOPE | frozenset("applet button colgroup head html marquee noscript object select tbody tfoot thead tr".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 #: What a start tag ends if it is open, and the elements at which the search for it stops.
 IMPLIED_ENDS = {
     "li": (frozenset(["li"]), LISTS | SCOPE), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"]) | SCOPE), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"]) | SCOPE),
@@ -52,8 +55,9 @@ _HEAD_ONLY = frozenset("base link meta title style script noscript template head
 _TOKEN = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|(?P<never>\Z)))|(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<raw>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>)""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _BLANK = re.compile(r"[ \t\n\f\r]+")
-_HIDING = re.compile(r"display\s*:\s*none")
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
+_NO_DECLARATION = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|\([^)]*\)""", re.S)
+_KEYWORD = re.compile(r"[a-z-]+(?: [a-z-]+)*")
+_VISIBILITIES = frozenset(["hidden", "collapse", "visible"])
 #: Characters at which a cell's lines are wrapped, to which lines are indented, and to which columns are aligned.
 _WRAP, _INDENT, _ALIGNED = 80, 80, 400
 
@@ -62,6 +66,35 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTR.finditer(raw)))} if raw.strip(" /\n\t\r\f") else {}
 
 
+def _style(text: str) -> dict[str, str]:
+    """Display and visibility as the last declaration that counts has them; important ones before others."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in _NO_DECLARATION.sub("", text.lower()).split(";"):
+        name, _, value = part.partition(":")
+        value, name = " ".join(value.split()), name.strip()
+        important = value.endswith("important") and "!" in value
+        value = value.partition("!")[0].strip()
+        counts = name == "display" and _KEYWORD.fullmatch(value) or name == "visibility" and value in _VISIBILITIES
+        if counts and (important or not out.get(name, (False,))[0]):
+            out[name] = important, value
+    return {k: v for k, (_, v) in out.items()}
+
+
+def _ordinal(n: int, kind: str) -> str:
+    """A list item's number: as it is, or by letters or Roman numerals as the list's ``type`` says (of what these can count)."""
+    out = str(n)
+    if kind in ("a", "A") and n > 0:
+        out, m = "", n
+        while m:
+            m, r = divmod(m - 1, 26)
+            out = chr(97 + r) + out
+    elif kind in ("i", "I") and 0 < n < 4000:
+        out, m = "", n
+        for value, sign in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split()):
+            out, m = out + sign * (m // value), m % value
+    return out.upper() if kind in ("A", "I") else out
+
+
 def _number(value: str | None, otherwise: int, most: int) -> int:
     found = re.match(r"\s*([+-]?\d+)", value or "")
     return min(int(found[1][:20]), most) if found else otherwise
@@ -213,9 +246,9 @@ class _Renderer:
     def opened(self, tag: str, raw: str) -> tuple:
         """What ``closed`` needs to know of the element: its kind, facts of a cell, and whether it sets visibility."""
         low = raw.lower()
-        attrs = _attributes(raw) if raw and (tag in ("ol", "li", "td", "th", "details", "dialog") or "hidden" in low or "style" in low) else {}
-        style = attrs.get("style", "").lower()
-        hides = tag in UNSEEN or "hidden" in attrs or bool(_HIDING.search(style)) or (tag == "dialog" and "open" not in attrs)
+        attrs = _attributes(raw) if raw and (tag in ("ol", "li", "td", "th", "details", "dialog", "input") or "hidden" in low or "style" in low) else {}
+        style = _style(attrs["style"]) if "style" in attrs else {}
+        hides = tag in UNSEEN or ("hidden" in attrs and "display" not in style) or style.get("display") == "none" or (tag == "dialog" and "open" not in attrs)
         hides = hides or any(tag in inner and self.foreign[outer] for outer, inner in UNSEEN_WITHIN.items())
         if tag == "summary" and not hides and self.shut and self.unseen == self.shut[-1]:
             saved, self.unseen = self.unseen, 0
@@ -224,16 +257,19 @@ class _Renderer:
         if hides or self.unseen:
             self.unseen += 1
             return "unseen", 0, 0, False
-        found = _VISIBILITY.findall(style)
+        found = "visibility" in style
         if found:
-            self.visible.append(found[-1] == "visible")
+            self.visible.append(style["visibility"] == "visible")
         kind, *cell = self._shown(tag, attrs)
-        return kind, *(cell or (0, 0)), bool(found)
+        return kind, *(cell or (0, 0)), found
 
     def _shown(self, tag: str, attrs: dict) -> tuple:
         flow = self.flows[-1]
         if tag == "br":
             flow.break_line(keep_blank=True)
+        elif tag == "input":
+            if attrs.get("type", "").lower() in ("submit", "button", "reset") and self.visible[-1]:
+                flow.text(attrs.get("value", ""), False)
         elif tag in ("td", "th"):
             self.flows.append(_Flow())
             rows = _number(attrs.get("rowspan"), 1, 65534)
@@ -254,13 +290,13 @@ class _Renderer:
         elif tag in BLOCK:
             flow.block(tag in MARGIN and not (tag in LISTS and self.lists))
             if tag in LISTS:
-                self.lists.append([tag, _number(attrs.get("start"), 1, 10**9)])
+                self.lists.append([tag, _number(attrs.get("start"), 1, 10**9), attrs.get("type", "")])
             elif tag == "li":
                 marker = "* "
                 if self.lists and self.lists[-1][0] == "ol":
                     if "value" in attrs:
                         self.lists[-1][1] = _number(attrs["value"], self.lists[-1][1], 10**9)
-                    marker = f"{self.lists[-1][1]}. "
+                    marker = f"{_ordinal(*self.lists[-1][1:])}. "
                     self.lists[-1][1] += 1
                 flow.deeper(" " * len(marker))
                 flow.marker = marker
@@ -395,6 +431,17 @@ def page_text(page: str | None) -> str:
                 open_("p", "")
             if tag == "br":
                 open_("br", "")
+            elif tag in FORMATTING:
+                if (i := find((tag,), SCOPE)) >= 0:
+                    if stack[i][1][3] or not any(t in SPECIAL for t, _ in stack[i + 1 :]):
+                        close_to(i)
+                    else:  # blocks that were opened within it stay open
+                        _, facts = stack.pop(i)
+                        count[tag] -= 1
+                        out.closed(tag, facts)
+            elif tag not in SPECIAL:
+                if (i := find((tag,), SPECIAL)) >= 0:
+                    close_to(i)
             elif tag not in VOID and tag not in ("html", "body") and (i := find((tag,), SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else frozenset(["table"]) - {tag})) >= 0:
                 close_to(i)
             continue
