@@ -37,6 +37,28 @@ def test_entry(spark):
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
 
 
+def test_a_session_that_started_before():
+    """Python workers find the package although their session started without it."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+import sys
+sys.path.insert(0, {str(Path(__spark_entry__.__file__).parent)!r})
+import __spark_entry__
+assert __spark_entry__.queries()["doc_patch_merge"](spark, {SF!r}).count() > 0
+assert __spark_entry__.queries()["doc_patch_merge"](spark, {SF!r}).where("k = -1").count() > 0
+print("found")
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd="/", capture_output=True, text=True, timeout=300)
+    assert "found" in done.stdout, done.stderr[-2000:]
+
+
 def test_balance(spark):
     entries = q_docs._entries(spark, SF)
     groups = {}
