@@ -238,3 +238,19 @@ def test_decorator_bulk_and_copies():
     child.formula(lambda u: u, ["u"], "v", name="id")
     g.model(child, {"x": "u"}, {"v": "z"}, domain=lambda v: v["x"] > 0)
     assert "twice" in other.formulas and "f" not in other.formulas and not other.guards and list(g.guards) == ["m"]
+
+
+def test_columns_that_are_called_like_layers(spark):
+    rows = spark.createDataFrame([(5.0, 6.0, 1, 2, 3)], "a double, b double, __n0 int, __nfar int, _prefix int")
+    assert [tuple(r[c] for c in ("d", "__n0", "__nfar", "_prefix")) for r in fixture().compute(rows, ["d"]).collect()] == [(0.0, 1, 2, 3)]
+
+
+def test_a_domain_waits_for_all_it_is_offered(spark):
+    """The domain of a nested model reads a column that is computed, and one that the model doesn't take."""
+    child = FormulaGraph("child")
+    child.formula(lambda u: u * 10, ["u"], "v", name="ten")
+    g = FormulaGraph("parent")
+    g.formula(lambda a: a + 1, ["a"], "b", name="one")
+    g.model(child, {"a": "u", "b": (), "k": ()}, {"v": "out"}, domain=lambda v: (v["b"] > 2) & (v["k"] == "yes"))
+    rows = spark.createDataFrame([(1, "yes"), (2, "yes"), (2, "no"), (3, None)], "a int, k string")
+    assert [r.out for r in g.compute(rows, ["out"]).collect()] == [None, 20, None, None]

@@ -133,3 +133,27 @@ def test_cursors_walk_over_all_pages(spark, sort):
         seen, ends = seen + ids, ends + [(len(ends) + 1, len(ids), after)]
     assert seen == sorted(range(1, 24), reverse=sort == "-_id")
     assert sorted(map(tuple, Q.cursor_walk(docs, 5, sort).collect())) == ends
+
+
+def test_schemas_that_are_recursive(spark):
+    """References are written out to a depth; a deeper document ends the query instead of being judged by a part of the rules."""
+    schema = {"$defs": {"list": {"type": "object", "properties": {"next": {"$ref": "#/$defs/list"}, "v": {"type": "integer"}}, "additionalProperties": False}}, "$ref": "#/$defs/list"}
+    nested = lambda n, end: '{"next":' * n + end + "}" * n
+    ask = lambda text: spark.createDataFrame([(text,)], "data string").select(Q.valid_documents(F.col("data"), F.lit("x"), {"x": schema}).alias("ok")).first().ok
+    assert ask(nested(4, '{"v":1}')) and not ask(nested(4, '{"v":"1"}')) and not ask(nested(3, '{"w":1}'))
+    with pytest.raises(Exception, match="nested deeper"):
+        ask(nested(9, '{"v":1}'))
+    with pytest.raises(Q.QueryError):
+        Q.valid(F.lit(None), {"$ref": "#/$defs/none"})
+    with pytest.raises(Q.QueryError):
+        Q.valid(F.lit(None), {"$ref": "http://elsewhere"})
+
+
+@pytest.mark.parametrize("rule,good,bad", [
+    ({"oneOf": [{"minimum": 2}, {"maximum": 5}]}, ["1", "9"], ["3"]), ({"contains": {"const": 2}}, ["[1,2]"], ["[1]", "[]"]), ({"uniqueItems": True}, ["[1,2]", '[{"a":1},{"a":2}]'], ['[{"a":1},{"a":1}]']),
+    ({"exclusiveMinimum": 2, "multipleOf": 0.5}, ["2.5"], ["2", "2.6"]), ({"minProperties": 1, "maxProperties": 2}, ['{"a":1}'], ["{}", '{"a":1,"b":2,"c":3}']),
+    ({"patternProperties": {"^n": {"type": "number"}}, "additionalProperties": {"type": "string"}}, ['{"n1":1,"s":"x"}'], ['{"n1":"x"}', '{"s":1}']),
+    ({"if": {"type": "string"}, "then": {"minLength": 2}, "else": {"type": "null"}}, ['"ab"', "null"], ['"a"', "1"]), ({"properties": {"a": False}}, ['{"b":1}'], ['{"a":1}']), ({"anyOf": [True, False]}, ["1"], [])])
+def test_rules_of_schemas(spark, rule, good, bad):
+    df = spark.createDataFrame([(x,) for x in good + bad], "data string")
+    assert [r.ok for r in df.select(Q.valid_documents(F.col("data"), F.lit("x"), {"x": rule}).alias("ok")).collect()] == [True] * len(good) + [False] * len(bad)

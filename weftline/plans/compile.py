@@ -111,15 +111,15 @@ def _first(cases: list[tuple[Column, Column]], otherwise: Column | None = None)
 class _Scope:
     """How the layers' columns are read at the moment: as columns of a table, or as fields of the row of a lambda."""
 
-    def __init__(self, read: Callable[[str], Column]):
-        self.read, self.many = read, 0
+    def __init__(self, read: Callable[[str], Column], prefix: str = "__n"):
+        self.read, self.prefix, self.many = read, prefix, 0
 
 
 class _Layer:
     """A layer's columns by key. Each use reads a column anew, as the scope has it by then."""
 
     def __init__(self, keys: Iterable[str], scope: _Scope):
-        self.scope, self.names = scope, {k: f"__n{scope.many + i}" for i, k in enumerate(keys)}
+        self.scope, self.names = scope, {k: f"{scope.prefix}{scope.many + i}" for i, k in enumerate(keys)}
         scope.many += len(self.names)
 
     def __contains__(self, key: str) -> bool:
@@ -339,9 +339,17 @@ def lenient(spark: SparkSession, on: bool = True):
 _OPEN_FORMULAS = 3
 
 
+def _prefix(df: DataFrame) -> str:
+    """How the layers' columns are called, so that none is called like one of the table's."""
+    out = "__n"
+    while any(c.startswith(out) for c in df.columns):
+        out = f"_{out}"
+    return out
+
+
 def _layered(df: DataFrame, steps) -> tuple[DataFrame, object]:
     """Each layer as a projection of ``df``; columns that nothing needs any more are pruned by Catalyst."""
-    scope, send = _Scope(F.col), None
+    scope, send = _Scope(F.col, _prefix(df)), None
     while True:
         try:
             layer = steps.send(send)
@@ -473,10 +481,11 @@ def _selected(graph: FormulaGraph, wide: DataFrame, df: DataFrame, at: dict[str,
         # Rows that have all outputs stop at the farthest of them, and at ties after it by name.
         every = _all([shown[x].d.isNotNull() for x in outputs])
         far = F.greatest(*[shown[x].d for x in outputs]) if len(outputs) > 1 else shown[outputs[0]].d
-        wide = wide.select("*", F.when(every, far).alias("__far"))
-        last = _first([(shown[x].d == F.col("__far"), F.lit(x)) for x in sorted(outputs, reverse=True)])
-        wide = wide.select("*", last.alias("__last"))
-        seen = {x: F.when(F.col("__far").isNull() | (d < F.col("__far")) | ((d == F.col("__far")) & (F.lit(x) <= F.col("__last"))), d) for x, d in seen.items()}
+        at_most, at_last = f"{_prefix(df)}far", f"{_prefix(df)}last"
+        wide = wide.select("*", F.when(every, far).alias(at_most))
+        last = _first([(shown[x].d == F.col(at_most), F.lit(x)) for x in sorted(outputs, reverse=True)])
+        wide = wide.select("*", last.alias(at_last))
+        seen = {x: F.when(F.col(at_most).isNull() | (d < F.col(at_most)) | ((d == F.col(at_most)) & (F.lit(x) <= F.col(at_last))), d) for x, d in seen.items()}
     other = [wide[c] for c in df.columns if c not in graph.data_nodes and not (c.endswith("*") and c[:-1] in wild)]
     columns = {x: F.when(seen[x].isNotNull(), s.v) for x, s in shown.items()}
     if lineage:

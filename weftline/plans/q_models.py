@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import columns as C
 from weftline.operators import algebra, latebound
+from weftline.plans.graph import FormulaGraph
 from weftline.plans.q_dispatch import query, rounded
-from weftline.sources.tables import stream, table
-from weftline.streaming import credits
+from weftline.sources import graphs
+from weftline.sources.tables import shared_dir, stream, table
+from weftline.streaming import credits, models
 
 
 def _weighted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -85,3 +89,36 @@ def stream_balances(spark: SparkSession, sf: str) -> DataFrame:
     entries = events.select("user_id", at.alias("at"), F.col("event_id").alias("id"), F.when(F.col("event_type") == "purchase", -amount).otherwise(amount).alias("credits"), expires.alias("expires"))
     out = credits.run_available(credits.balances(entries, ["user_id"], "30 days"))
     return out.where("id is not null").select("user_id", F.col("id").alias("event_id"), "balance")
+
+
+@query("SELECT event_id, round(CASE WHEN value > 50 THEN value * 2 ELSE value + user_id END, 6) AS score, CASE WHEN value > 50 THEN 'twice' ELSE 'with user' END AS way FROM events")
+def stream_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph on a stream of events: each row takes its own way, as in a table."""
+    g = FormulaGraph("score")
+    g.formula(lambda value: value * 2, ["value"], "score", name="twice", domain=lambda value: value > 50)
+    g.formula(lambda value, user_id: value + user_id, ["value", "user_id"], "score", name="with user", weight=3)
+    out = models.compute_stream(stream(spark, sf, "events").select("event_id", "value", "user_id"), g, ("score",), lineage=True)
+    step = F.filter("workflow", lambda s: s["node"] == "score")[0]["formula"]
+    return rounded(credits.run_available(out.select("event_id", "score", step.alias("way"))), "score")
+
+
+@query("SELECT p_partkey, round(p_size * 0.0254::DOUBLE, 9) AS metres, p_size * 10 + 1 AS tenfold FROM part")
+def dispatch_stored_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A model that was written as a specification, read back and given default values from a table."""
+    g = graphs.load({"data": [{"name": "one", "default": 7}], "formulas": [{"build": "$1 * 0.0254D", "inputs": ["size"], "outputs": ["metres"], "name": "inch to metre"},
+                                                                           {"build": "$1 * 10 + $2", "inputs": ["size", "one"], "outputs": ["tenfold"], "name": "tenfold"}]})
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    graphs.write_spec(spark, g, path)
+    g = graphs.set_defaults(graphs.read_spec(spark, path), spark.createDataFrame([("one", "1", 0.0)], "id string, value string, distance double"))
+    return rounded(g.compute(table(spark, sf, "part").select("p_partkey", F.col("p_size").alias("size")), ["metres", "tenfold"]), "metres", digits=9).select("p_partkey", "metres", "tenfold")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE 'old' END AS status, CASE WHEN o_custkey % 3 = 0 THEN o_totalprice ELSE -1 END AS price, o_custkey AS kept FROM orders")
+def nested_merge_known(spark: SparkSession, sf: str) -> DataFrame:
+    """Structs merged deeply by built-in functions: right values hold where there are any."""
+    o = table(spark, sf, "orders")
+    left = F.struct(F.struct(F.lit("old").alias("status"), F.lit(-1.0).alias("price")).alias("facts"), F.col("o_custkey").alias("kept"))
+    right = F.struct(F.struct(F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderstatus")).alias("status"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_totalprice")).alias("price")).alias("facts"),
+                     F.lit(None).cast("long").alias("kept"))
+    merged = C.merge_known(left, right, {"facts": {"status": "string", "price": "double"}, "kept": "long"})
+    return o.select("o_orderkey", merged.alias("m")).select("o_orderkey", F.col("m.facts.status").alias("status"), F.col("m.facts.price").alias("price"), F.col("m.kept").alias("kept"))
