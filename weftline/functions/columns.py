@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import operator
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,34 +105,43 @@ def _children() -> DataFrame:
     return SparkSession.active().tvf.variant_explode(F.col("__v").outer()).select("key", F.col("value").alias("child"))
 
 
-def merge_json(*columns: Column) -> Column:
+def merge_json(*columns: Column, depth: int = 12) -> Column:
     """JSON objects merged deeply; of two values at one path the right one holds, a right null takes the key away.
 
-    A value that is not an object replaces what was there, and an object replaces a value that is not one.
+    A value that is not an object replaces what was there, an array does so as a whole, and an object replaces a value
+    that is not one. A NULL column is passed over, so that the first text there is stays as it is, its nulls included.
+    The result is canonical JSON: keys sorted, numbers of up to 38 digits exact. Text that isn't JSON, and an object with
+    a key twice, end the query with an error; so do right objects that are nested deeper than ``depth``, as each
+    level is written out once.
     """
-    @F.pandas_udf("string")
-    def merged(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for parts in batches:
-            yield pd.Series([_merge_row(row) for row in zip(*parts)])
+    def both(left: Column, right: Column) -> Column:
+        return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(merge_variants(left, right, depth))
 
-    return merged(*columns)
+    first, *others = [F.parse_json(c) for c in columns]
+    if len(others) > 1:  # written out once, however many there are
+        return F.to_json(F.aggregate(F.array(*others), first, both))
+    return F.to_json(both(first, *others) if others else first)
 
 
-def _merge_row(row: tuple) -> str | None:
-    values = [json.loads(x) for x in row if isinstance(x, str)]
-    return json.dumps(reduce(_merge, values), separators=(",", ":"), ensure_ascii=False) if values else None
+def _entries(value: Column) -> Column:
+    """The keys and values of a variant that is an object, NULL for any other."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def _merge(left, right):
-    if not isinstance(right, dict):
-        return right
-    out = dict(left) if isinstance(left, dict) else {}
-    for k, v in right.items():
-        if v is None:
-            out.pop(k, None)
-        else:
-            out[k] = _merge(out.get(k), v)
-    return out
+def merge_variants(left: Column, right: Column, depth: int = 12) -> Column:
+    """Two variants merged as ``merge_json`` does, ``right`` not NULL: key by key where both are objects, level by level.
+
+    A left variant that is NULL or no object counts as an empty one, so that the nulls of a new object go too.
+    """
+    if depth == 0:
+        return F.when(_entries(right).isNull(), right).otherwise(F.raise_error(F.lit("objects are nested deeper than the merge is written out")).cast("variant"))
+
+    def value(_: Column, x: Column, y: Column) -> Column:
+        return F.when(y.isNull(), x).when(F.is_variant_null(y), F.lit(None)).otherwise(merge_variants(x, y, depth - 1))
+
+    old = F.coalesce(_entries(left), F.expr("cast(map() as map<string,variant>)"))
+    merged = F.map_filter(F.map_zip_with(old, _entries(right), value), lambda k, v: v.isNotNull())
+    return F.when(_entries(right).isNull(), right).otherwise(F.to_variant_object(merged))
 
 
 #: A whole JSON string; from its opening quote on, so that no search begins within one.

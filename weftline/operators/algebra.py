@@ -73,11 +73,12 @@ def computable(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, max_steps:
 def distances(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, max_steps: int = 1000) -> DataFrame:
     """``id, distance, via`` of all that can be had from ``inputs`` (``id, distance``) and ``START``: shortest ways where formulas wait for all inputs.
 
-    ``edges`` has ``src, dst, length``, no length below 0. A formula is as far as its farthest input with the way into it; a
+    ``edges`` has ``src, dst, length``; lengths may be negative, and a way round that gets shorter each time is an error. A formula is as far as its farthest input with the way into it; a
     column is as far as its nearest formula with the way out of it, of several the first by name (``via``; NULL for inputs).
 
     Label-correcting: each step takes formulas that read a column which has just come nearer, and what they give. Distances
-    only shrink, so steps are appended and the least of a node's distances holds; cycles end as no way round is shorter.
+    only shrink, so steps are appended and the least of a node's distances holds. A shortest way calls no formula twice, so
+    what still shrinks after as many steps as there are formulas goes round in a cycle.
     """
     formulas = materialize(nodes.where("type = 'formula'").select("id"))
     links = edges.select("src", "dst", F.col("length").cast("double").alias("length"))
@@ -89,8 +90,8 @@ def distances(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, max_steps:
     start = formulas.sparkSession.range(1).select(F.lit("START").alias("id"), F.lit(0.0).alias("distance"), none.alias("via"))
     nearest = lambda df: df.groupBy("id").agg(F.min(F.struct("distance", "via")).alias("__m")).select("id", "__m.*")
     parts = [materialize(nearest(given.unionByName(plain).unionByName(start)))]
-    fresh = parts[0]
-    for _ in range(max_steps):
+    fresh, most = parts[0], formulas.count() + 1
+    for _ in range(min(max_steps, most)):
         known = nearest(reduce(DataFrame.unionByName, parts))
         touched = needs.join(fresh.select(F.col("id").alias("src")), "src", "left_semi").select("dst").distinct()
         inward = needs.join(touched, "dst", "left_semi").join(known.select(F.col("id").alias("src"), "distance"), "src", "left")
@@ -105,6 +106,8 @@ def distances(nodes: DataFrame, edges: DataFrame, inputs: DataFrame, max_steps:
         if len(parts) == 32:
             parts = [materialize(nearest(reduce(DataFrame.unionByName, parts)))]
         parts.append(fresh)
+    if most <= max_steps:
+        raise ValueError("contradictory paths: a way round gets shorter each time")
     raise RuntimeError(f"columns are farther than {max_steps} formulas")
 
 

@@ -261,6 +261,23 @@ def _choices(graph: FormulaGraph, nodes: list[Data], made: dict[str, _Call], sta
     return {x: _State(got, x) for x in chosen}
 
 
+def _potentials(graph: FormulaGraph, group: list[str], inner: list[str]) -> dict[str, float]:
+    """Numbers to take off the distances of a cycle's columns so that each step leads no nearer; none if all lengths are 0 or more.
+
+    A way round that is shorter than nothing has no shortest path: a ``ValueError``.
+    """
+    steps = [(u, v, f.input_length(u) + f.output_length(graph.data_nodes[v])) for f in map(graph.formulas.get, inner) for u in f.inputs for v in f.outputs if u in group and v in group]
+    if all(length >= 0 for *_, length in steps):
+        return {}
+    low = dict.fromkeys(group, 0.0)
+    for _ in group:
+        for u, v, length in steps:
+            low[v] = min(low[v], low[u] + length)
+    if any(low[u] + length < low[v] for u, v, length in steps):
+        raise ValueError(f"contradictory paths: a way round {sorted(group)} gets shorter each time")
+    return low
+
+
 def _settled(graph: FormulaGraph, starts: dict[str, _State], raises: str, named: bool):
     """All layers of a graph; returns the state of each data column and the calls of each formula."""
     at: dict[str, _State] = {}
@@ -275,13 +292,15 @@ def _settled(graph: FormulaGraph, starts: dict[str, _State], raises: str, named:
             at |= yield from _choices(graph, nodes, {f: results[f] for f in inner if f in results}, starts)
             continue
         state: dict[str, _State] = {}
-        for turn in range(len(group)):
+        low = _potentials(graph, group, inner)
+        height = lambda x, d: d - F.lit(low[x]) if low else d
+        for turn in range(len(group) + bool(low)):  # with negative lengths the last round only looks for contradictions
             # After the first round only formulas that read the group can have news.
             open_ = [f for f in inner if f not in results or set(graph.formulas[f].inputs) & set(group)]
             results |= yield from _calls(graph, open_, at | state, {f: results[f] for f in open_ if f in results}, raises, named)
             chosen = yield from _choices(graph, nodes, {f: results[f] for f in inner if f in results}, starts)
             # The nearest columns that aren't settled yet are settled in this round.
-            waiting = [F.when(state[x].d.isNull(), c.d) if x in state else c.d for x, c in chosen.items()]
+            waiting = [F.when(state[x].d.isNull(), height(x, c.d)) if x in state else height(x, c.d) for x, c in chosen.items()]
             # A lambda ends the generated method here: all rounds in one would be too large for the JVM to compile.
             near = F.transform(F.array(_least(waiting)), lambda d: d)[0] if waiting else None
             nearest = yield {f"{group[0]}|near": near} if waiting else {}
@@ -290,7 +309,10 @@ def _settled(graph: FormulaGraph, starts: dict[str, _State], raises: str, named:
             for x, c in chosen.items():
                 was = state.get(x)
                 for k in "dfv":
-                    step[f"{x}|{k}"] = _first([*([(was.d.isNotNull(), getattr(was, k))] if was else []), (c.d == near, getattr(c, k))])
+                    kept = [(was.d.isNotNull(), getattr(was, k))] if was else []
+                    if was and low and k == "d":
+                        kept.insert(0, (c.d < was.d, F.raise_error(F.lit(f"contradictory paths: {x} is nearer than it was taken for")).cast("double")))
+                    step[f"{x}|{k}"] = _first([*kept, (height(x, c.d) == near, getattr(c, k))])
             got = yield step
             state = {x: _State(got, x) for x in chosen}
         at |= state

@@ -78,10 +78,14 @@ def _names(x: str | Iterable[str] | None) -> tuple[str, ...]:
 
 
 class FormulaGraph:
-    """A set of data columns and formulas. The verbs change the graph and return the names they gave."""
+    """A set of data columns and formulas. The verbs change the graph and return the names they gave.
 
-    def __init__(self, name: str = "", description: str = ""):
-        self.name, self.description = name, description
+    Negative weights need ``negative_weights``: a shortest way then is the least sum, whichever column is settled first, and a
+    way round that gets shorter each time is an error when the graph is compiled.
+    """
+
+    def __init__(self, name: str = "", description: str = "", negative_weights: bool = False):
+        self.name, self.description, self.negative_weights = name, description, negative_weights
         self.data_nodes: dict[str, Data] = {}
         self.formulas: dict[str, Formula] = {}
         #: Domains of nested models: name -> (domain, the columns that it gets).
@@ -121,7 +125,7 @@ class FormulaGraph:
         if "filters" in facts:
             facts["filters"] = tuple(facts["filters"])
         made = Formula(name, build, inputs, outputs, **facts)
-        if any(w < 0 for w in (made.weight, *made.input_weights.values(), *made.output_weights.values())):
+        if not self.negative_weights and any(w < 0 for w in (made.weight, *made.input_weights.values(), *made.output_weights.values())):
             raise ValueError(f"contradictory paths: {name!r} has a negative weight")
         for x in (*inputs, *outputs):
             if x not in (START, SINK):
@@ -240,11 +244,16 @@ class FormulaGraph:
         return f
 
     def plan(self, given: Iterable[str], distances: dict[str, float] | None = None) -> list[tuple[float, str, str]]:
-        """``(distance, column, formula)`` in the order of visits if all domains hold and nothing fails; no data needed."""
+        """``(distance, column, formula)`` in the order of visits if all domains hold and nothing fails; no data needed.
+
+        Weights may be negative: where a later visit comes nearer, what it leads to is settled anew. Ways that get shorter
+        without end are a ``ValueError``.
+        """
         distances, settled, called = distances or {}, {}, set()
         given = dict.fromkeys(given)
         offers = [(distances.get(x, 0.0), x, START) for x in given if x in self.data_nodes]
         offers += [(d.distance + distances.get(x, 0.0), x, START) for x, d in self.data_nodes.items() if d.default is not None and x not in given]
+        starts = {x: d for d, x, _ in sorted(offers, reverse=True)}
         heapq.heapify(offers)
         visits = []
 
@@ -265,7 +274,7 @@ class FormulaGraph:
                 settled[x] = d
                 visits.append((d, x, f))
                 call()
-        return visits
+        return corrected(self, starts, visits) if any(length < 0 for *_, length in self.edges()) else visits
 
     def find(self, text: str) -> str:
         """The column or formula of that name, else the first by name that contains the text."""
@@ -290,3 +299,20 @@ class FormulaGraph:
         return [(d.name, "data", float(d.weight), d.merge is not None, d.description) for d in self.data_nodes.values()] + [
             (f.name, "formula", float(f.weight), True, f.description) for f in self.formulas.values()]
 
+
+def corrected(graph: FormulaGraph, starts: dict[str, float], visits: list[tuple[float, str, str]]) -> list[tuple[float, str, str]]:
+    """Visits by their shortest ways where lengths may be negative: relaxed until nothing changes, as often as there are columns."""
+    best = {x: (d, f) for d, x, f in visits}
+    for _ in range(len(best) + 1):
+        new = {x: (d, START) for x, d in starts.items()}
+        for f in sorted(graph.formulas.values(), key=lambda f: f.name):
+            if all(x in best for x in f.inputs):
+                at = max(((best[x][0], x) for x in f.inputs), default=None)
+                d = at[0] + f.input_length(at[1]) if at else f.weight
+                for x in f.outputs:
+                    if x in best and (x not in new or d + f.output_length(graph.data_nodes[x]) < new[x][0]):
+                        new[x] = (d + f.output_length(graph.data_nodes[x]), f.name)
+        if new == best:
+            return sorted((d, x, f) for x, (d, f) in best.items())
+        best = new
+    raise ValueError("contradictory paths: a way round gets shorter each time")

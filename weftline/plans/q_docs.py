@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,8 @@ from weftline.functions import distance
 from weftline.operators import algebra, ledger
 from weftline.operators import docquery as Q
 from weftline.plans.q_dispatch import query
-from weftline.sources.tables import table
+from weftline.sources import ordered
+from weftline.sources.tables import shared_dir, table
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,6 +109,41 @@ def doc_patch_merge(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", F.coalesce(C.path_value(F.col("m"), "k", "int"), F.lit(-1)).alias("k"), C.path_value(F.col("m"), "extra", "int").alias("extra"), F.coalesce(C.path_value(F.col("m"), "deep.b"), F.lit("")).alias("b"))
 
 
+@query("""WITH m AS (SELECT doc_id, json_merge_patch(json_object('a', json_object('source', source, 'n', n_chars, 'deep', json_object('lang', lang, 'z', 1)), 'list', json('[1,{"x":null}]')),
+  CASE doc_id % 4 WHEN 0 THEN json('{"a":null,"b":{"c":{"d":null,"e":[null]}}}') WHEN 1 THEN json_object('a', json_object('deep', json_object('lang', NULL, 'new', json_object('y', doc_id))), 'list', json('[2]'))
+    WHEN 2 THEN json('{"a":5,"list":{"first":{"second":null}}}') ELSE json('{"a":{"source":{"is":"object"},"n":null}}') END) AS m FROM documents)
+SELECT doc_id, m->>'$.a.source' AS source, coalesce(CAST(m->>'$.a.n' AS BIGINT), -1) AS n, m->>'$.a.deep.lang' AS lang, coalesce(CAST(m->>'$.a.deep.new.y' AS BIGINT), -1) AS y, coalesce(CAST(m->>'$.a.deep.z' AS BIGINT), -1) AS z,
+  m->>'$.b.c' AS c, m->>'$.list' AS list, CASE WHEN json_type(m, '$.a') = 'OBJECT' THEN NULL ELSE m->>'$.a' END AS a FROM m""")
+def doc_deep_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects merged at any level: null against object, object against scalar and array, arrays as a whole."""
+    d = table(spark, sf, "documents")
+    facts = F.struct("source", F.col("n_chars").alias("n"), F.struct("lang", F.lit(1).alias("z")).alias("deep"))
+    left = F.concat(F.lit('{"a":'), F.to_json(facts, {"ignoreNullFields": "false"}), F.lit(',"list":[1,{"x":null}]}'))
+    case = F.col("doc_id") % 4
+    right = (F.when(case == 0, F.lit('{"a":null,"b":{"c":{"d":null,"e":[null]}}}')).when(case == 1, F.format_string('{"a":{"deep":{"lang":null,"new":{"y":%d}}},"list":[2]}', "doc_id"))
+             .when(case == 2, F.lit('{"a":5,"list":{"first":{"second":null}}}')).otherwise(F.lit('{"a":{"source":{"is":"object"},"n":null}}')))
+    m = F.col("m")
+    at = lambda path, kind="string": C.path_value(m, path, kind)
+    number = lambda path: F.coalesce(at(path, "bigint"), F.lit(-1))
+    part = lambda path: F.coalesce(at(path), F.to_json(F.try_variant_get(F.try_parse_json(m), f"$.{path}", "variant")))
+    return d.select("doc_id", C.merge_json(left, right).alias("m")).select(
+        "doc_id", part("a.source").alias("source"), number("a.n").alias("n"), at("a.deep.lang").alias("lang"), number("a.deep.new.y").alias("y"), number("a.deep.z").alias("z"),
+        part("b.c").alias("c"), part("list").alias("list"), F.when(~at("a").startswith("{"), at("a")).alias("a"))
+
+
+@query(f"""WITH i AS (SELECT category, updated_at, _id FROM ({_ITEMS}))
+SELECT * FROM (SELECT 'newest' AS page, _id, updated_at FROM i WHERE category = 'en' ORDER BY updated_at DESC, _id DESC LIMIT 20 OFFSET 30)
+UNION ALL SELECT * FROM (SELECT 'oldest', _id, updated_at FROM i WHERE category = 'en' ORDER BY updated_at, _id LIMIT 20 OFFSET 10)
+UNION ALL SELECT * FROM (SELECT 'behind', _id, updated_at FROM i WHERE category = 'de' AND (updated_at > 500 OR (updated_at = 500 AND _id > 10)) ORDER BY updated_at, _id LIMIT 20)""")
+def doc_ordered_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages by offset and by cursor from documents that are laid out by category and time, each read by its bounds."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    ordered.write_ordered(_items(spark, sf), path)
+    pages = {"newest": ordered.ordered_page(spark, path, "en", 20, 30, descending=True), "oldest": ordered.ordered_page(spark, path, "en", 20, 10),
+             "behind": ordered.ordered_after(spark, path, "de", (500, 10), 20)}
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("page"), "_id", "updated_at") for name, rows in pages.items()])
+
+
 def _refs(spark: SparkSession, sf: str) -> DataFrame:
     ref = lambda n: F.concat(F.lit('{"$ref": "/files/'), n, F.lit('"}'))
     name = lambda x: F.concat(F.lit("f"), (F.col("page_id") % x).cast("string"))

@@ -51,6 +51,20 @@ def graph_distances(spark: SparkSession, sf: str) -> DataFrame:
     return algebra.distances(nodes, edges, spark.createDataFrame(_REGIONS, "id string, distance double"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN b IS NOT NULL THEN 2 * b - 1 WHEN a IS NOT NULL THEN a + 1 END, 6) AS x, round(CASE WHEN b IS NOT NULL THEN 2 * b WHEN a IS NOT NULL THEN a + 11 END, 6) AS y
+FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice END AS b FROM lineitem)""")
+def dispatch_negative(spark: SparkSession, sf: str) -> DataFrame:
+    """A cycle with a negative length: where both are given, x is nearer by the farther y than from a."""
+    g = FormulaGraph("negative", negative_weights=True)
+    g.formula(lambda a: a + 1, ["a"], "x", name="x of a", weight=1)
+    g.formula(lambda b: b * 2, ["b"], "y", name="y of b", weight=3)
+    g.formula(lambda y: y - 1, ["y"], "x", name="x of y", weight=-5)
+    g.formula(lambda x: x + 10, ["x"], "y", name="y of x", weight=2)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")).alias("a"),
+                                               F.when(F.col("l_linenumber") % 2 == 0, F.col("l_extendedprice")).alias("b"))
+    return rounded(g.compute(rows, ["x", "y"]), "x", "y").select("l_orderkey", "l_linenumber", "x", "y")
+
+
 _MODELS = {
     "click": {"formulas": [{"build": "$1 * 2", "inputs": ["value"], "outputs": ["x"], "name": "twice"}, {"build": "$1 + 1", "inputs": ["x"], "outputs": ["score"], "name": "one more"}]},
     "purchase": {"data": [{"name": "rate", "default": 0.25}], "formulas": [
