@@ -170,3 +170,14 @@ def test_ordered_layout_against_a_sort(spark, tmp_path):
     assert "GreaterThanOrEqual(updated_at" in page._jdf.queryExecution().executedPlan().toString()
     ordered.write_ordered(df.limit(0), str(tmp_path / "none"))
     assert ordered.ordered_page(spark, str(tmp_path / "none"), "hot", 5).collect() == []
+
+
+def test_paths_are_made(spark):
+    """Missing objects are made, what is there stays, and nothing is made behind what is no object."""
+    make = lambda doc, path, new="1": tuple(spark.range(1).select(C.path_or_create(F.lit(doc).cast("string"), path, F.lit(new)).alias("m")).first().m)
+    assert make("{}", "a.b.c") == ('{"a":{"b":{"c":1}}}', "1")
+    assert make('{"a":{"x":2}}', "a.b", '{"z":[]}') == ('{"a":{"b":{"z":[]},"x":2}}', '{"z":[]}')
+    assert make('{"a":{"b":null}}', "a.b") == ('{"a":{"b":null}}', "null") and make('{"a":[1]}', "a") == ('{"a":[1]}', "[1]")
+    assert make('{"a":5}', "a.b.c") == ('{"a":5}', None) and make("[1]", "a") == ("[1]", None) and make('{"a":null}', "a.b") == ('{"a":null}', None)
+    assert make(None, "a") == (None, None) and make("{}", "a.b", '{"n":null}') == ('{"a":{"b":{"n":null}}}', '{"n":null}')
+    assert make('{"a.b":{}}', ["a.b", "c"]) == ('{"a.b":{"c":1}}', "1")

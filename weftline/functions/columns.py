@@ -123,6 +123,10 @@ def merge_json(*columns: Column, depth: int = 12) -> Column:
     return F.to_json(both(first, *others) if others else first)
 
 
+#: The keys and values of an empty object.
+_NOTHING = "cast(map() as map<string,variant>)"
+
+
 def _entries(value: Column) -> Column:
     """The keys and values of a variant that is an object, NULL for any other."""
     return F.try_variant_get(value, "$", "map<string,variant>")
@@ -139,11 +143,28 @@ def merge_variants(left: Column, right: Column, depth: int = 12) -> Column:
     def value(_: Column, x: Column, y: Column) -> Column:
         return F.when(y.isNull(), x).when(F.is_variant_null(y), F.lit(None)).otherwise(merge_variants(x, y, depth - 1))
 
-    old = F.coalesce(_entries(left), F.expr("cast(map() as map<string,variant>)"))
+    old = F.coalesce(_entries(left), F.expr(_NOTHING))
     merged = F.map_filter(F.map_zip_with(old, _entries(right), value), lambda k, v: v.isNotNull())
     return F.when(_entries(right).isNull(), right).otherwise(F.to_variant_object(merged))
 
 
+def path_or_create(value: Column, path: str | list[str], default: Column) -> Column:
+    """``(document, value)``: a JSON object with a path made where it wasn't there, and the JSON text at that path.
+
+    ``default`` is JSON text for a path that is missing, whose missing objects on the way are made, too. What is there stays, be it
+    a null. Where something on the way is no object nothing is made: the document stays and the value is NULL; a NULL document stays, too.
+    """
+    keys = _keys(path)
+    doc, made = F.parse_json(value), F.parse_json(default)
+    on_the_way = [doc, *[F.try_variant_get(doc, json_path(*keys[:i]), "variant") for i in range(1, len(keys))]]
+    for k, x in reversed(list(zip(keys, on_the_way))):
+        others = F.map_filter(F.coalesce(_entries(x), F.expr(_NOTHING)), lambda name, _: name != k)
+        made = F.to_variant_object(F.map_concat(others, F.create_map(F.lit(k), made)))
+    blocked = reduce(operator.or_, [x.isNotNull() & _entries(x).isNull() for x in on_the_way])
+    new = F.when(doc.isNull() | blocked | path_exists(value, keys), doc).otherwise(made)
+    return F.struct(F.to_json(new).alias("document"), F.to_json(F.try_variant_get(new, json_path(*keys), "variant")).alias("value"))
+
+
 #: A whole JSON string; from its opening quote on, so that no search begins within one.
 _STRING = r'"(?:[^"\\]|\\.)*+"'
 

@@ -13,7 +13,7 @@ from weftline.functions import distance
 from weftline.operators import algebra, ledger
 from weftline.operators import docquery as Q
 from weftline.plans.q_dispatch import query
-from weftline.sources import ordered
+from weftline.sources import ordered, sheets
 from weftline.sources.tables import shared_dir, table
 
 
@@ -144,6 +144,41 @@ def doc_ordered_pages(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("page"), "_id", "updated_at") for name, rows in pages.items()])
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN NULL WHEN doc_id % 4 = 0 THEN lang ELSE 'new ' || source END AS there, CASE doc_id % 4 WHEN 2 THEN 'text' END AS meta, n_chars AS kept FROM documents""")
+def nested_get_or_create(spark: SparkSession, sf: str) -> DataFrame:
+    """The value at a path, made where it is missing: in an object without the key, without the object, behind a text."""
+    d, case = table(spark, sf, "documents"), F.col("doc_id") % 4
+    meta = F.when(case == 0, F.concat(F.lit(',"meta":{"lang":"'), "lang", F.lit('"}'))).when(case == 1, F.lit(',"meta":{}')).when(case == 2, F.lit(',"meta":"text"')).otherwise(F.lit(""))
+    data = F.concat(F.lit('{"n":'), F.col("n_chars").cast("string"), meta, F.lit("}"))
+    made = d.select("doc_id", C.path_or_create(data, "meta.lang", F.concat(F.lit('"new '), "source", F.lit('"'))).alias("m"))
+    text = C.path_value(F.col("m.document"), "meta")
+    return made.select("doc_id", C.path_value(F.col("m.document"), "meta.lang").alias("there"), F.when(~text.startswith("{"), text).alias("meta"), C.path_value(F.col("m.document"), "n", "bigint").alias("kept"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def sheet_nation(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations written as a workbook and read back."""
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return _through_sheets(spark, rows)
+
+
+@query("""SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last,
+  CAST(sum(o_orderkey % 1000) AS BIGINT) AS keys FROM orders GROUP BY 1""")
+def sheet_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders written as workbooks, read back in ranges of rows and added up: numbers, times and texts."""
+    read = _through_sheets(spark, table(spark, sf, "orders"))
+    day = F.col("o_orderdate").cast("date")
+    return read.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min(day).cast("string").alias("first"), F.max(day).cast("string").alias("last"),
+                                               F.sum(F.col("o_orderkey") % 1000).alias("keys"))
+
+
+def _through_sheets(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    sheets.register(spark)
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    rows.write.format("sheets").mode("append").save(path)
+    return spark.read.format("sheets").schema(rows.schema).load(path)
+
+
 def _refs(spark: SparkSession, sf: str) -> DataFrame:
     ref = lambda n: F.concat(F.lit('{"$ref": "/files/'), n, F.lit('"}'))
     name = lambda x: F.concat(F.lit("f"), (F.col("page_id") % x).cast("string"))
