@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.llm import fill_middle, prefix_trie, shared, warc_zip
+from weftline.llm import fill_middle, line_join, prefix_trie, shared, warc_zip
 
 PAGES = "page_id long, url string, html string, digest string, __digest string, path string"
 
@@ -221,3 +221,33 @@ def test_markup_as_browsers_take_it(page, text):
     from weftline.llm.html_text import page_text
 
     assert page_text(page) == text
+
+
+def _edits(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
+def test_near_copies_of_one_line_cost_their_number(spark, monkeypatch):
+    """Variants of one line, each with a word changed, are told apart by pivots: few candidates, no link lost, doubled letters included."""
+    rng = random.Random(11)
+    monkeypatch.setattr(line_join, "_GROUP", 16)
+    base = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(20))
+    lines = set()
+    while len(lines) < 150:
+        at = rng.choice([i for i, c in enumerate(base) if c == " "])
+        lines.add(base[:at] + "".join(rng.choice("aehinorst") for _ in range(4)) + base[at:])
+    lines |= {base, base[1:], base + "x", base[:7] + base[9:], base[:7] + base[6] + base[6:]}
+    rows = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(sorted(lines))], "line_id long, line string, n int")
+    names = dict(enumerate(sorted(lines)))
+    found, _ = line_join._candidates(rows, 2, 0.8, 1000)
+    many = sum(d.count() for d in found)
+    got = {(r.a, r.b) for r in line_join.line_links(rows).collect()}
+    near = lambda a, b: abs(len(a) - len(b)) <= 2 and _edits(a, b) <= 2
+    assert got == {(i, j) for i in names for j in names if i < j and near(names[i], names[j])}
+    assert many < len(lines) * 20  # all pairs are 11,935; three keys each, filtered by letters, gave more than that

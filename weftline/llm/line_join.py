@@ -8,10 +8,11 @@ segments and probes the index by them, shifted by so much. A line near its bucke
 below, too.
 
 What meets under a key is filtered by letter counts within the join and verified by a banded bit-parallel edit distance.
-The lines of a key with very many are taken apart first: what is left of them without the segment is within the same
-edits, so those rests are joined in the same way under that key. That parts lines that share an opening; variants of one
-line, equal but for a word, it parts only by half, so the limit grows with each turn, and what still meets is compared
-in blocks that are tasks of their own.
+The lines of a key with many are told apart by one of them, the pivot. Two lines that leave the pivot at different
+places, from the start and from the end, differ first where the earlier one leaves it, and last where the later one
+comes back to it: so both edits are known, and each line is made into a few variants that must be equal (see
+``_variants``). Lines that leave it at one place in one way are a group of their own, with a pivot of their own. So near
+copies of one line cost about their number and their links, not the square of their number.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from .components import connected_components
 _SPACE_CHARS = " \t\x0b\x0c\r"
 #: Letters whose counts (5 bits each) rule pairs out: frequent ones of European languages.
 _LETTERS = "etaoinsrhdlu"
-#: Lines under one key that are compared as they are; a key with more is taken apart first. The limit grows by ``_GROWTH``
-#: each turn, ``_TURNS`` times; rows of one block of a comparison.
-_GROUP, _GROWTH, _TURNS, _BLOCK = 64, 8, 4, 256
+#: Lines under one key that are compared as they are; those of a key with more are told apart by a pivot. The limit grows by
+#: ``_GROWTH`` each turn (1: it stays), ``_TURNS`` times at most; rows of one block of a comparison.
+_GROUP, _GROWTH, _TURNS, _BLOCK = 64, 1, 24, 256
+#: Characters of pivots that are broadcast.
+_PIVOT_CHARS = 1 << 24
 
 
 def _bucket(n: str) -> str:
@@ -149,9 +152,9 @@ def _if_small(rows: DataFrame, max_broadcast: int) -> DataFrame:
 
 
 def _texts(ids: DataFrame, lines: DataFrame, max_broadcast: int) -> DataFrame:
-    """``line_id, line, n`` of the given ids."""
+    """``line_id, line, n`` of the given ids, and how many ``copies`` there are."""
     wanted = _if_small(S.materialize(ids.distinct()), max_broadcast)  # else the lines are dealt out by id
-    return lines.select("line_id", "line", "n").join(wanted, "line_id").groupBy("line_id").agg(F.min("line").alias("line"), F.min("n").alias("n"))
+    return lines.select("line_id", "line", "n").join(wanted, "line_id").groupBy("line_id").agg(F.min("line").alias("line"), F.min("n").alias("n"), F.count("*").alias("copies"))
 
 
 def _keyed(rows: DataFrame, edits: int, keep: list[str]) -> DataFrame:
@@ -193,12 +196,71 @@ def _pairs(rows: DataFrame, edits: int) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _rests(rows: DataFrame, edits: int) -> DataFrame:
-    """Rows of large groups, under the key as ``salt``, with what is left of their lines without the key's segment."""
-    case = lambda which: "case at " + " ".join(f"when {i} then {c[which]}" for i, c in enumerate(_keys(edits))) + " end"
-    rows = rows.withColumns({"first": F.expr(case(3)), "size": F.expr(case(4))})
-    rest = F.expr("concat(substring(line, 1, cast(first - 1 as int)), substring(line, cast(first + size as int), n))")
-    return rows.select(F.col("key").alias("salt"), "line_id", rest.alias("line"), F.col("e").alias("of"), "counts").withColumn("n", F.char_length("line"))
+def _shared_length(a: str, b: str) -> str:
+    """SQL for the number of characters that two strings begin with alike: by halves, largest first."""
+    powers = ", ".join(str(1 << i) for i in range(30, -1, -1))
+    return f"""aggregate(array({powers}), 0, (p, k) -> if(k <= least(char_length({a}), char_length({b})) - p
+        and substring({a}, p + 1, k) = substring({b}, p + 1, k), p + k, p))"""
+
+
+def _variants() -> Column:
+    """``star, ops, text`` of a line ``line`` with ``n`` characters that leaves the pivot after ``p`` and comes back ``s`` before its end.
+
+    For two lines that leave the pivot at different places, the first place where they differ is the smaller ``p``, where the
+    other one goes on like the pivot. So the first edit puts the pivot's character there, in place of the line's or before it, or
+    takes the line's away; and the last edit likewise, from the end. Either line may take either edit, or one takes both;
+    ``ops`` has a bit for each (1 first, 2 last). Lines that leave the pivot at one place with different characters may have
+    these stand for each other: a star, which both must have. Two lines with at most two edits thus have equal
+    variants with equal stars and different bits. Where their common beginning and end overlap, the longer one has one or
+    two characters more in one place: ``ops`` 3.
+    """
+    head, tail = "substring(line, 1, p)", "substring(line, n - s + 1)"
+    bp, be = "substring(pivot, p + 1, 1)", "substring(pivot, pn - s, 1)"
+    begin = [("0", "0", "true", "0", "''"), ("0", "1", "p < n and p < pn", "1", bp), ("0", "1", "p < n", "1", "''"), ("0", "1", "p < pn", "0", bp), ("1", "0", "p < n", "1", "'\x01'")]
+    end = [("0", "0", "true", "0", "''"), ("0", "2", "s < n and s < pn", "1", be), ("0", "2", "s < n", "1", "''"), ("0", "2", "s < pn", "0", be), ("2", "0", "s < n", "1", "'\x01'")]
+    out = []
+    for i, (star, ops, test, cut, put) in enumerate(begin):
+        for j, (star2, ops2, test2, cut2, put2) in enumerate(end):
+            if i and j:
+                text = f"concat({head}, {put}, substring(line, p + 1 + {cut}, n - s - p - {cut} - {cut2}), {put2}, {tail})"
+                test = f"{begin[i][2]} and {test2} and p + s + {cut} + {cut2} <= n"
+            elif j:
+                text, test = f"concat(substring(line, 1, n - s - {cut2}), {put2}, {tail})", test2
+            else:
+                text, test = f"concat({head}, {put}, substring(line, p + 1 + {cut}))", begin[i][2]
+            out.append((f"{star} + {star2}", f"{ops} + {ops2}", test, text))
+    out += [("0", "3", "p + 2 <= n", f"concat({head}, substring(line, p + 3))"), ("0", "3", "p >= 1 and p < n", "concat(substring(line, 1, p - 1), substring(line, p + 2))"),
+            ("0", "3", "p + 2 <= pn", f"concat({head}, substring(pivot, p + 1, 2), substring(line, p + 1))")]
+    made = ", ".join(f"if({test}, struct({ops} as ops, xxhash64(salt, {star}, {text}) as key, {star} as star), null)" for star, ops, test, text in out)
+    return F.expr(f"array_distinct(filter(array({made}), v -> v is not null))")
+
+
+def _apart(rows: DataFrame, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, rows)``: links between lines of a group that leave its pivot in different ways, and rows of the groups of those that leave it in one way.
+
+    ``rows`` has ``salt`` (the group), ``line_id``, ``line``, ``n``, ``counts``, ``copies``. The pivot is the line with the most copies, as
+    near copies leave the line they come from at many places; of several any one, by hash. What lines of a group have in
+    common by then is cut off.
+    """
+    pivots = S.materialize(rows.groupBy("salt").agg(F.max_by("line", F.struct("copies", F.xxhash64("salt", "line_id"))).alias("pivot")).withColumn("pn", F.char_length("pivot")))
+    few = pivots.agg(F.sum("pn")).first()[0] <= _PIVOT_CHARS
+    placed = rows.join(F.broadcast(pivots) if few else pivots, "salt")
+    placed = S.materialize(placed.withColumns({"p": F.expr(_shared_length("line", "pivot")), "s": F.expr(_shared_length("reverse(line)", "reverse(pivot)"))}))
+    made = S.materialize(placed.select("line_id", F.explode(_variants()).alias("v")).select("line_id", "v.key", "v.ops", "v.star"))
+    shared = S.materialize(made.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("lo < hi").select("key"))
+    met = made.join(_if_small(shared, max_broadcast), "key")  # most variants are one line's alone
+    # Which bits a variant meets: one that has taken no edit all others (and its like where there is a star), the first edit the last.
+    low = met.select("line_id", "key", F.col("ops").alias("lo"), F.explode(F.expr("case when ops = 0 then if(star > 0, array(0, 1, 2), array(1, 2, 3)) when ops = 1 then array(2) end")).alias("hi"))
+    high = met.select(F.col("line_id").alias("other"), F.col("key").alias("key2"), F.col("ops").alias("hi2"), F.explode(F.expr("if(ops = 2, array(0, 1), array(0))")).alias("lo2"))
+    meet = (F.col("key") == F.col("key2")) & (F.col("lo") == F.col("lo2")) & (F.col("hi") == F.col("hi2")) & ((F.col("line_id") < F.col("other")) | ((F.col("hi") > 0) & (F.col("line_id") > F.col("other"))))
+    pairs = S.materialize(low.join(high, meet).select(F.least("line_id", "other").alias("a"), F.greatest("line_id", "other").alias("b")).distinct())
+    ways = """array(struct(xxhash64(salt, 1, p, substring(line, p + 1, 1)) as salt, substring(line, p + 2) as line),
+        struct(xxhash64(salt, 2, s, if(s < n, substring(line, n - s, 1), '')) as salt, substring(line, 1, n - s - 1) as line))"""
+    left = placed.where("line <> pivot").select(F.explode(F.expr(ways)).alias("w"), "line_id", "counts", "copies").select("w.salt", "line_id", "w.line", F.char_length("w.line").alias("n"), "counts", "copies")
+    sizes = S.materialize(left.groupBy("salt").agg(F.count("*").alias("m")).where("m > 1"))
+    left = S.materialize(left.join(_if_small(sizes, max_broadcast), "salt"))
+    S.discard(placed, made, shared, pivots, sizes)
+    return pairs, left
 
 
 def _candidates(lines: DataFrame, edits: int, similarity: float, max_broadcast: int) -> tuple[list[DataFrame], DataFrame]:
@@ -213,23 +275,21 @@ def _candidates(lines: DataFrame, edits: int, similarity: float, max_broadcast:
     texts = S.materialize(_texts(ids, lines, max_broadcast).withColumn("counts", F.expr(_letter_counts())))
     out, limit = [found], _GROUP
     rows = rows.join(texts.select("line_id", "counts"), "line_id")
+    if edits > 2:  # two edits are the first and the last one; of more, those between may be anywhere
+        return [*out, _pairs(rows, edits)], texts
+    out.append(_pairs(rows.where(f"m <= {limit}"), edits))
+    large = rows.where(f"m > {limit}").select(F.col("key").alias("salt"), "line_id", "counts").distinct()
+    large = S.materialize(large.join(texts.select("line_id", "line", "n", "copies"), "line_id"))
     for turn in range(_TURNS):
-        last = turn == _TURNS - 1
-        out.append(_pairs(rows if last else rows.where(f"m <= {limit}"), edits))
-        large = rows.where(f"m > {limit}")
-        if last or large.isEmpty():
+        if large.isEmpty():
             break
-        large = large.join(texts.select("line_id", "line"), "line_id") if turn == 0 else large
-        rests = S.materialize(_rests(large, edits).distinct())
-        # Rests without room for segments are a group of their own.
-        tiny = rests.where(f"n <= {2 * edits}").select(F.xxhash64(F.lit("tiny"), "salt").alias("key"), "line_id", "n", "counts", F.lit(0).alias("at"))
-        out.append(_pairs(tiny.join(tiny.groupBy("key").agg(F.count("*").alias("m")), "key"), edits))
-        # Within a group the edits are those of its bucket, however short the rests are.
-        parts = [_in_buckets(rests.where(f"of = {e}"), e, lambda x, e=e: f"{e}") for e in range(1, edits + 1)]
-        keyed = S.materialize(_keyed(reduce(DataFrame.unionByName, parts), edits, ["line", "counts"]))
-        found, rows = _met(keyed, edits, max_broadcast)
-        out.append(found)
         limit *= _GROWTH
+        last = turn == _TURNS - 1  # what still meets is compared
+        links, rows = _apart(large, max_broadcast)
+        small = (rows if last else rows.where(f"m <= {limit}")).select(F.col("salt").alias("key"), "line_id", "n", "counts", "m", F.lit(0).alias("at"))
+        out += [links, S.materialize(_pairs(small, edits).distinct())]
+        large = S.materialize(rows.where(f"m > {limit}"))
+        S.discard(rows)
     return out, texts
 
 
