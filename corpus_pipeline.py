@@ -43,17 +43,24 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of all sources (5), none above a quarter: only rows of a larger source beyond its share are left out.
 
-    Rows without a source are a source of their own, a null id comes first, equal rows count as rows.
+    ``slot`` is the row's place in the mixture, by which the next stage cuts and orders its shards; a column that is called
+    so already is replaced. Rows without a source are a source of their own, a null id comes first, equal rows count as rows.
     """
     rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("__doc"))  # no column of the mixture meets one of docs
-    return mixing.mix_shares(rows).where("taken").select("__doc.*")
+    kept = mixing.mix_shares(rows).where("taken")
+    columns = [F.col("slot") if c == "slot" else F.col("__doc")[c].alias(c) for c in dict.fromkeys([*docs.columns, "slot"])]
+    return kept.select(*columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and their slot in it (1); columns that are called so already are replaced.
 
-    Null texts have no bytes, null places lie at their dimension's lower end, equal texts lie together.
+    Documents that have a place in the mixture are sharded by it: each shard is a piece of the mixture, so it holds every
+    source at its share, and its slots follow the mixture. Null texts have no bytes, null places lie at their dimension's
+    lower end, equal texts lie together.
     """
+    if dict(docs.dtypes).get("slot") == "bigint":
+        return sharding.shard_mixture(docs, mixing.order(), target_bytes=SHARD_BYTES)
     return sharding.shard_documents(docs, target_bytes=SHARD_BYTES)
 
 

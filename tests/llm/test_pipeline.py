@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import decontaminate, quality
+from weftline.llm import decontaminate, mixing, quality, sharding
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from test_operators import _fingerprint  # noqa: E402
@@ -75,3 +75,20 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert len(out) and not out.duplicated("doc_id").any() and {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"} == set(out.columns)
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+def test_shards_follow_the_mixture(spark, docs):
+    """The mixture decides which shard a document is in and where: each shard holds every source at its share, in the mixture's order."""
+    mixture = STAGES["mix"](spark, docs, SF)
+    total = mixture.count()
+    out = sharding.shard_mixture(mixture, mixing.order(), target_bytes=docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] // 4 + 1).collect()
+    order = [r.doc_id for r in mixture.orderBy(*mixing.order()).collect()]
+    copies = docs.groupBy("text").agg(F.collect_list("doc_id").alias("ids")).where("size(ids) > 1").collect()
+    moved = {i for r in copies for i in r.ids}
+    place = {r.doc_id: r.slot for r in mixture.collect()}
+    shards = [[r.doc_id for r in sorted(out, key=lambda r: r.slot) if r.shard == s and r.doc_id not in moved] for s in range(4)]
+    assert len(out) == total and all(x == [i for i in order if i in set(x)] for x in shards)
+    assert all(max(place[i] for i in x) <= min(place[i] for i in y) for x, y in zip(shards, shards[1:]))
+    assert {r.shard for r in out} == {0, 1, 2, 3} and all(len({r.source for r in out if r.shard == s}) >= 3 for s in range(4))
+    one = sorted(STAGES["shard"](spark, mixture, SF).collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in one if r.doc_id not in moved] == [i for i in order if i not in moved]

@@ -29,6 +29,11 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
+def order(source: str = "source", doc_id: str = "doc_id") -> list[Column]:
+    """What rows of a mixture are sorted by: slot, then source, then place (see ``_ranked``)."""
+    return [F.col("slot"), source_key(F.col(source)), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.col(doc_id)]
+
+
 def capped_weights(counts: DataFrame, ceiling: float = 0.25, parts: int = 4096) -> DataFrame:
     """``key, n, k``: integer weights with sum ``parts`` in proportion to ``n``, but none above ``ceiling``.
 

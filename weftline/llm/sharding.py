@@ -99,14 +99,15 @@ def _narrowed(at: DataFrame, goals: DataFrame, dims: int, nodes: int) -> DataFra
 
 
 def kd_shards(docs: DataFrame, dims: list[Column], size: Column, group: Column, row_id: Column,
-              shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
+              shards: int | None = None, target_bytes: int | None = None, order: list[Column] | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
 
     Give the number of ``shards``, or ``target_bytes`` for as many as the sum of ``size`` needs. ``dims`` are places
     (``hashed_place``, ``number_place``). Rows alike in all dimensions are parted by hashes of ``group``, ``row_id`` and
     place in the input. Rows of one group stay together, unless the split that meets them would miss its quantile by
     more than the tolerance. A null size counts as 0. A row larger than a shard's target makes its shard that much
-    larger. An empty table stays empty. ``docs`` must not have a column ``__row``.
+    larger. An empty table stays empty. ``docs`` must not have a column ``__row``. With ``order`` a shard's slots follow the
+    first dimension and then these columns of ``docs``; else they are in no order that holds for the whole shard.
     """
     rows = S.materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
     at = S.materialize(_keyed(rows, dims, size, group, row_id))
@@ -125,14 +126,21 @@ def kd_shards(docs: DataFrame, dims: list[Column], size: Column, group: Column,
             F.when(F.col("split").isNull(), F.col("k")).when(right, F.col("k") - F.col("left")).otherwise(F.col("left")).alias("k")))
         S.discard(goals, at)
         at, largest, nodes = now, largest - largest // 2, nodes * 2
-    return rows.join(_numbered(at, shards, max(1, many // shards // _RUN_ROWS)), "__row").select(*docs.columns, "shard", "slot")
-
-
-def _numbered(at: DataFrame, shards: int, runs: int) -> DataFrame:
-    """``__row, shard, slot``: each shard is numbered in runs by hash, whose lengths then give each run's first slot."""
-    run = F.pmod(F.xxhash64("__row"), F.lit(runs)).cast("int")
-    order = Window.partitionBy("shard", "run").orderBy("p0", "p1", "__row")
-    placed = S.materialize(at.select("__row", F.col("node").alias("shard"), run.alias("run"), "p0", "p1").withColumn("rank", F.row_number().over(order)).drop("p0", "p1"))
+    if order:
+        at = at.join(rows.select("__row", F.struct(*order).alias("order")), "__row")
+    return rows.join(_numbered(at, shards, max(1, many // shards // _RUN_ROWS), bool(order)), "__row").select(*docs.columns, "shard", "slot")
+
+
+def _numbered(at: DataFrame, shards: int, runs: int, ordered: bool = False) -> DataFrame:
+    """``__row, shard, slot``: each shard is numbered in runs by hash, or ``ordered`` by ranges of its first dimension, whose lengths then give each run's first slot."""
+    if ordered:
+        ends = at.groupBy("node").agg(F.min("p0").alias("low"), F.max("p0").alias("high"))
+        at, run, by = at.join(_small(ends, shards), "node"), F.expr(f"cast((p0 - low) * {runs} div (high - low + 1) as int)"), ["p0", "order", "__row"]
+    else:
+        run, by = F.pmod(F.xxhash64("__row"), F.lit(runs)).cast("int"), ["p0", "p1", "__row"]
+    order = Window.partitionBy("shard", "run").orderBy(*by)
+    places = [c for c in at.columns if c in ("p0", "p1", "order")]
+    placed = S.materialize(at.select("__row", F.col("node").alias("shard"), run.alias("run"), *places).withColumn("rank", F.row_number().over(order)).drop(*places))
     sizes = placed.groupBy("shard", "run").agg(F.max("rank").cast("long").alias("n"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -153,6 +161,18 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
     return kd_shards(docs, dims, size, group, F.col("doc_id"), shards, target_bytes)
 
 
+def shard_mixture(docs: DataFrame, order: list[Column], target_bytes: int, extra_bytes: int = 16) -> DataFrame:
+    """All rows and columns of ``docs`` with ``shard`` and ``slot``, by their ``slot`` in a mixture, which is replaced.
+
+    The mixture is the tree's only dimension, as language or source would part what it has mixed: each shard is a range of it, and
+    a shard's slots follow the mixture in ``order``. Equal texts are one group, at its first place.
+    """
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(*kept, number_place(docs, F.col("slot")).alias("__place"), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]).alias("__order"))
+    group = F.xxhash64(F.coalesce("text", F.lit("")))
+    return kd_shards(rows, [F.col("__place")], _size(extra_bytes), group, F.col("doc_id"), None, target_bytes, [F.col("__order")]).select(*kept, "shard", "slot")
+
+
 def _size(extra_bytes: int) -> Column:
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + extra_bytes
 
