@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import columns as C
-from weftline.operators import algebra
+from weftline.operators import algebra, latebound, ledger
 from weftline.plans.graph import FormulaGraph
+from weftline.plans.q_dispatch import fixture
 from weftline.sources import ordered
 
 
@@ -180,3 +181,39 @@ def test_paths_are_made(spark):
     assert make('{"a":5}', "a.b.c") == ('{"a":5}', None) and make("[1]", "a") == ("[1]", None) and make('{"a":null}', "a.b") == ('{"a":null}', None)
     assert make(None, "a") == (None, None) and make("{}", "a.b", '{"n":null}') == ('{"a":{"b":{"n":null}}}', '{"n":null}')
     assert make('{"a.b":{}}', ["a.b", "c"]) == ('{"a.b":{"c":1}}', "1")
+
+
+def test_functions_are_called_once_for_equal_inputs(spark):
+    """The graph's function on a table with few distinct inputs: nulls and both kinds of join give what a call in each row gives, and the calls don't grow with the rows."""
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 7 > 0, (F.col("id") % 5).cast("double")).alias("a"), F.when(F.col("id") % 3 > 0, (F.col("id") % 4 * 2).cast("double")).alias("b"))
+    names = ["c", "d", "e"]
+    f = fixture().function(["a", "b"], names, dict.fromkeys(names, "double"))
+    want = {r.id: (r.a, r.b, r.s) for r in rows.withColumn("s", f(F.col("a"), F.col("b"))).collect()}
+    calls = spark.sparkContext.accumulator(0)
+    for most in (100, 0):
+        got = latebound.call_once(rows, ["a", "b"], f, "s", max_broadcast=most)
+        assert got.columns == ["id", "a", "b", "s"] and {r.id: (r.a, r.b, r.s) for r in got.collect()} == want
+    counted = F.udf(lambda a, b: calls.add(1) or 1, "int")
+    assert latebound.call_once(rows, ["a", "b"], counted, "s").agg(F.sum("s")).first()[0] == 2000 and calls.value == len({x[:2] for x in want.values()})
+
+
+def test_balance_with_many_open_expiries(spark):
+    """Debits empty the first buckets and lower the next one: against a plain loop, with expiries that are full, new, past, and none."""
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(3), "p", rng.choice([-60, -7, 5, 9, 40]), rng.randrange(100), rng.choice([None, rng.randrange(0, 200)])) for i in range(900)]
+    got = {r.wallet: r.balance for r in ledger.balance(spark.createDataFrame(rows, "id long, wallet long, product string, credits long, valid_from long, expired_at long"), 80).collect()}
+    want = {}
+    for w in range(3):
+        open_, over = {}, 0
+        for _, _, _, n, at, e in sorted((r for r in rows if r[1] == w and r[4] <= 80), key=lambda r: (r[4], r[0])):
+            e = ledger.NEVER if e is None else e
+            if n > 0:
+                open_[e] = open_.get(e, 0) + n
+                continue
+            n = -n
+            for x in sorted(k for k in open_ if k >= at):
+                taken = min(n, open_[x])
+                open_[x], n = open_[x] - taken, n - taken
+            over += n
+        want[w] = sum(v for e, v in open_.items() if e >= 80) - over
+    assert got == want

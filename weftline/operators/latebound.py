@@ -1,14 +1,17 @@
-"""Models that rows name: each row is computed by the model in one of its columns."""
+"""Models that rows name: each row is computed by the model in one of its columns; functions that are called once for equal inputs."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.graph import FormulaGraph
 from weftline.sources import graphs
+from weftline.sources.tables import materialize
 
 #: Models that one plan may hold; more belong in several tables.
 MOST_MODELS = 64
@@ -48,3 +51,18 @@ def _names(by: str, name: str):
         return F.coalesce(values[by] == F.lit(name), F.lit(False))
 
     return domain
+
+
+def call_once(df: DataFrame, inputs: list[str], function: Callable[..., Column], name: str, max_broadcast: int = 1_000_000) -> DataFrame:
+    """``df`` with ``function(*inputs)`` as column ``name``; it is called once for each distinct combination of inputs.
+
+    For functions that cost more than a shuffle of their inputs (Spark interprets a graph's). The results are written; rows
+    find theirs by a join, in which a null equals a null, and up to ``max_broadcast`` are broadcast. -0.0 counts as 0.0. The
+    function must be deterministic.
+    """
+    keys = [f"__in{i}" for i in range(len(inputs))]
+    distinct = df.select(*[F.col(c).alias(k) for c, k in zip(inputs, keys)]).distinct()
+    done = materialize(distinct.select(*keys, function(*map(F.col, keys)).alias(name)))
+    done = F.broadcast(done) if done.count() <= max_broadcast else done
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(inputs, keys)])
+    return df.join(done, same).drop(*keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import asof, fold, ranges
+from weftline.operators import asof, fold, latebound, ranges
 from weftline.plans.q_dispatch import _C, _CDE, _ab, fixture, query, rounded
 from weftline.sources.tables import table
 
@@ -24,10 +24,11 @@ def map_fold_fixture(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT l_orderkey, l_linenumber, round({_C}, 6) AS c, round(d, 6) AS d, round(e, 6) AS e FROM ({_CDE})")
 def dispatch_function_fixture(spark: SparkSession, sf: str) -> DataFrame:
-    """A graph with a cycle, domains and a long way as one function of Columns."""
+    """A graph with a cycle, domains and a long way as one function of Columns, called once for equal inputs."""
     names = ["c", "d", "e"]
     f = fixture().function(["a", "b"], names, dict.fromkeys(names, "double"))
-    return rounded(_ab(spark, sf).select("l_orderkey", "l_linenumber", f(F.col("a"), F.col("b")).alias("s")).select("l_orderkey", "l_linenumber", "s.*"), *names)
+    called = latebound.call_once(_ab(spark, sf), ["a", "b"], lambda a, b: f(a, b), "s")
+    return rounded(called.select("l_orderkey", "l_linenumber", "s.*"), *names)
 
 
 @query("""SELECT e.event_id, coalesce(arg_max(o.event_id, (o.ts, o.event_id)), -1) AS other, arg_max(o.event_type, (o.ts, o.event_id)) AS other_type
