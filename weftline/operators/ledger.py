@@ -14,22 +14,28 @@ from .ranges import scan
 NEVER = 1 << 62
 
 
-def _after(state: Column, credits: Column, expires: Column, at: Column, day: Column) -> Column:
+def _after(state: Column, credits: Column, expires: Column, at: Column) -> Column:
     """The open buckets ``{b: [{e: expiry, v: credits}], over}`` behind an entry: credits fill the bucket of their expiry, debits
     empty the earliest ones that haven't expired. What no bucket covers is ``over``; buckets that nothing will use go.
     """
     bucket = lambda e, v: F.struct(e.alias("e"), v.alias("v"))
-    open_ = F.filter(state["b"], lambda x: (x["e"] >= F.least(at, day)) & (x["v"] > 0))
-    filled = F.when(F.exists(open_, lambda x: x["e"] == expires), F.transform(open_, lambda x: F.when(x["e"] == expires, bucket(x["e"], x["v"] + credits)).otherwise(x)))
-    filled = filled.otherwise(F.array_sort(F.array_append(open_, bucket(expires, credits))))
+    let = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  (evaluated once, however often it is read)
 
-    def use(left: Column, x: Column) -> Column:
-        taken = F.when(x["e"] >= at, F.least(left["n"], x["v"])).otherwise(F.lit(0).cast("long"))
-        return F.struct((left["n"] - taken).alias("n"), F.array_append(left["b"], bucket(x["e"], x["v"] - taken)).alias("b"))
+    def filled(b: Column) -> Column:
+        same = F.aggregate(b, credits, lambda n, x: F.when(x["e"] == expires, n + x["v"]).otherwise(n))
+        return F.concat(F.filter(b, lambda x: x["e"] < expires), F.array(bucket(expires, same)), F.filter(b, lambda x: x["e"] > expires))
 
-    start = F.struct((-credits).alias("n"), F.expr("cast(array() as array<struct<e: bigint, v: bigint>>)").alias("b"))
-    drained = F.transform(F.array(F.aggregate(open_, start, use)), lambda s: F.struct(s["b"].alias("b"), (state["over"] + s["n"]).alias("over")))[0]
-    return F.when(credits >= 0, F.struct(filled.alias("b"), state["over"].alias("over"))).otherwise(drained)
+    def drained(b: Column) -> Column:
+        # Buckets lie by expiry: the first ``i`` are emptied, the next one gives what is left. No array grows on the way.
+        start = F.struct((-credits).alias("n"), F.lit(0).alias("i"), F.lit(True).alias("on"))
+        one = lambda l, x: F.when(l["on"] & (l["n"] >= x["v"]), F.struct((l["n"] - x["v"]).alias("n"), (l["i"] + 1).alias("i"), l["on"].alias("on"))).otherwise(
+            F.struct(l["n"].alias("n"), l["i"].alias("i"), F.lit(False).alias("on")))
+        rest = lambda l: F.when(l["i"] >= F.size(b), F.struct(F.slice(b, 1, 0).alias("b"), (state["over"] + l["n"]).alias("over"))).otherwise(F.struct(F.concat(
+            F.array(bucket(F.get(b, l["i"])["e"], F.get(b, l["i"])["v"] - l["n"])), F.slice(b, l["i"] + 2, F.size(b))).alias("b"), state["over"].alias("over")))
+        return let(F.aggregate(b, start, one), rest)
+
+    open_ = F.filter(state["b"], lambda x: (x["e"] >= at) & (x["v"] > 0))
+    return let(open_, lambda b: F.when(credits >= 0, F.struct(filled(b).alias("b"), state["over"].alias("over"))).otherwise(drained(b)))
 
 
 def balance(entries: DataFrame, day: int, keys: tuple[str, ...] = ("wallet", "product"), at: str = "valid_from", expires: str = "expired_at", credits: str = "credits", tie: str = "id") -> DataFrame:
@@ -41,7 +47,7 @@ def balance(entries: DataFrame, day: int, keys: tuple[str, ...] = ("wallet", "pr
     live = entries.where((F.col(at) <= day) & (F.col(credits) != 0))
     live = live.select(*keys, F.col(at).cast("long").alias("__at"), F.col(tie).alias("__tie"), F.col(credits).cast("long").alias("__credits"), F.coalesce(F.col(expires).cast("long"), F.lit(NEVER)).alias("__expires"))
     zero = F.expr("named_struct('b', cast(array() as array<struct<e: bigint, v: bigint>>), 'over', 0L)")
-    step = lambda state, row: _after(state, row["__credits"], row["__expires"], row["__at"], F.lit(day).cast("long"))
+    step = lambda state, row: _after(state, row["__credits"], row["__expires"], row["__at"])
     done = ordered_fold(live, list(keys), ["__at", "__tie"], ["__credits", "__expires"], zero, step)
     left = F.aggregate(F.filter("state.b", lambda x: x["e"] >= day), F.lit(0).cast("long"), lambda n, x: n + x["v"])
     return done.select(*keys, (left - F.col("state.over")).alias("balance"))
