@@ -246,7 +246,8 @@ def _apart(rows: DataFrame, max_broadcast: int) -> tuple[DataFrame, DataFrame]:
     few = pivots.agg(F.sum("pn")).first()[0] <= _PIVOT_CHARS
     placed = rows.join(F.broadcast(pivots) if few else pivots, "salt")
     placed = S.materialize(placed.withColumns({"p": F.expr(_shared_length("line", "pivot")), "s": F.expr(_shared_length("reverse(line)", "reverse(pivot)"))}))
-    made = S.materialize(placed.select("line_id", F.explode(_variants()).alias("v")).select("line_id", "v.key", "v.ops", "v.star"))
+    once = placed.select("line_id", "line", "n", "pivot", "pn", "p", "s", F.xxhash64("pivot").alias("salt")).dropDuplicates(["line_id", "line", "pivot"])  # groups by several keys may have one pivot
+    made = S.materialize(once.select("line_id", F.explode(_variants()).alias("v")).select("line_id", "v.key", "v.ops", "v.star"))
     shared = S.materialize(made.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("lo < hi").select("key"))
     met = made.join(_if_small(shared, max_broadcast), "key")  # most variants are one line's alone
     # Which bits a variant meets: one that has taken no edit all others (and its like where there is a star), the first edit the last.
